@@ -106,14 +106,23 @@ class PieceCodec:
         for r in sorted(self.reachable, key=lambda r: [-common[c] for c in self.texts[r]]):
             self.automaton.add_word(self.texts[r], r)
         self.automaton.make_automaton()
-        spread = any(SPACE in t.lstrip(SPACE) for t in self.rank) or any("\n" in t for t in self.rank)
-        self.chunks = re.compile(r"(?s).+" if spread else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
         self.chars = frozenset(t for t in self.rank if len(t) == 1)
         self.known: dict[str, bytes] = {}
         self.fitting: dict[int, bool] = {}
         self.inner = {pair for t in self.texts for pair in zip(t, t[1:], strict=False)}
+        self.chunks = re.compile(self._chunk_pattern()).findall
         self.bytes_of = [self._bytes(i) for i in range(len(pieces))]
 
+    def _chunk_pattern(self) -> str:
+        """Matches stretches of text between which no piece can reach: before spaces, around line feeds, before marks that follow letters."""
+        if any(SPACE in t.lstrip(SPACE) for t in self.rank) or any("\n" in t for t in self.rank):
+            return r"(?s).+"
+        marks = {c for c in self.chars if not (c.isalpha() or c.isdecimal()) and c not in (SPACE, "\n")}
+        while reached := {b for a, b in self.inner if b in marks and a not in marks and a != SPACE}:
+            marks -= reached
+        among = "".join(map(re.escape, sorted(marks)))
+        return f"\n|{SPACE}*[^{SPACE}\n{among}]+|{SPACE}*[{among}][^{SPACE}\n]*|{SPACE}+" if marks else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
+
     def _bytes(self, i: int) -> bytes:
         text, _, kind = self.pieces[i]
         if kind == BYTE:
@@ -237,7 +246,9 @@ class PieceCodec:
         return np.array(out, "<i4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk that isn't remembered; it is cut between characters that no piece has side by side."""
+        """Ids of a chunk that isn't remembered. A long one is cut between characters that no piece has side by side."""
+        if len(chunk) <= LONG_CHUNK:
+            return self._part(chunk)
         inner, known, start, out = self.inner, self.known, 0, []
         for i, pair in enumerate(zip(chunk, chunk[1:], strict=False), 1):
             if pair not in inner:
@@ -247,9 +258,9 @@ class PieceCodec:
             return self._part(chunk)
         out.append(chunk[start:])
         for part in out:
-            if part not in known:
+            if part not in known and len(part) <= LONG_CHUNK:
                 known[part] = self._part(part)
-        return b"".join(map(known.__getitem__, out))
+        return b"".join(known[p] if p in known else self._part(p) for p in out)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
