@@ -16,7 +16,9 @@ repeated rows and ids are packed each on its own; white space and other columns
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import ship
 
 WINDOW, END_ID, BLOCK = 4096, 2, 32_768
-#: Words whose ids a worker remembers; then it starts anew.
-CACHE, LONG_WORD = 400_000, 64
+#: Words and stems whose ids a worker remembers; beyond that the younger half goes, longer words at once.
+CACHE, STEMS, LONG_WORD = 600_000, 1_200_000, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -86,38 +88,77 @@ def pack_lengths(lengths, capacity: int = WINDOW) -> tuple[list[int], list[int]]
     return windows, offsets
 
 
+def shrunk(known: dict, limit: int) -> dict:
+    """A full table loses its younger half: words seen early are the common ones."""
+    return known if len(known) <= limit else dict(islice(known.items(), limit // 2))
+
+
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit bytes, remembered by word.
 
     Space and line feed never lie inside a token of this kind of vocabulary (white space only parts
-    words), so a text's ids are those of its words in turn.
+    words), so a text's ids are those of its words in turn. A word of Latin letters and marks after
+    them has the ids of the lower-case letters and then those of the marks.
     """
 
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.ends = np.array([i in ends for i in range(self.tokenizer.get_vocab_size() + 1)])
         self.known: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {"": b""}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        """One call for many: each is one run of letters, so it ends with its first token that ends a word."""
+        for i in range(0, len(stems), 2000):
+            part = stems[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                flat = ids.tobytes()
+                for w, a, b in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                    self.stems[w] = flat[4 * a : 4 * b]
+            else:
+                self.stems.update(zip(part, self._whole(part), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        plain, odd, known, stems = [], [], self.known, self.stems
+        for w in words:
+            m = self.PLAIN(w)
+            if m:
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                odd.append(w)
+        self._learn_stems([x for x in dict.fromkeys(p for _, *parts in plain for p in parts[:1]) if x not in stems])
+        marks = [x for x in {p[2] for p in plain} if x not in stems]
+        stems.update(zip(marks, self._whole(marks), strict=True))
+        for w, stem, mark in plain:
+            known[w] = stems[stem] + stems[mark]
+        for i in range(0, len(odd), 10_000):
+            known.update(zip(odd[i : i + 10_000], self._whole(odd[i : i + 10_000]), strict=True))
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        known = self.known
         try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(self.known.__getitem__, words))
         except KeyError:
             pass
-        if len(known) > CACHE:
-            known.clear()
-            known[""] = b""
+        self.known, self.stems = shrunk(self.known, CACHE), shrunk(self.stems, STEMS)
+        known = self.known
         new = [w for w in dict.fromkeys(words) if w not in known]
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn(new)
         ids = b"".join(map(known.__getitem__, words))
         for w in new:
             if len(w) > LONG_WORD:
                 del known[w]
+                self.stems.pop(w.lower(), None)
         return ids
 
 
