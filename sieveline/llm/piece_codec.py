@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import ship
 
-#: Chunks that a worker remembers; then it starts anew. Longer chunks aren't remembered.
-CACHE, LONG_CHUNK = 500_000, 64
+#: Chunks that a worker remembers; beyond that the younger half goes. Longer chunks aren't remembered.
+CACHE, LONG_CHUNK = 800_000, 64
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -272,8 +273,8 @@ class PieceCodec:
             return np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<i4").tolist()
         except KeyError:
             pass
-        if len(known) > CACHE:
-            known.clear()
+        if len(known) > CACHE:  # chunks seen early are the common ones
+            known = self.known = dict(islice(known.items(), CACHE // 2))
         new = [c for c in dict.fromkeys(chunks) if c not in known]
         for c in new:
             known[c] = self._chunk(c)
