@@ -21,35 +21,40 @@ from sieveline.llm.common import stored, text_or_empty
 BITS, SHARDS = 5, 8
 
 
-def hilbert_index(steps: list[Column], bits: int = BITS) -> Column:
-    """Position on the Hilbert curve of the cell with these coordinates (integers below 2**bits)."""
-    n = len(steps)
-    x = F.array(*(s.cast("int") for s in steps))
-
-    def at(a: Column, i: Column) -> Column:
-        return F.get(a, i)
+def with_hilbert_index(df: DataFrame, steps: list[Column], name: str = "curve", bits: int = BITS) -> DataFrame:
+    """Adds the position on the Hilbert curve of the cell with these coordinates (integers below 2**bits).
 
-    def bit(s: Column, per: int) -> Column:
-        return F.expr(f"shiftleft(1, {bits - 1})").bitwiseAND(F.lit(-1)) if per == 0 else F.element_at(F.array(*(F.lit(1 << (bits - 1 - i // per)) for i in range(per * bits))), s + 1)
+    Each stage is a column of its own: what a lambda or several terms use is computed once a row.
+    """
+    n = len(steps)
 
-    # Undo the excess rotations, one (bit, axis) at a time: either flip the low bits of the first axis or swap them with this axis.
     def rotate(a: Column, s: Column) -> Column:
-        q, i = bit(s, n), s % n
-        low, this, head = q - 1, at(a, i), at(a, F.lit(0))
-        flips = this.bitwiseAND(q) != 0
-        swap = head.bitwiseXOR(this).bitwiseAND(low)
-        return F.transform(a, lambda v, k: F.when(flips, F.when(k == 0, v.bitwiseXOR(low)).otherwise(v)).otherwise(F.when((k == 0) | (k == i), F.when(i == 0, v).otherwise(v.bitwiseXOR(swap))).otherwise(v)))
-
-    x = F.aggregate(F.sequence(F.lit(0), F.lit(n * (bits - 1) - 1)), x, rotate)
+        """Undo the excess rotations of one axis at one bit: flip the first axis' lower bits or swap them with this axis'."""
+        q, this, head = s["q"], F.get(a, s["axis"]), F.get(a, F.lit(0))
+        flips, swap = this.bitwiseAND(q) != 0, head.bitwiseXOR(this).bitwiseAND(q - 1)
+        change = F.when(flips, q - 1).otherwise(swap)
+        first = F.when(flips | (s["axis"] != 0), head.bitwiseXOR(change)).otherwise(head)
+        return F.transform(a, lambda v, k: F.when(k == 0, first).when((k == s["axis"]) & ~flips, v.bitwiseXOR(swap)).otherwise(v))
+
+    turns = F.array(*(F.struct(F.lit(1 << b).alias("q"), F.lit(i).alias("axis")) for b in range(bits - 1, 0, -1) for i in range(n)))
+    out = df.withColumn("__x", F.array(*(s.cast("int") for s in steps)))
+    out = out.withColumn("__x", F.aggregate(turns, F.col("__x"), rotate))
     # Gray code along the axes, then the parity of the last axis' bits above each bit.
-    x = F.transform(x, lambda v, k: F.aggregate(F.slice(x, 1, k + 1), F.lit(0), lambda a, b: a.bitwiseXOR(b)))
-    last = F.element_at(x, -1)
-    turn = F.aggregate(
-        F.array(*(F.lit(1 << b) for b in range(bits - 1, 0, -1))), F.lit(0), lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t)
-    )
-    x = F.transform(x, lambda v: v.bitwiseXOR(turn))
-    order = F.array(*(F.struct(F.lit(b).alias("bit"), F.lit(i).alias("axis")) for b in range(bits - 1, -1, -1) for i in range(n)))
-    return F.aggregate(order, F.lit(0).cast("long"), lambda h, o: h * 2 + at(x, o["axis"]).bitwiseAND(F.element_at(F.array(*(F.lit(1 << b) for b in range(bits))), o["bit"] + 1)).cast("boolean").cast("long"))
+    gray = [F.get("__x", F.lit(0))]
+    for i in range(1, n):
+        gray.append(gray[-1].bitwiseXOR(F.get("__x", F.lit(i))))
+    out = out.withColumn("__g", F.array(*gray))
+    last = F.get("__g", F.lit(n - 1))
+    for b in range(bits - 1, 0, -1):
+        term = F.when(last.bitwiseAND(F.lit(1 << b)) != 0, F.lit((1 << b) - 1)).otherwise(F.lit(0))
+        parity = term if b == bits - 1 else parity.bitwiseXOR(term)
+    out = out.withColumn("__t", parity)
+    terms = [
+        F.when(F.get("__g", F.lit(i)).bitwiseXOR(F.col("__t")).bitwiseAND(F.lit(1 << b)) != 0, F.lit(1 << (b * n + n - 1 - i)).cast("long")).otherwise(F.lit(0).cast("long"))
+        for b in range(bits)
+        for i in range(n)
+    ]
+    return out.withColumn(name, sum(terms[1:], terms[0])).drop("__x", "__g", "__t")
 
 
 def dimension(c: Column, kind: str) -> Column:
@@ -77,7 +82,7 @@ def hilbert_shards(docs: DataFrame, dimensions: dict[str, Column], keep: dict[st
         return F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(f"__d_{k}"))) if cuts else F.lit(0)
 
     steps = [F.coalesce(F.when(F.col(f"__d_{k}").isNull(), 0).otherwise(step(k)), F.lit(0)) for k in names]
-    curve = narrow.withColumn("curve", hilbert_index(steps, bits)).drop(*(f"__d_{k}" for k in names))
+    curve = with_hilbert_index(narrow, steps, "curve", bits).drop(*(f"__d_{k}" for k in names))
     ordered = curve.repartitionByRange("curve", "__row").sortWithinPartitions("curve", "__row")
     ordered = stored(ordered.withColumn("__at", F.monotonically_increasing_id()), "curve")
     part = F.shiftrightunsigned("__at", 33)
