@@ -1,0 +1 @@
+"""Retrieval, ranking and profile analytics as Spark DataFrame operators."""
