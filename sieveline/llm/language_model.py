@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import scratch_path, ship, stored, text_or_empty
+from sieveline.llm.common import release, ship, stored, text_or_empty
 
 #: Training leaves out documents whose crc32(id as text) mod FOLDS is HELD_OUT; of the others, EM learns from ASIDE.
 FOLDS, HELD_OUT, ASIDE = 7, 2, 3
@@ -40,16 +40,17 @@ RANGE_BYTES = 4 << 20
 STEPS, ITERATIONS = 4, 50
 #: No word is white space, so these can't be words.
 END, START = b"\n", b"\r"
-BLOCKS = "part int, aside boolean, block long, bucket int, docs binary, keys binary, counts binary"
+BLOCKS = "aside boolean, block long, docs binary, words binary, tokens binary"
+KEYS = "bucket int, block long, aside boolean, keys binary, counts binary"
 
 
 def _planes(values: np.ndarray) -> bytes:
     """Byte planes, which compress well where upper bytes are mostly zero."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
 
 
 def _from_planes(data: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -96,35 +97,28 @@ class _Block:
         self.docs.append((doc or 0, doc is None, fold == HELD_OUT, len(words)))
         self.size += len(words)
 
-    def rows(self, block: int, aside: bool, bits: int):
-        """The block itself (part 0) and its keys with counts by key range (part 1)."""
+    def row(self, block: int, aside: bool) -> tuple:
         import xxhash
 
         words = np.array([xxhash.xxh64_intdigest(w) for w in self.number], np.uint64) & ~np.uint64(1)
-        tokens = np.concatenate(self.parts)
-        ids, none, held, lengths = (np.array(c) for c in zip(*self.docs, strict=True))
-        docs = np.stack([ids.astype(np.int64), none.astype(np.int64), held.astype(np.int64), lengths.astype(np.int64)])
-        yield 0, aside, block, -1, docs.tobytes(), words.tobytes(), tokens.tobytes()
-        grams = _Grams(words, tokens, lengths, 0)
-        trains = np.repeat(~held, lengths).astype(np.float64)
-        counts = np.concatenate((np.bincount(tokens, trains, len(words)), np.bincount(grams.pair, trains, len(grams.keys) - len(words)))).astype(np.int64)[grams.order]
-        cuts = np.searchsorted(grams.keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-        for b, (i, j) in enumerate(zip([0, *cuts], [*cuts, len(counts)], strict=True)):
-            if i < j:
-                yield 1, aside, block, b, None, _planes(np.diff(grams.keys[i:j], prepend=np.uint64(0))), _planes(counts[i:j])
-
-
-def _batch(rows, names):
-    import pyarrow as pa
+        ids, none, held, lengths = (np.array(c, np.int64) for c in zip(*self.docs, strict=True))
+        return aside, block, np.stack([ids, none, held, lengths]).tobytes(), words.tobytes(), _planes(np.concatenate(self.parts))
+
 
-    kinds = {"part": pa.int32(), "aside": pa.bool_(), "block": pa.int64(), "bucket": pa.int32()}
-    cols = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.binary())) for n, c in zip(names, cols, strict=True)], names)
+def _read_block(docs: bytes, words: bytes, tokens: bytes) -> tuple[np.ndarray, _Grams]:
+    about = np.frombuffer(docs, np.int64).reshape(4, -1)
+    return about, _Grams(np.frombuffer(words, np.uint64), _from_planes(tokens, np.int32), about[3], 0)
 
 
-def _cut_blocks(bits: int, limit: int):
-    names = [c.split()[0] for c in BLOCKS.split(", ")]
+def _batch(rows, schema: str):
+    import pyarrow as pa
+
+    kinds = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
 
+
+def _cut_blocks(limit: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -133,17 +127,9 @@ def _cut_blocks(bits: int, limit: int):
 
         def close(aside):
             nonlocal done
-            block = open_blocks[aside]
-            open_blocks[aside] = _Block()
+            block, open_blocks[aside] = open_blocks[aside], _Block()
             if block.docs:
-                rows = []
-                for row in block.rows(done, aside, bits):
-                    rows.append(row)
-                    if len(rows) == 256 or row[0] == 0:
-                        yield _batch(rows, names)
-                        rows = []
-                if rows:
-                    yield _batch(rows, names)
+                yield _batch([block.row(done, aside)], BLOCKS)
                 done += 1
 
         for batch in batches:
@@ -158,13 +144,34 @@ def _cut_blocks(bits: int, limit: int):
     return run
 
 
+def _keys_of_blocks(bits: int):
+    """Each block's distinct n-grams with their training counts, by key range."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                aside, block, *data = (batch.column(k)[i].as_py() for k in range(5))
+                docs, grams = _read_block(*data)
+                trains = np.repeat(docs[2] == 0, docs[3]).astype(np.float64)
+                n = grams.n_words
+                counts = np.concatenate((np.bincount(grams.tokens, trains, n), np.bincount(grams.pair, trains, len(grams.keys) - n))).astype(np.int64)[grams.order]
+                cuts = np.searchsorted(grams.keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist()
+                rows = [
+                    (b, block, aside, _planes(np.diff(grams.keys[i:j], prepend=np.uint64(0))), _planes(counts[i:j]))
+                    for b, (i, j) in enumerate(zip([0, *cuts], [*cuts, len(counts)], strict=True))
+                    if i < j
+                ]
+                for k in range(0, len(rows), 256):
+                    yield _batch(rows[k : k + 256], KEYS)
+
+    return run
+
+
 SUMS = "block long, bucket int, main binary, aside binary, n_main long, n_aside long, v_main long, v_all long"
 
 
 def _sum_ranges(batches):
     """Rows (bucket, block, aside, keys, counts), a bucket's together -> each block's sums, and totals (block -1)."""
-    import pyarrow as pa
-
     held: list[tuple] = []
 
     def close():
@@ -182,10 +189,8 @@ def _sum_ranges(batches):
         for row, end, c in zip(held, ends, counts, strict=True):
             mine = at[end - len(c) : end]
             rows.append((row[1], row[0], _planes(sums[0, mine]), _planes(sums[1, mine]), 0, 0, 0, 0))
-        names = [c.split()[0] for c in SUMS.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()] + [pa.int64()] * 4
         for i in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 256], strict=True), kinds, strict=True)], names)
+            yield _batch(rows[i : i + 256], SUMS)
 
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
@@ -198,13 +203,11 @@ def _sum_ranges(batches):
 
 
 def _blocks_with_sums(batches):
-    """Rows (block, bucket, docs, keys, counts, main, aside) by block and bucket -> documents, n-grams and sums of each block."""
+    """Rows (block, bucket, docs, words, tokens, main, aside) by block and bucket -> documents, n-grams and sums of each block."""
     own, main, aside = None, [], []
 
     def close():
-        docs = np.frombuffer(own[2], np.int64).reshape(4, -1)
-        grams = _Grams(np.frombuffer(own[3], np.uint64), np.frombuffer(own[4], np.int32), docs[3], 0)
-        return docs, grams, np.concatenate(main), np.concatenate(aside)
+        return *_read_block(*own[2:5]), np.concatenate(main), np.concatenate(aside)
 
     for batch in batches:
         for i in range(batch.num_rows):
@@ -268,16 +271,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ).first()
     bits = max(4, (size // range_bytes).bit_length())
 
-    path = scratch_path(spark, "lm-blocks")
-    chosen.mapInArrow(_cut_blocks(bits, block_tokens), BLOCKS).write.partitionBy("part").option("compression", "zstd").parquet(path)
-    blocks = spark.read.schema(BLOCKS).parquet(path)
-    keys = blocks.filter("part = 1").select("bucket", "block", "aside", "keys", "counts")
+    blocks = stored(chosen.mapInArrow(_cut_blocks(block_tokens), BLOCKS), "lm-blocks")
+    keys = blocks.mapInArrow(_keys_of_blocks(bits), KEYS)
     sums = stored(keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sum_ranges, SUMS), "lm-sums")
+    release(spark)
     n_m, n_a, v_m, v_all = (x or 0 for x in sums.filter("block = -1").agg(*(F.sum(c) for c in ("n_main", "n_aside", "v_main", "v_all"))).first())
 
     empty = F.lit(None).cast("binary")
-    own = blocks.filter("part = 0").select("block", "bucket", "docs", "keys", "counts", empty.alias("main"), empty.alias("aside"), F.col("aside").alias("is_aside"))
-    back = sums.filter("block >= 0").select("block", "bucket", empty.alias("docs"), empty.alias("keys"), empty.alias("counts"), "main", "aside")
+    own = blocks.select("block", F.lit(-1).alias("bucket"), "docs", "words", "tokens", empty.alias("main"), empty.alias("aside"), F.col("aside").alias("is_aside"))
+    back = sums.filter("block >= 0").select("block", "bucket", empty.alias("docs"), empty.alias("words"), empty.alias("tokens"), "main", "aside")
 
     def together(left: DataFrame, right: DataFrame) -> DataFrame:
         rows = left.drop("is_aside").unionByName(right)
@@ -298,6 +300,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     asides = own.filter("is_aside")
     put_aside = together(asides, back.join(asides.select("block"), "block", "left_semi"))
     cells = put_aside.mapInArrow(histogram, "context long, pair long, word long, events long").groupBy("context", "pair", "word").agg(F.sum("events").alias("events")).collect()
+    release(spark)
     weights = learn_weights(np.array([tuple(r) for r in cells], dtype=np.int64).reshape(-1, 4))
 
     n = n_m + n_a
