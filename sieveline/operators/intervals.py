@@ -45,10 +45,10 @@ def trajectory(df: DataFrame, experiences: str, promotion_count: str, now: Colum
     n = F.size(experiences)
     years = F.greatest(F.lit(0.5), F.datediff(F.array_max(F.transform("__spans", lambda s: s["b"])), F.array_min(F.transform("__spans", lambda s: s["a"]))) / 365.25)
     out = out.withColumn("__years", years)
-    tenure = F.aggregate("__spans", F.lit(0.0), lambda t, s: t + F.greatest(F.lit(0.08), F.datediff(s["b"], s["a"]) / 365.25)) / F.size("__spans")
+    tenure = F.aggregate("__spans", F.lit(0.0), lambda t, s: t + F.greatest(F.lit(0.08), F.datediff(s["b"], s["a"]) / 365.25)) / F.nullif(F.size("__spans"), F.lit(0))
     named = lambda f: F.array_distinct(F.filter(F.transform(experiences, lambda e: F.lower(F.trim(F.coalesce(e[f], F.lit(""))))), lambda x: x != ""))
     industries, companies = F.size(named("industry")), F.size(named("company"))
-    diversity = F.least(F.lit(1.0), F.when(industries > 0, industries).otherwise(companies) / n)
+    diversity = F.least(F.lit(1.0), F.when(industries > 0, industries).otherwise(companies) / F.nullif(n, F.lit(0)))
     rate = F.col(promotion_count) / F.col("__years")
     unknown = (F.coalesce(n, F.lit(0)) <= 0) | (F.size("__spans") <= 0)
     out = out.withColumns({"mean_tenure": tenure, "promotion_rate": rate, "diversity": diversity, "__companies": companies, "__unknown": unknown})

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.schema import profile_ddl
@@ -71,9 +71,8 @@ def uploads(spark: SparkSession, paths: Sequence[str], suffixes: Sequence[str] =
     return allowed.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
-@F.pandas_udf("text string, complexity double")
-def docx_text(content: pd.Series) -> pd.DataFrame:
-    """Text of a DOCX file's paragraphs; a file that can't be read has complexity 1."""
+def docx_text(content: Column | str) -> Column:
+    """Struct (text, complexity) of a DOCX file's paragraphs; a file that can't be read has complexity 1."""
 
     def one(data: bytes) -> tuple[str, float]:
         try:
@@ -83,7 +82,11 @@ def docx_text(content: pd.Series) -> pd.DataFrame:
         except Exception as e:
             return f"unreadable: {type(e).__name__}", 1.0
 
-    return pd.DataFrame([one(x) for x in content], columns=["text", "complexity"])
+    @F.pandas_udf("text string, complexity double")
+    def run(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in values], columns=["text", "complexity"])
+
+    return run(content)
 
 
 def first_path(spark: SparkSession, paths: Sequence[str]) -> str:
