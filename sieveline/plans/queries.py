@@ -553,6 +553,94 @@ def ir_metrics(spark, sf_dir):
     return validate.composite_quality(ranked).select(*(r(c).alias(c) for c in ("ndcg10", "ndcg50", "average_precision", "p5")))
 
 
+@query(SQL + """SELECT candidate_id, spells, worked::BIGINT AS months, round(worked / 12.0::DOUBLE, 6) AS years, (SELECT count(*) FROM car WHERE car.id = txt.id AND contains(lower(company), '1-urgent')) AS urgent,
+ length(skills_text) AS skill_chars, length(trajectory_text) AS text_chars, current_title FROM txt""")
+def prj_texts_and_tenure(spark, sf_dir):
+    """Flattened texts, title fallback, tenure and conditional counts."""
+    c = features.with_texts(candidates(spark, sf_dir))
+    urgent = F.size(F.filter("__career", lambda j: F.contains(tx.low(j["company"]), F.lit("1-urgent"))))
+    months = features.months_worked()
+    return c.select("candidate_id", F.size("__career").cast("long").alias("spells"), months.cast("long").alias("months"), r(months / 12.0).alias("years"), urgent.cast("long").alias("urgent"),
+                    F.length("skills_text").cast("long").alias("skill_chars"), F.length("trajectory_text").cast("long").alias("text_chars"), "current_title")
+
+
+@query(SQL + "SELECT candidate_id, pos, round(least(greatest(0.25 + 0.45 * least(months / 24.0::DOUBLE, 1) + 0.30 * least(endorsements / 12.0::DOUBLE, 1), 0), 1) + 1e-9, 6) AS trust FROM ski JOIN prof ON prof.id = ski.id")
+def fea5_skill_trust(spark, sf_dir):
+    c = features.with_texts(candidates(spark, sf_dir)).select("candidate_id", F.posexplode("__skills").alias("p", "s"))
+    return c.select("candidate_id", (F.col("p") + 1).alias("pos"), r(features.skill_trust(F.col("s")) + 1e-9).alias("trust"))
+
+
+@query(SQL + """SELECT candidate_id, pos, (year(coalesce(b, DATE '2024-03-15')) - year(a)) * 12 + month(coalesce(b, DATE '2024-03-15')) - month(a) AS span FROM car JOIN prof ON prof.id = car.id""")
+def scl2_whole_months(spark, sf_dir):
+    from sieveline.functions.dates import day, whole_months
+
+    c = candidates(spark, sf_dir).select("candidate_id", F.posexplode("career_history").alias("p", "j"))
+    end = F.coalesce(day(F.col("j.end_date")), F.lit(SPEC.reference_date).cast("date"))
+    return c.select("candidate_id", (F.col("p") + 1).cast("long").alias("pos"), whole_months(day(F.col("j.start_date")), end).cast("long").alias("span"))
+
+
+@query("SELECT l_orderkey, round(1 - product(1 - l_discount) + 1e-9, 4) AS hint FROM lineitem GROUP BY 1")
+def agg12_noisy_or(spark, sf_dir):
+    chance = F.aggregate(F.sort_array(F.collect_list("l_discount")), F.lit(1.0), lambda p, x: p * (1 - x))
+    return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(r(1 - chance + 1e-9, 4).alias("hint"))
+
+
+@query("SELECT l_suppkey, arg_max(l_partkey, l_extendedprice * 1e6 + l_orderkey % 1000) AS dearest, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1")
+def agg13_representative(spark, sf_dir):
+    key = F.col("l_extendedprice") * 1e6 + F.col("l_orderkey") % 1000
+    return t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.max_by("l_partkey", key).alias("dearest"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'O' THEN 80 ELSE 60 END AS trajectory_match, CASE WHEN o_orderpriority = '1-URGENT' THEN 100 WHEN contains(lower(o_orderpriority), 'u') THEN 80 ELSE 40 END AS title_match,
+ (CASE WHEN o_custkey % 9 >= 5 THEN least(100, 80 + 5 * (o_custkey % 9 - 5)) ELSE 100 * (o_custkey % 9) // 5 END)::INT AS experience_match, least(100, 50 + 15 * (o_orderkey % 5))::INT AS adjacency_match FROM orders""")
+def mat1_match_dimensions(spark, sf_dir):
+    kind = F.when(F.col("o_orderstatus") == "F", "fast_climber").when(F.col("o_orderstatus") == "O", "stable_performer").otherwise("mixed")
+    low = F.lower("o_orderpriority")
+    c = {
+        "required": F.array(F.lit("a")), "skills": F.array(F.lit("a")), "title": low, "wanted_title": F.when(low == "1-urgent", low).otherwise("u"), "years": (F.col("o_custkey") % 9).cast("double"), "wanted_years": F.lit(5.0),
+        "domain": F.lit(""), "wanted_domain": F.lit(""), "archetype": kind, "has_education": F.lit(True), "wants_education": F.lit(True), "has_certification": F.lit(True), "wants_certification": F.lit(True),
+        "has_projects": F.lit(True), "is_current": F.lit(True), "transferable": F.col("o_orderkey") % 5,
+    }
+    got = compare.match_dimensions(c)
+    return t(spark, sf_dir, "orders").select("o_orderkey", *(got[k].cast("int").alias(k) for k in ("trajectory_match", "title_match", "experience_match", "adjacency_match")))
+
+
+@query("""WITH d AS (SELECT doc_id, lower(text) AS x, text FROM documents WHERE text IS NOT NULL), k AS (SELECT unnest(['the', 'licensed under', 'rights reserved', 'que']) AS skill)
+ SELECT doc_id AS id, skill, trim(replace(substring(text, greatest(1, instr(x, skill) - 40), instr(x, skill) + length(skill) + 100 - greatest(1, instr(x, skill) - 40)), chr(10), ' ')) AS evidence, 0.95::DOUBLE AS confidence FROM d, k WHERE contains(x, skill)""")
+def res5_skills_with_evidence(spark, sf_dir):
+    return ex.compound_skills(t(spark, sf_dir, "documents"), "doc_id", "text", ("the", "licensed under", "rights reserved", "que"))
+
+
+@query("""SELECT event_id, CASE WHEN regexp_matches(event_type, '^(view|click)$') THEN 'skills' ELSE 'other' END AS section, strftime(ts, '%Y') AS y, CASE WHEN event_type = 'error' THEN 0.0 WHEN event_type = 'view' THEN 0.3 WHEN event_type = 'click' THEN 1.0 WHEN event_type = 'signup' THEN 0.8 ELSE 0.2 END::DOUBLE AS confidence FROM events""")
+def tax2_confidence(spark, sf_dir):
+    kind = F.col("event_type")
+    source = F.when(kind == "click", " Certifications ").when(kind == "signup", "EMPLOYMENT").otherwise(F.lit(None).cast("string"))
+    c = taxonomy.confidence(source, F.when(kind == "view", "Basic knowledge of it"), kind == "error")
+    section = F.when(kind.rlike("^(view|click)$"), "skills").otherwise("other")
+    return t(spark, sf_dir, "events").select("event_id", section.alias("section"), F.date_format("ts", "yyyy").alias("y"), c.alias("confidence"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank, ((row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) % 4)::INT AS opener FROM orders QUALIFY rank <= 40""")
+def win8_rotating_opener(spark, sf_dir):
+    best = rk.rank_top(rk.top(t(spark, sf_dir, "orders"), 40, [("o_totalprice", True), ("o_orderkey", False)]), [("o_totalprice", True), ("o_orderkey", False)])
+    return best.select("rank", F.pmod(F.col("rank") - 1, F.lit(4)).cast("int").alias("opener"))
+
+
+@query("SELECT event_type AS kind, date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
+def str_daily_windows(spark, sf_dir):
+    """The batch form of the streaming extension's windows."""
+    w = t(spark, sf_dir, "events").groupBy(F.window("ts", "1 day").alias("w"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), r(F.sum("value"), 3).alias("total"))
+    return w.select("kind", F.col("w.start").alias("day"), "n", "total")
+
+
+@query(SQL + """, s AS (SELECT candidate_id, CASE WHEN own_title <> '' THEN 'ready' WHEN spells = 0 THEN 'failed' ELSE 'processing' END AS status FROM txt) SELECT status, count(*) AS n FROM s GROUP BY 1""")
+def flt19_profile_status(spark, sf_dir):
+    c = candidates(spark, sf_dir)
+    n = F.coalesce(F.size("career_history"), F.lit(0))
+    status = F.when(F.col("profile.current_title") != "", "ready").when(n <= 0, "failed").otherwise("processing")
+    return c.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval over documents and vectors, the best hundred."""
     return ret3_hybrid_rrf(spark, sf_dir)
