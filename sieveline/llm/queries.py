@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import chat_format, exact_dedup, hilbert_shards, language_model, license_scan, packing, piece_codec, quality, simhash, warc
 from sieveline.llm.common import table
+from sieveline.llm.oracles import LICENSE, WARC
 
 
 def tokenizer_path(name: str) -> str:
@@ -92,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": WARC,
+    "op10_license_scan": LICENSE,
     "op5_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
