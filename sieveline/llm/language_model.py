@@ -34,7 +34,9 @@ from sieveline.llm.common import release, ship, stored, text_or_empty
 
 #: Training leaves out documents whose crc32(id as text) mod FOLDS is HELD_OUT; of the others, EM learns from ASIDE.
 FOLDS, HELD_OUT, ASIDE = 7, 2, 3
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
+#: Tokens that are worked on at once within a block.
+SLICE = 1 << 18
 #: Bytes of text for each key range.
 RANGE_BYTES = 4 << 20
 STEPS, ITERATIONS = 4, 50
@@ -69,17 +71,25 @@ class _Grams:
         self.context = np.empty_like(tokens)
         self.context[1:] = tokens[:-1]
         self.context[self.first] = start
-        pairs, self.pair = np.unique(pair_keys(words[self.context], words[tokens]), return_inverse=True)
+        pairs, pair = np.unique(pair_keys(words[self.context], words[tokens]), return_inverse=True)
+        self.pair = pair.astype(np.int32)
         keys = np.concatenate((words, pairs))
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
         self.n_words = len(words)
 
-    def by_token(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """From values in key order: those of each token's pair, context and word."""
+    def by_token(self, sums: np.ndarray, starts: int):
+        """Slices of tokens and, from sums in key order, those of each one's pair, context and word.
+
+        starts: what the start of a document counts as context.
+        """
         own = np.empty_like(sums)
         own[self.order] = sums
-        return own[self.n_words :][self.pair], own[self.context], own[self.tokens]
+        own[0] = starts
+        pairs = own[self.n_words :]
+        for i in range(0, len(self.tokens), SLICE):
+            at = slice(i, i + SLICE)
+            yield at, pairs[self.pair[at]], own[self.context[at]], own[self.tokens[at]]
 
 
 class _Block:
@@ -291,11 +301,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         import pyarrow as pa
 
         for _, grams, main, _ in _blocks_with_sums(batches):
-            pair, context, word = grams.by_token(main)
-            context[grams.first] = n_main
-            cells = np.stack([context_bucket(context), _steps(_ratios(pair, context), uniform_main), _steps(word / max(n_m, 1), uniform_main)])
-            cells, events = np.unique(cells, axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in [*cells, events.astype(np.int64)]], ["context", "pair", "word", "events"])
+            for _, pair, context, word in grams.by_token(main, n_main):
+                cells = np.stack([context_bucket(context), _steps(_ratios(pair, context), uniform_main), _steps(word / max(n_m, 1), uniform_main)])
+                cells, events = np.unique(cells, axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in [*cells, events.astype(np.int64)]], ["context", "pair", "word", "events"])
 
     asides = own.filter("is_aside")
     put_aside = together(asides, back.join(asides.select("block"), "block", "left_semi"))
@@ -309,11 +318,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         import pyarrow as pa
 
         for about, grams, main, aside in _blocks_with_sums(batches):
-            pair, context, word = grams.by_token(main + aside)
-            context[grams.first] = n_all
-            mix = weights[context_bucket(context)]
-            p = mix[:, 0] * _ratios(pair, context) + mix[:, 1] * (word / max(n, 1)) + mix[:, 2] * uniform
-            by_doc = [np.add.reduceat(x, grams.first) for x in ((word > 0).astype(np.int64), np.log10((word + 1) / (n + v_all + 1)), np.log10(p))]
+            size = len(grams.tokens)
+            known, base, score = np.empty(size, np.int64), np.empty(size), np.empty(size)
+            for at, pair, context, word in grams.by_token(main + aside, n_all):
+                mix = weights[context_bucket(context)]
+                score[at] = np.log10(mix[:, 0] * _ratios(pair, context) + mix[:, 1] * (word / max(n, 1)) + mix[:, 2] * uniform)
+                base[at] = np.log10((word + 1) / (n + v_all + 1))
+                known[at] = word > 0
+            by_doc = [np.add.reduceat(x, grams.first) for x in (known, base, score)]
             ids = pa.array(about[0], pa.int64(), mask=about[1].astype(bool))
             for i in range(0, len(ids), 20_000):
                 part = slice(i, i + 20_000)
