@@ -35,13 +35,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the tables written so far. Call it once results that read them are stored."""
+def scratch_paths() -> list[str]:
+    """What was written so far and not cleared."""
+    return list(_state.get("scratch", []))
+
+
+def clear_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete these tables, or all written so far. Call it once results that read them are stored."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _state.pop("scratch", []):
+    for path in scratch_paths() if paths is None else paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+        _state["scratch"].remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
