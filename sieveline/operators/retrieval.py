@@ -21,8 +21,8 @@ def lexical_scores(docs: DataFrame, id_col: str, text: str, query: str, max_feat
     """id, lexical: TF-IDF cosine with a query that counts as one more document.
 
     Smoothed idf is ln((1 + n) / (1 + df)) + 1. Only the ``max_features`` terms of largest
-    collection frequency count (ties by term): a table of that size, so it is broadcast. Texts are
-    tokenised once; each document's terms are aggregated before they meet that table.
+    collection frequency count (ties by term): a table of that size, so it is broadcast. The
+    counts by document and term feed both that table and the weights; Spark reuses their shuffle.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.lit(False).alias("is_query"), F.coalesce(text, F.lit("")).alias("text"))
