@@ -4,7 +4,8 @@ All rolling k-grams of a text's words are joined with the positions of the same
 templates. A match at word p of the text and q of a template votes for diagonal p - q; the votes of a
 copied passage fall on one diagonal, or on neighbouring ones where words were put in or left out.
 Neighbouring diagonals are merged, and a merged span counts if it covers enough of its template
-densely enough. Grams are compared word for word beside their hashes. Everything is DataFrame
+densely enough, covers its template's telling words (versions, nc, sa), and holds no word that names another
+license of the same family (``UNLIKE``). Grams are compared word for word beside their hashes. Everything is DataFrame
 expressions; the templates' grams are a small fixed table, so that join is a broadcast.
 
 Short phrases give labels of their own (``PHRASES``), counted at every place where they stand.
@@ -44,6 +45,19 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
     ("reserved", "all rights reserved"),
 )
+#: Notices that the SQL form doesn't know: others with a word or two put in, which would be taken for those.
+LONG_FORMS = (
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution non commercial 4.0 international license"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution share alike 4.0 international license"),
+)
+_NC, _SA, _ND = ("nc", "noncommercial", "commercial"), ("sa", "sharealike", "alike"), ("nd", "noderivatives", "noderivs", "derivatives", "derivs")
+#: Words that, inside a span, make it the notice of another license.
+UNLIKE = {
+    "gpl-2.0": ("lesser", "library", "affero"), "gpl-3.0": ("lesser", "library", "affero"), "cc-by-4.0": (*_NC, *_SA, *_ND), "cc-by-nc-4.0": (*_SA, *_ND),
+    "cc-by-sa-4.0": (*_NC, *_ND),
+}
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -60,7 +74,7 @@ def _template_words(text: str) -> list[str]:
 def _grams(spark, size: int) -> DataFrame:
     """gram, at: where each distinct gram of the templates stands."""
     at = defaultdict(list)
-    for t, (_, text) in enumerate(TEMPLATES):
+    for t, (_, text) in enumerate((*TEMPLATES, *LONG_FORMS)):
         words = _template_words(text)
         for q in range(len(words) - size + 1):
             at[" ".join(words[q : q + size])].append((t, q))
@@ -85,9 +99,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     for i, (p, _) in enumerate(PHRASES):
         phrase = F.when((F.col("gram") == p) | F.startswith("gram", F.lit(p + " ")), i).otherwise(phrase)
     marked = each.withColumn("gram_hash", F.xxhash64("gram")).withColumn("phrase", phrase)
+    telling = sorted({w for ws in UNLIKE.values() for w in ws})
+    marked = marked.withColumn("telling", F.when(F.substring_index("gram", " ", 1).isin(telling), F.substring_index("gram", " ", 1)))
     found = marked.join(F.broadcast(_grams(spark, size)), "gram_hash", "left")
     at = F.when(F.col("gram") == F.col("template_gram"), F.col("at"))
-    kept = found.select("row", "doc_id", "n_words", "p", "phrase", at.alias("at")).filter("p < 0 OR phrase IS NOT NULL OR at IS NOT NULL")
+    kept = found.select("row", "doc_id", "n_words", "p", "phrase", "telling", at.alias("at")).filter("p < 0 OR phrase IS NOT NULL OR telling IS NOT NULL OR at IS NOT NULL")
     kept = stored(kept, "license-grams")
 
     places = F.when(F.col("phrase").isNotNull(), F.col("p"))
@@ -102,11 +118,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     apart = (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > NEAR) | (F.col("first") - F.lag("last").over(by_diagonal) > size + NEAR)
     lines = lines.withColumn("band", F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(by_diagonal))
     bands = lines.groupBy("row", "template", "band").agg(F.min("first").alias("first"), (F.max("last") + size).alias("last"), F.flatten(F.collect_list("qs")).alias("qs"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + size - 1)))))
-    lengths = F.array(*(F.lit(len(_template_words(t))) for _, t in TEMPLATES))
-    labels = F.array(*(F.lit(label) for label, _ in TEMPLATES))
-    bands = bands.withColumn("covered", covered).withColumn("score", F.col("covered") / F.get(lengths, F.col("template")))
-    spans = bands.filter((F.col("score") >= COVERAGE) & (F.col("covered") >= DENSITY * (F.col("last") - F.col("first"))))
+    covered = F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + size - 1))))
+    every = [(label, _template_words(t)) for label, t in (*TEMPLATES, *LONG_FORMS)]
+    lengths = F.array(*(F.lit(len(words)) for _, words in every))
+    labels = F.array(*(F.lit(label) for label, _ in every))
+    needed = F.array(*(F.array(*(F.lit(q) for q, w in enumerate(words) if w.isdigit() or w in telling)).cast("array<int>") for _, words in every))
+    unlike = F.array(*(F.array(*map(F.lit, UNLIKE.get(label, ()))).cast("array<string>") for label, _ in every))
+    bands = bands.withColumn("places", covered).withColumn("covered", F.size("places")).withColumn("score", F.col("covered") / F.get(lengths, F.col("template")))
+    all_needed = F.size(F.array_except(F.get(needed, F.col("template")), F.col("places").cast("array<int>"))) == 0
+    spans = bands.filter((F.col("score") >= COVERAGE) & (F.col("covered") >= DENSITY * (F.col("last") - F.col("first"))) & all_needed).drop("qs", "places")
+    others = kept.filter("telling IS NOT NULL").select(F.col("row").alias("other_row"), F.col("p").alias("other_p"), "telling")
+    inside = (F.col("row") == F.col("other_row")) & F.col("other_p").between(F.col("first"), F.col("last") - 1)
+    spans = spans.join(others, inside & F.array_contains(F.get(unlike, F.col("template")), F.col("telling")), "left_anti")
     return documents, spans.select("row", F.get(labels, F.col("template")).alias("label"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "score")
 
 
