@@ -9,7 +9,9 @@ Everything is DataFrame expressions.
 Cases: null texts and roles count as empty; turns are sorted by number, role and text, nulls first;
 a record that is null, no JSON, or of an unknown layout has no turns (``layout`` is null); repeated
 rows of a conversation are turns of their own; an empty table gives an empty result; other columns
-are not looked at. A conversation is one row, however long.
+are not looked at. A conversation is one row, however long: JSON texts have limits (128 MiB of a parsed
+value, 20,000,000 characters of a string), so beyond ``PARSED`` bytes ``records_of_rows`` gives the turns
+as they are beside a record that only shows the layout; a larger record without turns that can't be parsed is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of a conversation's texts (and 64 for each turn) that are sure to parse when written as JSON, where a byte may take six.
+PARSED = 16 << 20
 TURNS = "array<struct<role:string,text:string>>"
 BEGIN, FINISH = "<|im_start|>", "<|im_end|>\n"
 #: Before these positions a backslash goes: a backslash, or the second part of a control string.
@@ -82,15 +86,22 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``records`` with columns layout and turns in place of ``record``."""
-    value, mark = F.try_parse_json(record), fingerprint(F.col(record))
+def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, whole: str | None = None) -> DataFrame:
+    """``records`` with columns layout and turns in place of ``record``.
+
+    whole: a column of turns that stand for those of the record where it isn't null.
+    """
+    too_long = (F.octet_length(record) > PARSED) & F.try_parse_json(record).isNull()
+    checked = F.when(too_long, F.raise_error(F.lit("a record is no JSON or beyond the limits of parsed values")).cast("string")).otherwise(F.col(record))
+    value, mark = F.try_parse_json(checked), fingerprint(checked)
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for one in layouts:
         is_it = mark == fingerprint(F.lit(one.example))
         name = F.when(is_it, one.name).otherwise(name)
         turns = F.when(is_it, one.turns(value).cast(TURNS)).otherwise(turns)
-    return records.select(*(F.col(f"`{c}`") for c in records.columns if c != record), name.alias("layout"), turns.alias("turns"))
+    if whole:
+        turns = F.coalesce(F.col(whole), turns)
+    return records.select(*(F.col(f"`{c}`") for c in records.columns if c not in (record, whole)), name.alias("layout"), turns.alias("turns"))
 
 
 def format_turns(turned: DataFrame, turns: str = "turns", learn: str = "assistant") -> DataFrame:
@@ -124,7 +135,10 @@ def learned_text(formatted: Column, spans: Column) -> Column:
 
 
 def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, record: rows of turns as JSON records, in the layout that suits their roles."""
+    """conv_id, record, whole: rows of turns as JSON records, in the layout that suits their roles.
+
+    whole: null, or for conversations too long to parse their turns; the record is then an example of the layout.
+    """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     grouped = rows.groupBy(F.col(id_col).alias("conv_id")).agg(F.array_sort(F.collect_list(one), _by_turn).alias("t"))
     roles = F.transform("t", lambda t: t["role"])
@@ -136,8 +150,14 @@ def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn: str = "turn"
     system = F.to_json(F.struct(nth(0).alias("system"), nth(1).alias("prompt"), nth(2).alias("response")))
     is_roles = lambda *names: roles == F.array(*map(F.lit, names))
     plain = F.forall(roles, lambda r: r.isin("system", "user", "assistant"))
-    record = F.when(is_roles("user", "assistant"), prompt).when(is_roles("system", "user", "assistant"), system).when(plain & (F.pmod("conv_id", F.lit(2)) == 1), shared).otherwise(messages)
-    return grouped.select("conv_id", record.alias("record"))
+    size = F.aggregate("t", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["role"]) + F.octet_length(t["text"]) + 64)
+    grouped, long = grouped.withColumn("size", size), F.col("size") > PARSED
+    example = {one.name: F.lit(one.example) for one in LAYOUTS}
+    given = lambda name, whole: F.when(long, example[name]).otherwise(whole)
+    record = F.when(is_roles("user", "assistant"), given("prompt", prompt)).when(is_roles("system", "user", "assistant"), given("system_prompt", system))
+    record = record.when(plain & (F.pmod("conv_id", F.lit(2)) == 1), given("shared", shared)).otherwise(given("messages", messages))
+    whole = F.when(long, F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+    return grouped.select("conv_id", record.alias("record"), whole.alias("whole"))
 
 
 def _by_turn(a: Column, b: Column) -> Column:
@@ -148,5 +168,5 @@ def _by_turn(a: Column, b: Column) -> Column:
 
 
 def format_conversations(records: DataFrame) -> DataFrame:
-    """conv_id, layout, formatted, loss_spans for records (conv_id, record)."""
-    return format_turns(canonical_turns(records)).drop("turns")
+    """conv_id, layout, formatted, loss_spans for records (conv_id, record, and whole if given)."""
+    return format_turns(canonical_turns(records, whole="whole" if "whole" in records.columns else None)).drop("turns")
