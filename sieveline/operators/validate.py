@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.storage import stored
+
 
 def ranking_problems(df: DataFrame, rows: int = 100, id_pattern: str = r"^CAND_[0-9]{7}$") -> DataFrame:
     """problem, n: a row for each rule that is broken.
@@ -27,14 +29,23 @@ def ranking_problems(df: DataFrame, rows: int = 100, id_pattern: str = r"^CAND_[
     return found.select(F.inline(F.array(*(F.struct(F.lit(c).alias("problem"), F.col(c).alias("n")) for c in found.columns)))).filter("n > 0")
 
 
+def _with_seen(ranked: DataFrame) -> DataFrame:
+    """Adds __seen, the relevance up to each rank: within range partitions, plus the sums of those before."""
+    parts = stored(ranked.select("rank", "relevance").repartitionByRange("rank").withColumn("__part", F.spark_partition_id()), "seen")
+    sums = parts.groupBy("__part").agg(F.coalesce(F.sum("relevance"), F.lit(0)).alias("__sum"))
+    before = F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")
+    own = F.sum("relevance").over(Window.partitionBy("__part").orderBy("rank"))
+    placed = parts.withColumn("__own", own).join(F.broadcast(sums.select("__part", before.alias("__before"))), "__part")
+    return placed.withColumn("__seen", F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+
+
 def composite_quality(ranked: DataFrame) -> DataFrame:
     """One row: NDCG@10, NDCG@50, average precision, precision@5 and their composite, of (rank, relevance 0/1).
 
     The ideal order needs the number of relevant rows only.
     """
     gain = F.col("relevance") / F.log2(F.col("rank") + 1.0)
-    seen = F.sum("relevance").over(Window.orderBy("rank"))
-    sums = ranked.withColumn("__seen", seen).agg(
+    sums = _with_seen(ranked).agg(
         F.sum("relevance").cast("long").alias("relevant"), *(F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias(f"dcg{k}") for k in (10, 50)),
         F.sum(F.when(F.col("relevance") > 0, F.col("__seen") / F.col("rank")).otherwise(0.0)).alias("precisions"),
         (F.sum(F.when(F.col("rank") <= 5, F.col("relevance")).otherwise(0)) / 5.0).alias("p5"),

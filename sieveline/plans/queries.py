@@ -549,7 +549,7 @@ def val1_submission_problems(spark, sf_dir):
  SELECT round(sum(rel / log2(rank + 1)) FILTER (rank <= 10) / any_value(i10), 6) AS ndcg10, round(sum(rel / log2(rank + 1)) FILTER (rank <= 50) / any_value(i50), 6) AS ndcg50,
  round(sum(CASE WHEN rel > 0 THEN seen / rank ELSE 0 END)::DOUBLE / sum(rel), 6) AS average_precision, round(sum(rel) FILTER (rank <= 5) / 5.0, 6)::DOUBLE AS p5 FROM c, i""")
 def ir_metrics(spark, sf_dir):
-    ranked = rk.rank_top(rk.top(t(spark, sf_dir, "labels"), 1_000_000, [("doc_id", False)]), [("doc_id", False)]).select("rank", F.col("quality").alias("relevance"))
+    ranked = rk.global_rank(t(spark, sf_dir, "labels"), [("doc_id", False)]).select((F.col("rank") + 1).alias("rank"), F.col("quality").alias("relevance"))
     return validate.composite_quality(ranked).select(*(r(c).alias(c) for c in ("ndcg10", "ndcg50", "average_precision", "p5")))
 
 
