@@ -3,66 +3,24 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.storage import clear_scratch, scratch_path, scratch_paths, scratch_scope, shared_dir, stored
+
+__all__ = ["clear_scratch", "scratch_path", "scratch_paths", "scratch_scope", "shared_dir", "stored"]
+
 #: White space that separates words, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
+#: So many keys are broadcast at most; more are joined by a shuffle.
+FEW = 500_000
 
 _state: dict = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset (tests on one machine) a temporary folder takes its place.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _state.get("tmp") or _state.setdefault("tmp", Path(tempfile.mkdtemp(prefix="sieveline-")).as_uri())
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; ``clear_scratch`` removes all of them."""
-    path = f"{shared_dir(spark)}/sieveline/{name}-{uuid.uuid4().hex}"
-    _state.setdefault("scratch", []).append(path)
-    return path
-
-
-def scratch_paths() -> list[str]:
-    """What was written so far and not cleared."""
-    return list(_state.get("scratch", []))
-
-
-def clear_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete these tables, or all written so far. Call it once results that read them are stored."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in scratch_paths() if paths is None else paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-        _state["scratch"].remove(path)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps: it does so when the driver's unused plans are collected."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once a session."""
     sc = spark.sparkContext
@@ -90,15 +48,24 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def keep_rows(docs: DataFrame, keepers: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """One row of ``docs`` for each row of ``keepers``, with the columns of ``docs`` only.
+def keep_rows(docs: DataFrame, verdicts: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of ``docs`` that stay, with the columns of ``docs`` only.
 
-    keys: names (columns of ``keepers``) and how to compute them from a row of ``docs``. Rows of
-    ``docs`` that agree on all keys count as repeated; one of them stays. They are merged before
-    the shuffle, so a row that is repeated very often moves at most once a task.
+    verdicts: rows (the names of ``keys``, kept) for at least all rows that go and all repeated rows;
+    keys: how to compute those names from a row of ``docs``. Rows of ``docs`` that agree on all keys
+    count as repeated: one stays if any is kept. Only rows that verdicts name can go, so where those
+    are ``FEW`` the texts of the others aren't shuffled.
     """
-    names = [f"__key_{k}" for k in keys]
-    marked = docs.select("*", *(v.alias(n) for n, v in zip(names, keys.values(), strict=True)))
-    right = keepers.select(*(F.col(k).alias(f"__keep_{k}") for k in keys))
-    on = [F.col(n).eqNullSafe(F.col(f"__keep_{k}")) for n, k in zip(names, keys, strict=True)]
-    return marked.dropDuplicates(names).join(right, on, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = list(keys)
+    each = verdicts.groupBy(*names).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1")
+    each = stored(each.select(*(F.col(k).alias(f"__v_{k}") for k in names), F.col("kept").alias("__repeated")), "verdicts")
+    n, repeated = each.agg(F.count("*"), F.count_if("__repeated")).first()
+    right = F.broadcast(each) if n <= FEW else each
+    marked = docs.select("*", *(v.alias(f"__k_{k}") for k, v in keys.items()))
+    on = [F.col(f"__k_{k}").eqNullSafe(F.col(f"__v_{k}")) for k in names]
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    alone = marked.join(right, on, "left_anti").select(*own)
+    if not repeated:
+        return alone
+    one = marked.join(right.filter("__repeated"), on, "left_semi").dropDuplicates([f"__k_{k}" for k in names]).select(*own)
+    return alone.unionByName(one)

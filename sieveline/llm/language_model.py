@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import release, ship, stored, text_or_empty
+from sieveline.llm.common import ship, stored, text_or_empty
 
 #: Training leaves out documents whose crc32(id as text) mod FOLDS is HELD_OUT; of the others, EM learns from ASIDE.
 FOLDS, HELD_OUT, ASIDE = 7, 2, 3
@@ -284,7 +284,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     blocks = stored(chosen.mapInArrow(_cut_blocks(block_tokens), BLOCKS), "lm-blocks")
     keys = blocks.mapInArrow(_keys_of_blocks(bits), KEYS)
     sums = stored(keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sum_ranges, SUMS), "lm-sums")
-    release(spark)
     n_m, n_a, v_m, v_all = (x or 0 for x in sums.filter("block = -1").agg(*(F.sum(c) for c in ("n_main", "n_aside", "v_main", "v_all"))).first())
 
     empty = F.lit(None).cast("binary")
@@ -309,7 +308,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     asides = own.filter("is_aside")
     put_aside = together(asides, back.join(asides.select("block"), "block", "left_semi"))
     cells = put_aside.mapInArrow(histogram, "context long, pair long, word long, events long").groupBy("context", "pair", "word").agg(F.sum("events").alias("events")).collect()
-    release(spark)
     weights = learn_weights(np.array([tuple(r) for r in cells], dtype=np.int64).reshape(-1, 4))
 
     n = n_m + n_a
