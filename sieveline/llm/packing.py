@@ -5,30 +5,33 @@ of other documents, longest first, each into the open window with the least room
 it. The open windows stand in a segment tree indexed by their remaining capacity, so that window is
 found in logarithmic time.
 
-Tokens are counted and pieces packed in the task that reads the documents: nothing is shuffled. A
-task packs its pieces in blocks of ``BLOCK`` left-overs, so its memory is bounded; a block leaves a
-window or two partly filled. Sequence ids are unique across tasks (the task's partition number is
-their upper part).
+Tokens are counted in the task that reads the documents, which also writes the full windows. The
+left-overs of all tasks, narrow rows, are dealt evenly into groups of about ``BLOCK`` and each group is
+packed in a task, so memory is bounded and padding doesn't depend on how the input is partitioned: a
+group leaves a window or two partly filled. Sequence ids are unique (the partition number is their
+upper part, and left-overs have a bit of their own).
 
 Cases: a null text counts as empty and still has its end token; an empty table gives no pieces;
-repeated rows and ids are packed each on its own; white space and other columns don't matter.
+repeated rows and ids are packed each on its own; white space and other columns don't matter; of a
+very long text a task holds the words and ids, as it does the text itself.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import ship
+from sieveline.llm.common import ship, stored
 
 WINDOW, END_ID, BLOCK = 4096, 2, 32_768
-#: Words and stems whose ids a worker remembers; beyond that the younger half goes, longer words at once.
-CACHE, STEMS, LONG_WORD = 600_000, 1_200_000, 64
+#: Words and stems whose ids a worker remembers, about 200 bytes each; later ones and longer words are looked up again.
+CACHE, STEMS, LONG_WORD = 250_000, 200_000, 64
+#: Characters of text whose unknown words are looked up together.
+CHUNK = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -88,9 +91,10 @@ def pack_lengths(lengths, capacity: int = WINDOW) -> tuple[list[int], list[int]]
     return windows, offsets
 
 
-def shrunk(known: dict, limit: int) -> dict:
-    """A full table loses its younger half: words seen early are the common ones."""
-    return known if len(known) <= limit else dict(islice(known.items(), limit // 2))
+def shorten(known: dict, limit: int) -> None:
+    """A full table loses what came last: words seen early are the common ones."""
+    while len(known) > limit:
+        known.popitem()
 
 
 class WordIds:
@@ -144,24 +148,35 @@ class WordIds:
         for i in range(0, len(odd), 10_000):
             known.update(zip(odd[i : i + 10_000], self._whole(odd[i : i + 10_000]), strict=True))
 
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        self.known, self.stems = shrunk(self.known, CACHE), shrunk(self.stems, STEMS)
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        self._learn(new)
-        ids = b"".join(map(known.__getitem__, words))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*words).difference(self.known)
+        if new:
+            self._learn(sorted(new))
+        known = self.known.__getitem__
+        ids = [b"".join(map(known, w)) for w in words]
         for w in new:
             if len(w) > LONG_WORD:
-                del known[w]
+                del self.known[w]
                 self.stems.pop(w.lower(), None)
+        shorten(self.known, CACHE)
+        shorten(self.stems, STEMS)
         return ids
 
 
+def chunks(texts: list[str], size: int = CHUNK):
+    """Runs of texts of about ``size`` characters together."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 _encoders: dict[str, WordIds] = {}
 
 
@@ -175,51 +190,58 @@ def encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
-def _packer(path: str, window: int, end_id: int, block: int, with_ids: bool):
+def _batches(rows: list[tuple], with_ids: bool):
+    """Rows of ``SCHEMA`` (and ids) as Arrow batches."""
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
+    for i in range(0, len(rows), 20_000):
+        cols = list(zip(*rows[i : i + 20_000], strict=True))
+        arrays = [pa.array(c, pa.int64()) for c in cols[:7]]
+        if with_ids:
+            arrays.append(pa.array([np.frombuffer(x, "<u4").astype("<i4") for x in cols[7]], pa.list_(pa.int32())))
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _cutter(path: str, window: int, end_id: int, with_ids: bool):
+    """Rows (doc_id, text) -> pieces: full windows with their sequence, left-overs without."""
+
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
         encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        base, used = TaskContext.get().partitionId() << 36, 0
-        names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
-        full: list[tuple] = []
-        rest: list[tuple] = []
-
-        def out(rows):
-            for i in range(0, len(rows), 20_000):
-                cols = list(zip(*rows[i : i + 20_000], strict=True))
-                arrays = [pa.array(c, pa.int64()) for c in cols[:7]]
-                if with_ids:
-                    arrays.append(pa.array([np.frombuffer(x, "<u4").astype("<i4") for x in cols[7]], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-        def packed():
-            nonlocal used
-            windows, offsets = pack_lengths([r[2] for r in rest], window)
-            rows = [(*r[:5], base + used + w, o, *r[5:]) for r, w, o in zip(rest, windows, offsets, strict=True)]
-            used += max(windows, default=-1) + 1
-            rest.clear()
-            yield from out(rows)
+        sequence = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            docs, at = batch.column(0).to_pylist(), 0
+            for texts in chunks([t.as_py() or "" for t in batch.column(1)]):
+                rows = []
+                for ids in encode(texts):
+                    ids += end
+                    n = len(ids) // 4
+                    for start in range(0, n, window):
+                        part = ids[4 * start : 4 * (start + window)]
+                        whole = len(part) == 4 * window
+                        rows.append((docs[at], start, len(part) // 4, zlib.crc32(part), n, sequence if whole else None, 0, *(part,) * with_ids))
+                        sequence += whole
+                    at += 1
+                yield from _batches(rows, with_ids)
+
+    return run
+
+
+def _fitter(window: int, with_ids: bool):
+    """Left-overs of a group -> the same with their sequence and offset."""
+
+    def run(batches):
+        from pyspark import TaskContext
 
+        base, rows = TaskContext.get().partitionId() << 36 | 1 << 62, []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
-                n = len(ids) // 4
-                for start in range(0, n, window):
-                    part = ids[4 * start : 4 * (start + window)]
-                    row = (doc, start, len(part) // 4, zlib.crc32(part), n)
-                    tail = (part,) * with_ids
-                    if len(part) == 4 * window:
-                        full.append((*row, base + used, 0, *tail))
-                        used += 1
-                    else:
-                        rest.append((*row, *tail))
-            yield from out(full)
-            full.clear()
-            if len(rest) >= block:
-                yield from packed()
-        yield from packed()
+            cols = [batch.column(i).to_pylist() for i in range(5)]
+            ids = [[np.array(x.as_py(), "<i4").tobytes() for x in batch.column(7)]] if with_ids else []
+            rows.extend(zip(*cols, *ids, strict=True))
+        windows, offsets = pack_lengths([r[2] for r in rows], window)
+        yield from _batches([(*r[:5], base + w, o, *r[5:]) for r, w, o in zip(rows, windows, offsets, strict=True)], with_ids)
 
     return run
 
@@ -232,6 +254,9 @@ def pack_documents(
     with_ids: also the piece's token ids (array<int>), for writing sequences.
     """
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        _packer(vocabulary, window, end_id, block, with_ids), SCHEMA + ", ids array<int>" * with_ids
-    )
+    schema = SCHEMA + ", ids array<int>" * with_ids
+    pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_cutter(vocabulary, window, end_id, with_ids), schema)
+    pieces = stored(pieces, "pieces")
+    rest = pieces.filter("sequence_id IS NULL")
+    groups = -(-rest.count() // block)
+    return pieces.filter("sequence_id IS NOT NULL").unionByName(rest.repartition(max(1, groups)).mapInArrow(_fitter(window, with_ids), schema))
