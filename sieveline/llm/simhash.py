@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import keep_rows, ship, stored, text_or_empty
+from sieveline.llm.common import FEW, keep_rows, ship, stored, text_or_empty
 
 WORDS, RADIUS, BLOCKS, SEED = 4, 4, 7, 42
 #: Fingerprints of a shard that one task compares with each other.
@@ -214,19 +214,23 @@ def components(edges: DataFrame) -> DataFrame:
     def canonical(df: DataFrame) -> DataFrame:
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
 
+    # What is joined is stored first: joins of stored tables have shuffles of their own, which Spark
+    # splits where a node has very many links.
     now = stored(canonical(edges), "links")
-    while not now.isEmpty():
+    count = now.count()
+    while count:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "links-low")
         large = both.filter("b > a").join(least, "a").select("low", "b").select(F.col("low").alias("a"), "b")
-        large = canonical(large)
+        large = stored(canonical(large), "links-large")
         # the small star: a node's smaller neighbours and itself go to the smallest of them
-        least = large.groupBy("b").agg(F.min("a").alias("low"))
+        least = stored(large.groupBy("b").agg(F.min("a").alias("low")), "links-low")
         small = large.join(least, "b").select(F.col("low").alias("x"), F.explode(F.array("a", "b")).alias("y"))
         new = stored(canonical(small.select(F.col("x").alias("a"), F.col("y").alias("b"))), "links")
-        if now.count() == new.count() and now.join(new, ["a", "b"], "left_anti").isEmpty():
+        n = new.count()
+        if count == n and now.join(new, ["a", "b"], "left_anti").isEmpty():
             break
-        now = new
+        now, count = new, n
     roots = now.groupBy("b").agg(F.min("a").alias("root"))
     return roots.select(F.col("b").alias("node"), "root").unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
@@ -238,24 +242,30 @@ def _prints(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
 
 
 def _labelled(prints: DataFrame, radius: int) -> DataFrame:
-    """fp, first: the least (none, doc_id, text_hash) of the component of each fingerprint that has links."""
+    """fp, first, rows: the least (none, doc_id, text_hash) of the component of each fingerprint, and the component's rows."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    each = prints.groupBy("fp").agg(first.alias("first"))
+    each = stored(prints.groupBy("fp").agg(first.alias("first"), F.count("*").alias("rows")), "distinct-fingerprints")
     roots = components(find_links(each.select("fp"), radius))
-    whole = each.join(roots, each.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = whole.groupBy("root").agg(F.min("first").alias("first"))
-    return whole.select("fp", "root").join(least, "root").select("fp", "first")
+    linked = stored(each.join(roots, each.fp == roots.node).select("fp", "root", "first", "rows"), "linked")
+    least = stored(linked.groupBy("root").agg(F.min("first").alias("least"), F.sum("rows").alias("all_rows")), "linked-least")
+    named = linked.select("fp", "root").join(least, "root").select("fp", F.col("least").alias("first"), F.col("all_rows").alias("rows"))
+    return named.unionByName(each.join(linked, "fp", "left_anti").select("fp", "first", "rows"))
 
 
 def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id: one row for each row of ``docs``."""
     prints = _prints(docs, id_col, text, size)
-    named = _labelled(prints, radius)
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+    # Only fingerprints of several rows must be joined; any other row is a component of its own.
+    named = stored(_labelled(prints, radius).filter("rows > 1").select("fp", "first"), "fingerprint-components")
+    name = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    joined = prints.join(F.broadcast(named) if named.count() <= FEW else named, "fp", "left")
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), name.alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, that with the smallest id, with the columns of ``docs``."""
-    named = _labelled(_prints(docs, id_col, text, size), radius)
-    keepers = named.select("first").distinct().select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("text_hash"))
-    return keep_rows(docs, keepers, {"id": F.col(id_col).cast("long"), "text_hash": F.xxhash64(text_or_empty(text))})
+    """One row of each component within the radius, that with the smallest id, with the columns of ``docs``."""
+    prints = _prints(docs, id_col, text, size)
+    named = _labelled(prints, radius).filter("rows > 1").select("fp", "first")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    verdicts = prints.join(named, "fp").select(F.col("doc_id").alias("id"), "text_hash", same.alias("kept"))
+    return keep_rows(docs, verdicts, {"id": F.col(id_col).cast("long"), "text_hash": F.xxhash64(text_or_empty(text))})
