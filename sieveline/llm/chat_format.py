@@ -1,13 +1,15 @@
 """Chat records of any known layout to canonical turns, and turns to text with a loss mask.
 
-A record's nested field paths (from the schema of its variant value, without leaf types) are hashed
-to a fingerprint; the fingerprint selects a declarative mapping that says where turns, roles and
-texts stand. Turns are then written with marks. Control strings inside texts and roles are broken up
-by a backslash, and backslashes doubled, so the text between marks can be read back exactly.
-Everything is DataFrame expressions.
+A record's fingerprint is the set of hashes of its nested field paths (from the schema of its variant
+value). A declarative mapping says where turns, roles and texts stand, and applies to every record that
+has all paths of the mapping's example, whatever other fields it has; of several that with most paths.
+Message contents may be texts or lists of parts. Turns are then written with marks. Control strings
+inside texts and roles are broken up by a backslash, and backslashes doubled, so the text between marks
+can be read back exactly. Everything is DataFrame expressions.
 
 Cases: null texts and roles count as empty; turns are sorted by number, role and text, nulls first;
-a record that is null, no JSON, or of an unknown layout has no turns (``layout`` is null); repeated
+a record that is no JSON or of an unknown layout has no turns, ``layout`` is null and ``unknown`` holds
+the record; a null record has neither; an empty list of messages gives no turns; repeated
 rows of a conversation are turns of their own; an empty table gives an empty result; other columns
 are not looked at. A conversation is one row, however long: JSON texts have limits (128 MiB of a parsed
 value, 20,000,000 characters of a string), so beyond ``PARSED`` bytes ``records_of_rows`` gives the turns
@@ -27,15 +29,17 @@ TURNS = "array<struct<role:string,text:string>>"
 BEGIN, FINISH = "<|im_start|>", "<|im_end|>\n"
 #: Before these positions a backslash goes: a backslash, or the second part of a control string.
 BREAK = r"(?=\\)|(?<=<)(?=\|)|(?<=<)(?=/?s>)|(?<=\[)(?=/?INST\])|(?<=<<)(?=/?SYS>>)"
-_TYPES = "STRING|VOID|BIGINT|DOUBLE|BOOLEAN|FLOAT|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|DECIMAL\\(\\d+,\\s*\\d+\\)|VARIANT"
+#: What the text of a schema consists of: names, and the beginnings and ends of what nests.
+_TOKEN = r"(`(?:[^`]|``)+`: |[^<>,: `]+: |OBJECT<|ARRAY<VOID>|ARRAY<|>)"
 
 
 @dataclass(frozen=True)
 class Layout:
     """Where a layout keeps its turns.
 
-    example: a record with all its fields. Either ``list_at`` names an array of objects with fields
-    ``role`` and ``text``, or ``fixed`` lists (role, path) in order.
+    example: a record with the fields that it must have. Either ``list_at`` names an array of objects
+    with fields ``role`` and ``text``, or ``fixed`` lists (role, paths) in order: a turn's text joins
+    those paths that aren't empty by a blank line; a turn none of whose paths is there is left out.
     """
 
     name: str
@@ -44,38 +48,82 @@ class Layout:
     role: str = ""
     text: str = ""
     roles: dict[str, str] = field(default_factory=dict)
-    fixed: tuple[tuple[str, str], ...] = ()
+    fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     def turns(self, value: Column) -> Column:
-        if self.fixed:
-            return F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(F.try_variant_get(value, p, "string"), F.lit("")).alias("text")) for r, p in self.fixed))
-        role: Column = F.lit(None)
-        found = F.try_variant_get(value, self.list_at, f"array<struct<`{self.role}`:string,`{self.text}`:string>>")
+        if not self.list_at:
+            if not self.fixed:
+                return F.array().cast(TURNS)
+            return F.array_compact(F.array(*(self._fixed(value, *f) for f in self.fixed)))
+        found = F.try_variant_get(value, self.list_at, f"array<struct<`{self.role}`:string,`{self.text}`:variant>>")
 
         def turn(t: Column) -> Column:
             role = F.coalesce(t[self.role], F.lit(""))
             renamed = role
             for old, new in self.roles.items():
                 renamed = F.when(role == old, new).otherwise(renamed)
-            return F.struct(renamed.alias("role"), F.coalesce(t[self.text], F.lit("")).alias("text"))
+            return F.struct(renamed.alias("role"), content_text(t[self.text]).alias("text"))
 
         return F.transform(found, turn)
 
+    @staticmethod
+    def _fixed(value: Column, role: str, paths: tuple[str, ...]) -> Column:
+        there = F.array_compact(F.array(*(F.try_variant_get(value, p, "variant") for p in paths)))
+        texts = F.filter(F.transform(there, content_text), lambda t: t != "")
+        return F.when(F.size(there) > 0, F.struct(F.lit(role).alias("role"), F.array_join(texts, "\n\n").alias("text")))
+
+
+def content_text(content: Column) -> Column:
+    """A text as it is; of a list of parts their texts, parts of another kind as JSON; null as empty."""
+    parts = F.try_variant_get(content, "$", "array<variant>")
+    joined = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.try_variant_get(p, "$", "string"), F.lit(""))), "")
+    return F.coalesce(F.when(F.startswith(F.schema_of_variant(content), F.lit("ARRAY<")), joined), F.try_variant_get(content, "$", "string"), F.lit(""))
+
+
+def _pair(name: str, first: str, second: str, *before: tuple[str, str]) -> Layout:
+    example = "{" + ",".join(f'"{x}":""' for x in (*(b for _, b in before), first, second)) + "}"
+    return Layout(name, example, fixed=(*((r, (f"$.{x}",)) for r, x in before), ("user", (f"$.{first}",)), ("assistant", (f"$.{second}",))))
+
 
 #: Layouts in common use.
 LAYOUTS = (
     Layout("messages", '{"messages":[{"role":"","content":""}]}', "$.messages", "role", "content"),
+    Layout("no_messages", '{"messages":[]}'),
     Layout("shared", '{"conversations":[{"from":"","value":""}]}', "$.conversations", "from", "value", {"human": "user", "gpt": "assistant"}),
-    Layout("prompt", '{"prompt":"","completion":""}', fixed=(("user", "$.prompt"), ("assistant", "$.completion"))),
-    Layout("system_prompt", '{"system":"","prompt":"","response":""}', fixed=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
-    Layout("instruction", '{"instruction":"","input":"","output":""}', fixed=(("system", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
+    Layout("conversations", '{"conversations":[{"role":"","content":""}]}', "$.conversations", "role", "content"),
+    Layout("no_conversations", '{"conversations":[]}'),
+    _pair("prompt", "prompt", "completion"),
+    _pair("response", "prompt", "response"),
+    _pair("system_prompt", "prompt", "response", ("system", "system")),
+    _pair("question", "question", "answer"),
+    Layout("instruction", '{"instruction":"","output":""}', fixed=(("system", ("$.system",)), ("user", ("$.instruction", "$.input")), ("assistant", ("$.output",)))),
+    Layout("instruction_response", '{"instruction":"","response":""}', fixed=(("system", ("$.system",)), ("user", ("$.instruction", "$.input")), ("assistant", ("$.response",)))),
 )
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the nested field paths of a JSON text."""
-    paths = F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), f": ({_TYPES})(?=[,>])", "")
-    return F.xxhash64(paths)
+def field_paths(schema: Column) -> Column:
+    """The nested field paths of a schema's text, "[]" for elements: one walk over its tokens with a stack of open containers."""
+    top = lambda s: F.coalesce(F.try_element_at(s["open"], F.lit(-1)), F.lit(""))
+    to = lambda at, stack, paths: F.struct(at.alias("at"), stack.alias("open"), paths.alias("paths"))
+
+    def step(s: Column, token: Column) -> Column:
+        named = F.concat(top(s), F.lit("."), F.substring(token, F.lit(1), F.length(token) - 2))
+        element = F.concat(s["at"], F.lit("[]"))
+        return (
+            F.when(token == ">", to(s["at"], F.slice(s["open"], 1, F.size(s["open"]) - 1), s["paths"]))
+            .when(token == "OBJECT<", to(s["at"], F.concat(s["open"], F.array(s["at"])), s["paths"]))
+            .when(token == "ARRAY<", to(element, F.concat(s["open"], F.array(element)), s["paths"]))
+            .when(token == "ARRAY<VOID>", to(s["at"], s["open"], F.concat(s["paths"], F.array(F.concat(element, F.lit(" none"))))))
+            .otherwise(to(named, s["open"], F.concat(s["paths"], F.array(named))))
+        )
+
+    none = F.array().cast("array<string>")
+    return F.aggregate(F.regexp_extract_all(schema, F.lit(_TOKEN), F.lit(1)), to(F.lit(""), none, none), step)["paths"]
+
+
+def fingerprint(value: Column) -> Column:
+    """Hashes of the nested field paths of a variant value."""
+    return F.array_distinct(F.transform(field_paths(F.schema_of_variant(value)), lambda p: F.xxhash64(p)))
 
 
 def escaped(text: Column) -> Column:
@@ -86,22 +134,34 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _known(spark, layouts: tuple[Layout, ...]) -> list[tuple[Layout, list[int]]]:
+    """Layouts with the fingerprints of their examples, those with most paths first."""
+    rows = spark.range(1).select(*(fingerprint(F.parse_json(F.lit(x.example))).alias(f"l{i}") for i, x in enumerate(layouts))).first()
+    return sorted(zip(layouts, map(list, rows), strict=True), key=lambda x: -len(x[1]))
+
+
 def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, whole: str | None = None) -> DataFrame:
-    """``records`` with columns layout and turns in place of ``record``.
+    """``records`` with columns layout, turns and unknown (a record of no known layout) in place of ``record``.
 
     whole: a column of turns that stand for those of the record where it isn't null.
     """
     too_long = (F.octet_length(record) > PARSED) & F.try_parse_json(record).isNull()
     checked = F.when(too_long, F.raise_error(F.lit("a record is no JSON or beyond the limits of parsed values")).cast("string")).otherwise(F.col(record))
-    value, mark = F.try_parse_json(checked), fingerprint(checked)
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for one in layouts:
-        is_it = mark == fingerprint(F.lit(one.example))
+    # Columns of their own: what several mappings use is computed once a row.
+    marked = records.withColumn("__value", F.try_parse_json(checked))
+    marked = marked.withColumn("__mark", fingerprint(F.col("__value")))
+    name: Column = F.lit(None).cast("string")
+    turns: Column = F.lit(None).cast(TURNS)
+    for one, paths in reversed(_known(records.sparkSession, layouts)):
+        is_it = F.size(F.array_except(F.array(*map(F.lit, paths)), F.col("__mark"))) == 0
         name = F.when(is_it, one.name).otherwise(name)
-        turns = F.when(is_it, one.turns(value).cast(TURNS)).otherwise(turns)
+        turns = F.when(F.col("__layout") == one.name, one.turns(F.col("__value")).cast(TURNS)).otherwise(turns)
+    marked = marked.withColumn("__layout", name)
     if whole:
         turns = F.coalesce(F.col(whole), turns)
-    return records.select(*(F.col(f"`{c}`") for c in records.columns if c not in (record, whole)), name.alias("layout"), turns.alias("turns"))
+    unknown = F.when(F.col("__layout").isNull(), F.col(record))
+    rest = (F.col(f"`{c}`") for c in records.columns if c not in (record, whole, "layout", "turns", "unknown"))
+    return marked.select(*rest, F.col("__layout").alias("layout"), turns.alias("turns"), unknown.alias("unknown"))
 
 
 def format_turns(turned: DataFrame, turns: str = "turns", learn: str = "assistant") -> DataFrame:
@@ -146,7 +206,8 @@ def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn: str = "turn"
     old = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
     shared = F.to_json(F.struct(F.transform("t", lambda t: F.struct(old(t["role"]).alias("from"), t["text"].alias("value"))).alias("conversations")))
     nth = lambda i: F.get("t", F.lit(i))["text"]
-    prompt = F.to_json(F.struct(nth(0).alias("prompt"), nth(1).alias("completion")))
+    prompt = F.to_json(F.struct(nth(0).alias("prompt"), nth(1).alias("completion"), F.col("conv_id").alias("id")))
+    instruction = F.to_json(F.struct(nth(0).alias("instruction"), nth(1).alias("output")))
     system = F.to_json(F.struct(nth(0).alias("system"), nth(1).alias("prompt"), nth(2).alias("response")))
     is_roles = lambda *names: roles == F.array(*map(F.lit, names))
     plain = F.forall(roles, lambda r: r.isin("system", "user", "assistant"))
@@ -154,7 +215,7 @@ def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn: str = "turn"
     grouped, long = grouped.withColumn("size", size), F.col("size") > PARSED
     example = {one.name: F.lit(one.example) for one in LAYOUTS}
     given = lambda name, whole: F.when(long, example[name]).otherwise(whole)
-    record = F.when(is_roles("user", "assistant"), given("prompt", prompt)).when(is_roles("system", "user", "assistant"), given("system_prompt", system))
+    record = F.when(is_roles("user", "assistant") & (F.pmod("conv_id", F.lit(2)) == 0), given("instruction", instruction)).when(is_roles("user", "assistant"), given("prompt", prompt)).when(is_roles("system", "user", "assistant"), given("system_prompt", system))
     record = record.when(plain & (F.pmod("conv_id", F.lit(2)) == 1), given("shared", shared)).otherwise(given("messages", messages))
     whole = F.when(long, F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
     return grouped.select("conv_id", record.alias("record"), whole.alias("whole"))
@@ -168,5 +229,5 @@ def _by_turn(a: Column, b: Column) -> Column:
 
 
 def format_conversations(records: DataFrame) -> DataFrame:
-    """conv_id, layout, formatted, loss_spans for records (conv_id, record, and whole if given)."""
+    """conv_id, layout, unknown, formatted, loss_spans for records (conv_id, record, and whole if given)."""
     return format_turns(canonical_turns(records, whole="whole" if "whole" in records.columns else None)).drop("turns")

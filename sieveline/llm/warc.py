@@ -6,33 +6,40 @@ protocol to any file system, and a lost executor's files are written anew. A gzi
 the upper byte of its length, zero below 16 MiB; that last byte is left to the writer as its line
 separator. Where it isn't zero an empty member follows.
 
-``read_archives`` goes through each archive member by member, inflating in steps, frames each record
-by its Content-Length and checks digests.
+``read_archives`` goes through each archive member by member, inflating in steps of bounded size from
+an open file, frames each record by its Content-Length and checks the digests that are there. Payloads
+are held only if they are asked for. What is damaged gives a row that names the problem, and reading
+goes on at the next member.
 
 Cases: a null payload is empty, a null id or URL gives an empty header value; of records with equal
 payloads those with the smallest id are responses (null ids only if there is no other), the others
 revisits that name it; an empty table gives no archives and an empty result; other columns of the
-input are not looked at.
+input are not looked at. Records of other kinds and of other writers are read too: digests are
+optional, ids are texts, and page_id is null where the id isn't one of this writer's numbers.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import scratch_path, ship
+from sieveline.llm.common import FEW, scratch_path, ship, stored
 
 #: Payloads of fewer bytes are always stored, never revisited.
 MIN_REVISIT = 0
 ARCHIVE_BYTES = 32 << 20
-STEP = 1 << 16
+#: Bytes that are read or inflated at once, and the most that a record's header may have.
+STEP, HEADER = 1 << 16, 1 << 20
 DATE = "2020-01-01T00:00:00Z"
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, problem string"
+RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, problem string, record_id string, refers_to_id string"
 _EMPTY_MEMBER = zlib.compressobj(0, zlib.DEFLATED, 31).flush()
 
 
@@ -76,51 +83,169 @@ def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     return member if member[-1] == 0 else member + _EMPTY_MEMBER
 
 
-def members(data: bytes, step: int = STEP) -> Iterator[bytes]:
-    """The inflated gzip members of an archive, one at a time."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        inflate, out = zlib.decompressobj(31), []
-        while not inflate.eof:
-            part = view[at : at + step]
-            if not part:
-                raise ValueError("the archive ends inside a gzip member")
-            out.append(inflate.decompress(part))
-            at += len(part)
-        at -= len(inflate.unused_data)
-        yield b"".join(out)
-
-
-def _header(data: bytes, start: int) -> tuple[dict[str, str], int]:
-    end = data.index(b"\r\n\r\n", start)
-    lines = data[start:end].decode("utf-8").split("\r\n")
-    fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-    return {"": lines[0], **fields}, end + 4
-
-
-def read_records(data: bytes) -> Iterator[tuple]:
-    """The values of ``RECORDS`` for each record; problem names what didn't verify."""
-    for member in members(data):
-        if not member:
-            continue
-        head, at = _header(member, 0)
-        size = int(head["content-length"])
-        block = member[at : at + size]
-        problem = None
-        if head[""] != "WARC/1.1" or len(block) != size or member[at + size :] != b"\r\n\r\n":
-            problem = "framing"
-        elif head["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
-            problem = "block digest"
-        http, start = _header(block, 0)
-        payload, length = block[start:], int(http["content-length"])
-        digest = head["warc-payload-digest"].removeprefix("sha1:")
-        revisit = head["warc-type"] == "revisit"
-        if not revisit and problem is None and (len(payload) != length or base32_sha1(payload) != digest):
-            problem = "payload digest"
-        number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
-        refers = number(head["warc-refers-to"]) if revisit else None
-        url = head.get("warc-target-uri")
-        yield number(head["warc-record-id"]), None if url is None else _plain(url), head["warc-type"], refers, length, digest, None if revisit else payload, problem
+class Damage(Exception):
+    """What is wrong with a member."""
+
+
+class Member:
+    """The inflated bytes of the gzip member at a place of a stream, in steps."""
+
+    def __init__(self, stream: BinaryIO, at: int, step: int = STEP) -> None:
+        self.stream, self.end, self.step = stream, at, step
+        self.inflate, self.held = zlib.decompressobj(31), b""
+        stream.seek(at)
+
+    def read(self) -> bytes:
+        """At most ``step`` bytes or so; none at the end of the member."""
+        while not self.inflate.eof:
+            data = self.held or self.stream.read(self.step)
+            try:
+                out = self.inflate.decompress(data, self.step)
+            except zlib.error as e:
+                raise Damage("gzip") from e
+            self.held = b"" if self.inflate.eof else self.inflate.unconsumed_tail
+            self.end += len(data) - len(self.held) - len(self.inflate.unused_data)
+            if out:
+                return out
+            if not data and not self.inflate.eof:
+                raise Damage("the archive ends inside a gzip member")
+        return b""
+
+
+class _Bytes:
+    """A member's bytes by line and by number."""
+
+    def __init__(self, member: Member) -> None:
+        self.member, self.held = member, b""
+
+    def at_end(self) -> bool:
+        self.held = self.held or self.member.read()
+        return not self.held
+
+    def head(self) -> bytes:
+        """What stands before an empty line, which is passed."""
+        while (end := self.held.find(b"\r\n\r\n")) < 0:
+            more = self.member.read() if len(self.held) < HEADER else b""
+            if not more:
+                raise Damage("no header")
+            self.held += more
+        out, self.held = self.held[:end], self.held[end + 4 :]
+        return out
+
+    def take(self, n: int) -> Iterator[bytes]:
+        """The next n bytes in parts, or fewer at the end of the member."""
+        while n and not self.at_end():
+            part, self.held = self.held[:n], self.held[n:]
+            n -= len(part)
+            yield part
+
+
+def _fields(head: bytes) -> tuple[str, dict[str, str]]:
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+class _Digest:
+    """Checks a labelled digest, base32 or hexadecimal, as bytes come in; labels it can't check pass."""
+
+    def __init__(self, label: str | None) -> None:
+        kind, _, self.value = (label or "").partition(":")
+        self.hash = hashlib.new(kind.lower().replace("-", "")) if kind.lower().replace("-", "") in ("sha1", "sha256", "sha512", "md5") else None
+
+    def update(self, data: bytes) -> None:
+        if self.hash:
+            self.hash.update(data)
+
+    def fails(self) -> bool:
+        if not self.hash:
+            return False
+        raw = self.hash.digest()
+        return self.value.rstrip("=").upper() != base64.b32encode(raw).decode().rstrip("=") and self.value.lower() != raw.hex()
+
+
+def _number(x: str | None) -> int | None:
+    n = (x or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(n) if x and x.startswith("<urn:page:") and n.lstrip("-").isdigit() and -(1 << 63) <= int(n) < 1 << 63 else None
+
+
+def _record(data: _Bytes, with_payload: bool) -> tuple:
+    version, head = _fields(data.head())
+    if not version.startswith("WARC/"):
+        raise Damage("no WARC header")
+    if not (length := head.get("content-length", "")).isdigit():
+        raise Damage("no Content-Length")
+    kind, size = head.get("warc-type"), int(length)
+    label = head.get("warc-payload-digest")
+    block, payload, own = _Digest(head.get("warc-block-digest")), _Digest(label), hashlib.sha1()
+    http: bytes | None = b"" if head.get("content-type", "").lower().startswith("application/http") else None
+    kept, got, n, said = [], 0, 0, None
+    for part in data.take(size):
+        got += len(part)
+        block.update(part)
+        if http is not None:
+            http += part
+            if (end := http.find(b"\r\n\r\n")) < 0:
+                if len(http) > HEADER:
+                    raise Damage("no HTTP header")
+                continue
+            said = _fields(http[:end])[1].get("content-length")
+            part, http = http[end + 4 :], None
+        n += len(part)
+        payload.update(part)
+        own.update(part)
+        if with_payload:
+            kept.append(part)
+    tail = b"".join(data.take(4))
+    revisit = kind == "revisit"
+    problem = None
+    if got != size or tail != b"\r\n\r\n":
+        problem = "framing"
+    elif block.fails():
+        problem = "block digest"
+    elif not revisit and (payload.fails() or said is not None and said.isdigit() and int(said) != n):
+        problem = "payload digest"
+    digest = label.removeprefix("sha1:") if label else None if revisit else base64.b32encode(own.digest()).decode()
+    bytes_ = (int(said) if said and said.isdigit() else None) if revisit else n
+    url = head.get("warc-target-uri")
+    names = head.get("warc-record-id"), head.get("warc-refers-to")
+    body = b"".join(kept) if with_payload and not revisit else None
+    return _number(names[0]), None if url is None else _plain(url), kind, _number(names[1]) if revisit else None, bytes_, digest, body, problem, *names
+
+
+def _next_member(stream: BinaryIO, at: int) -> int | None:
+    """Where the next bytes that may begin a gzip member stand."""
+    stream.seek(at)
+    before = b""
+    while part := stream.read(STEP):
+        seen = before + part
+        if (i := seen.find(b"\x1f\x8b\x08")) >= 0:
+            return at - len(before) + i
+        at += len(part)
+        before = seen[-2:]
+    return None
+
+
+def read_records(archive: BinaryIO | bytes, with_payload: bool = True, step: int = STEP) -> Iterator[tuple]:
+    """The values of ``RECORDS`` for each record; problem names what is damaged or didn't verify."""
+    stream = io.BytesIO(archive) if isinstance(archive, bytes) else archive
+    at: int | None = 0
+    damaged = False
+    while at is not None:
+        stream.seek(at)
+        if not stream.read(1):
+            return
+        member = Member(stream, at, step)
+        data = _Bytes(member)
+        try:
+            while not data.at_end():
+                yield _record(data, with_payload)
+                damaged = False
+            at = member.end
+        except Damage as e:
+            if not damaged:  # what follows is the same damage until a record is found
+                yield (*(None,) * 7, str(e), None, None)
+            damaged = True
+            at = _next_member(stream, at + 1)
 
 
 def _archives(limit: int):
@@ -151,45 +276,55 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: st
     ship(pages.sparkSession)
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
-    # Narrow rows, merged before the shuffle; the join splits a payload that very many pages share.
+    # Payloads that several pages share, merged before the shuffle. The pages themselves move only if those are many;
+    # that join splits a payload that very many share.
     groups = rows.filter(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     revisit = F.coalesce((F.col("size") >= min_revisit) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
-    joined = rows.join(groups, "digest", "left").select("page_id", "url", "html", "first", revisit.alias("revisit"))
+    groups = stored(groups, "copies")
+    joined = rows.join(F.broadcast(groups) if groups.count() <= FEW else groups, "digest", "left").select("page_id", "url", "html", "first", revisit.alias("revisit"))
     archives = joined.mapInArrow(_archives(limit), "archive binary").select(F.col("archive").cast("string").alias("value"))
     archives.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").option("compression", "none").text(path)
 
 
-def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
-    """A row for each record below ``path``."""
+def read_archives(spark, path: str, with_payload: bool = True, pattern: str = "part-*", opener: Callable[[str], BinaryIO] | None = None) -> DataFrame:
+    """A row for each record of the files below ``path``.
+
+    Files are read from an open handle, a step at a time: those of a file system that is mounted, or
+    of any other by ``opener`` (which executors call with the file's URI). Without it, files that
+    only Spark can read come whole, so they must be smaller than 2 GB and fit in memory.
+    """
     ship(spark)
-    names = [c.split()[0] for c in RECORDS.split(", ")]
+    fields = [c.split() for c in RECORDS.split(", ")]
+    by_path = opener is not None or urlparse(path).scheme in ("", "file")
+    open_file = opener or (lambda uri: open(unquote(urlparse(uri).path), "rb"))
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
         def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
         for batch in batches:
-            for data in batch.column(0):
+            for one in batch.column(0):
                 rows, size = [], 0
-                for row in read_records(data.as_buffer().to_pybytes()):
-                    size += len(row[6] or b"")
-                    rows.append(row if with_payload else (*row[:6], None, row[7]))
-                    if len(rows) == 10_000 or size > STEP * 256:
-                        yield out(rows)
-                        rows, size = [], 0
+                with open_file(one.as_py()) if by_path else io.BytesIO(one.as_py()) as stream:
+                    for row in read_records(stream, with_payload):
+                        size += len(row[6] or b"")
+                        rows.append(row)
+                        if len(rows) == 10_000 or size > STEP * 256:
+                            yield out(rows)
+                            rows, size = [], 0
                 if rows:
                     yield out(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, RECORDS)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select("path" if by_path else "content").mapInArrow(run, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages to archives in the shared folder and read those back."""
+    """Write the pages to archives in the shared folder and read those back; ``clear_scratch`` removes the archives."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
