@@ -386,6 +386,9 @@ def test_warc(spark):
         want[page, url, len(body), warc.base32_sha1(body), "revisit" if revisit else "response", least if revisit else None] += 1
         assert revisit or any(r.payload == body for r in got)
     assert Counter((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    by_handle = sorted(map(str, got))
+    opened = warc.read_archives(spark, path, opener=lambda uri: open(uri.removeprefix("file:"), "rb")).collect()
+    assert sorted(map(str, opened)) == by_handle
     assert warc.round_trip(df.filter("1 = 0")).count() == 0
 
 
@@ -397,9 +400,45 @@ def test_warc_reader_finds_damage():
     assert next(warc.read_records(record))[7] is None
     assert next(warc.read_records(gzip.compress(plain.replace(b"hello", b"hallo"))))[7] == "block digest"
     assert next(warc.read_records(gzip.compress(plain[:-5])))[7] == "framing"
-    with pytest.raises(ValueError):
-        list(warc.read_records(record[:-9]))
-    assert [m for m in warc.members(record * 3, step=7)] == [plain] * 3
+    problems = lambda data, **kw: [r[7] for r in warc.read_records(data, **kw)]
+    assert problems(record[:-9]) == ["the archive ends inside a gzip member"] or problems(record[:-9])[-1] == "the archive ends inside a gzip member"
+    assert [r[0] for r in warc.read_records(record * 3, step=7)] == [1, 1, 1]
+    broken = bytearray(record)
+    broken[len(record) // 2] ^= 0xFF
+    middle = [r[:1] + r[7:8] for r in warc.read_records(record + bytes(broken) + record)]
+    assert middle[0] == (1, None) == middle[-1] and [m for m in middle if m[1]]
+    assert problems(record + b"no gzip at all" + record) == [None, "gzip", None]
+    assert problems(gzip.compress(b"no header") + record) == ["no header", None]
+    assert problems(gzip.compress(plain.replace(b"Content-Length: ", b"Content-Size: ", 2)) + record)[-1] is None
+    assert problems(b"") == []
+
+
+def test_warc_reader_takes_other_writers_records():
+    import base64
+    import gzip
+
+    def record(kind, block, *more):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:35f2dc0c-7b7d-4a1f-a5a4-0123456789ab>", *more, f"Content-Length: {len(block)}", "", ""]
+        return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n")
+
+    body = b"<p>" + b"x" * 200_000
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha256 = hashlib.sha256(body).hexdigest()
+    archive = (
+        record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields")
+        + record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://a/")
+        + record("response", http, "Content-Type:application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{sha256}", "WARC-Target-URI: http://a/")
+        + record("response", http, "Content-Type: application/http", "WARC-Payload-Digest: sha1:" + "A" * 32)
+        + record("resource", body, "Content-Type: text/html", "WARC-Block-Digest: xyz:1")
+        + record("metadata", b"")
+        + record("revisit", b"HTTP/1.1 200 OK\r\n\r\n", "Content-Type: application/http", "WARC-Refers-To: <urn:uuid:1>")
+    )
+    two = gzip.compress(gzip.decompress(record("metadata", b"a: 1")) * 2)  # two records in one member
+    got = list(warc.read_records(archive + two, step=1000))
+    assert [r[2] for r in got] == ["warcinfo", "request", "response", "response", "resource", "metadata", "revisit", "metadata", "metadata"]
+    assert [r[7] for r in got] == [None, None, None, "payload digest", None, None, None, None, None]
+    assert got[2][5] == f"sha256:{sha256}" and got[2][6] == body and got[4][5] == base64.b32encode(hashlib.sha1(body).digest()).decode()
+    assert all(r[0] is None and r[8].startswith("<urn:uuid:") for r in got) and got[6][3] is None and got[6][9] == "<urn:uuid:1>" and got[6][4] is None
 
 
 def test_chat_layouts(spark):
@@ -407,12 +446,21 @@ def test_chat_layouts(spark):
         ('{"messages":[{"role":"user","content":"a"},{"content":"b","role":"assistant"}]}', "messages", [("user", "a"), ("assistant", "b")]),
         ('{"conversations":[{"from":"human","value":"{\\"a\\":1}"},{"from":"gpt","value":null}]}', "shared", [("user", '{"a":1}'), ("assistant", "")]),
         ('{"completion":"y","prompt":"[x]"}', "prompt", [("user", "[x]"), ("assistant", "y")]),
-        ('{"instruction":"i","input":"","output":"o"}', "instruction", [("system", "i"), ("user", ""), ("assistant", "o")]),
-        ('{"other":1}', None, None), ("no json", None, None), (None, None, None),
+        ('{"instruction":"i","input":"","output":"o"}', "instruction", [("user", "i"), ("assistant", "o")]),
+        ('{"instruction":"i","output":"o","id":7,"meta":{"a":[{"b":1}]}}', "instruction", [("user", "i"), ("assistant", "o")]),
+        ('{"system":"s","instruction":"i","input":"j","output":"o"}', "instruction", [("system", "s"), ("user", "i\n\nj"), ("assistant", "o")]),
+        ('{"messages":[{"role":"user","content":"a","name":"x"},{"content":"b","role":"assistant","calls":[]}],"id":3}', "messages", [("user", "a"), ("assistant", "b")]),
+        ('{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"image","url":"u"},"c"]},{"role":"assistant","content":"b"}]}', "messages", [("user", 'a{"type":"image","url":"u"}c'), ("assistant", "b")]),
+        ('{"messages":[]}', "no_messages", []), ('{"id":1,"conversations":[]}', "no_conversations", []),
+        ('{"system":"s","prompt":"p","response":"r","x y":{"z":1}}', "system_prompt", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        ('{"prompt":"p","response":"r"}', "response", [("user", "p"), ("assistant", "r")]), ('{"answer":"4","question":"2+2"}', "question", [("user", "2+2"), ("assistant", "4")]),
+        ('{"conversations":[{"role":"user","content":"q"}]}', "conversations", [("user", "q")]),
+        ('{"other":1}', None, None), ("no json", None, None), (None, None, None), ('{"x":{"messages":[{"role":"","content":""}]}}', None, None),
     ]
     df = spark.createDataFrame([(i, r) for i, (r, *_) in enumerate(records)], "conv_id long, record string").withColumn("head", F.lit("clash"))
     got = chat_format.canonical_turns(df).orderBy("conv_id").collect()
     for r, (_, layout, turns) in zip(got, records, strict=True):
+        assert r.unknown == (records[r.conv_id][0] if layout is None else None)
         assert r.layout == layout and (None if r.turns is None else [tuple(t) for t in r.turns]) == turns
     assert chat_format.format_conversations(df).count() == len(records)
 
