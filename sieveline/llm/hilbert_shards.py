@@ -1,7 +1,7 @@
 """Shards cut from a Hilbert curve over metadata, for pruning files by several dimensions at once.
 
-Each dimension is cut at its quantiles into up to 2**bits steps; the steps of all dimensions name a
-cell, and cells are visited along a Hilbert curve, so rows that are near on the curve are near in
+Each dimension is cut at its quantiles into up to 2**bits steps (numbers at approximate ones, strings
+at exact ones of their counted values, compared whole); the steps of all dimensions name a cell, and cells are visited along a Hilbert curve, so rows that are near on the curve are near in
 every dimension. Rows are sorted by curve index over the whole cluster (a range partitioning whose
 last key is unique, so a cell with a third of all rows is split too) and cut into runs of equal
 length: law ``rows``, counts differ by one at most. Everything is DataFrame expressions.
@@ -57,40 +57,56 @@ def with_hilbert_index(df: DataFrame, steps: list[Column], name: str = "curve",
     return out.withColumn(name, sum(terms[1:], terms[0])).drop("__x", "__g", "__t")
 
 
-def dimension(c: Column, kind: str) -> Column:
-    """A number that keeps the order: strings by their first six bytes."""
-    if kind == "string":
-        return F.conv(F.rpad(F.substring(F.hex(F.encode(c, "utf-8")), 1, 12), 12, "0"), 16, 10).cast("double")
-    return c.cast("double")
+def _with_offset(ordered: DataFrame, by: Column) -> DataFrame:
+    """A stored, sorted table with ``__before``: the sum of ``by`` over all rows before, by the sums of its partitions.
+
+    ordered: has ``__at``, the monotonically increasing ids given when it was sorted.
+    """
+    rows = ordered.withColumn("__part", F.shiftrightunsigned("__at", 33)).withColumn("__by", by.cast("long"))
+    # One row for each partition of the sorted table: bounded by the number of shuffle partitions.
+    sums = rows.groupBy("__part").agg(F.sum("__by").alias("__sum"))
+    starts = sums.select("__part", (F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")).alias("__start"))
+    within = F.sum("__by").over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__by")
+    return rows.join(F.broadcast(starts), "__part").withColumn("__before", F.col("__start") + within).drop("__part", "__by", "__start")
+
+
+def string_cuts(df: DataFrame, column: str, bits: int = BITS) -> list[str]:
+    """The values at the quantiles i / 2**bits of a string column, of which there are less than 2**bits."""
+    counts = df.select(F.col(f"`{column}`").alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+    ordered = stored(counts.repartitionByRange("value").sortWithinPartitions("value").withColumn("__at", F.monotonically_increasing_id()), "values")
+    total = ordered.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return []
+    position = lambda c: F.floor(c * F.lit(1 << bits) / F.lit(total))
+    placed = _with_offset(ordered, F.col("n")).filter(position(F.col("__before") - 1) < position(F.col("__before") + F.col("n") - 1))
+    return sorted((r.value for r in placed.select("value").collect()), key=lambda v: v.encode("utf-8", "surrogatepass"))[: (1 << bits) - 1]
 
 
 def hilbert_shards(docs: DataFrame, dimensions: dict[str, Column], keep: dict[str, Column], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """The columns ``keep`` of each row with its curve index, shard and slot.
 
-    dimensions: name and numeric column of each; keep: what to carry through.
+    dimensions: name and column of each, strings or numbers; keep: what to carry through.
     """
+    narrow = docs.select(*(v.alias(k) for k, v in keep.items()), *(v.alias(f"__d_{k}") for k, v in dimensions.items()))
+    strings = {k for k in dimensions if dict(narrow.dtypes)[f"__d_{k}"] == "string"}
     names = list(dimensions)
-    narrow = docs.select(*(v.alias(k) for k, v in keep.items()), *(v.cast("double").alias(f"__d_{k}") for k, v in dimensions.items()))
+    narrow = narrow.withColumns({f"__d_{k}": F.col(f"__d_{k}").cast("double") for k in names if k not in strings})
     narrow = stored(narrow.withColumn("__row", F.monotonically_increasing_id()), "metadata")
     quantiles = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = narrow.agg(F.count("*").alias("n"), *(F.percentile_approx(f"__d_{k}", quantiles, 10_000).alias(k) for k in names)).first()
+    found = narrow.agg(F.count("*").alias("n"), *(F.percentile_approx(f"__d_{k}", quantiles, 10_000).alias(k) for k in names if k not in strings)).first()
     n = found["n"]
+    every = {k: string_cuts(narrow, f"__d_{k}", bits) if k in strings else sorted(set(found[k] or [])) for k in names}
 
     def step(k: str) -> Column:
-        cuts = sorted(set(found[k] or []))
-        # no more than 2**bits - 1 numbers, so the list stays small
+        cuts = every[k]
+        # no more than 2**bits - 1 values, so the list stays small
         return F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(f"__d_{k}"))) if cuts else F.lit(0)
 
     steps = [F.coalesce(F.when(F.col(f"__d_{k}").isNull(), 0).otherwise(step(k)), F.lit(0)) for k in names]
     curve = with_hilbert_index(narrow, steps, "curve", bits).drop(*(f"__d_{k}" for k in names))
     ordered = curve.repartitionByRange("curve", "__row").sortWithinPartitions("curve", "__row")
     ordered = stored(ordered.withColumn("__at", F.monotonically_increasing_id()), "curve")
-    part = F.shiftrightunsigned("__at", 33)
-    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    # One row for each partition of the sorted table: bounded by the number of shuffle partitions.
-    counts = ordered.groupBy(part.alias("part")).count()
-    starts = counts.select("part", (F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("before"))
-    placed = ordered.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("at", F.col("before") + within)
+    placed = _with_offset(ordered, F.lit(1)).withColumnRenamed("__before", "at")
     shard = F.expr(f"at * {shards} div {max(n, 1)}")
     first = F.expr(f"(shard * {n} + {shards - 1}) div {shards}")
     return placed.withColumn("shard", shard).select(*(F.col(k) for k in keep), "curve", F.col("shard").cast("int").alias("shard"), (F.col("at") - first).alias("slot"))
@@ -99,12 +115,16 @@ def hilbert_shards(docs: DataFrame, dimensions: dict[str, Column], keep: dict[st
 def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """Documents by language, source and size."""
     size = F.octet_length(text_or_empty()).cast("long") + 1
-    kinds = dict(docs.dtypes)
-    dims = {c: dimension(F.col(c), kinds[c]) for c in ("lang", "source") if c in kinds} | {"size": F.log2(size.cast("double"))}
+    dims = {c: F.col(c) for c in ("lang", "source") if c in docs.columns} | {"size": F.log2(size.cast("double"))}
     keep = {"doc_id": F.col("doc_id").cast("long"), "size": size, "text_crc32": F.crc32(F.encode(text_or_empty(), "utf-8"))}
     return hilbert_shards(docs, dims, keep, shards, bits)
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, keys: list[str], path: str) -> None:
-    """Write the documents as one folder for each shard, sorted along the curve."""
-    docs.join(placed, keys).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write the documents as one folder for each shard, sorted along the curve; a shard may be several files.
+
+    keys: columns that name a row of both, each once.
+    """
+    placed = placed.select(*keys, "shard", "slot")
+    whole = docs.join(placed, keys).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    whole.write.partitionBy("shard").parquet(path)

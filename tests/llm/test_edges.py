@@ -358,6 +358,55 @@ def test_hilbert_shards(docs, none):
     assert hilbert_shards.shard_documents(none).count() == 0
 
 
+def test_string_cuts_are_quantiles(spark):
+    rng = np.random.default_rng(11)
+    values = ["crawl-2018"] * 400 + ["crawl-2021"] * 5 + [f"crawl-20{i}{'x' * 300}" for i in rng.integers(10, 99, 300)]
+    df = spark.createDataFrame([(v,) for v in [*values, None, None]], "s string")
+    n, want = len(values), set()
+    ranked = sorted(values)
+    for i in range(1, 32):
+        want.add(ranked[-(-i * n // 32)] if i * n % 32 else ranked[i * n // 32])
+    got = hilbert_shards.string_cuts(df, "s")
+    assert got == sorted(got) and len(got) <= 31 and "crawl-2018" in got
+    steps = Counter(sum(c < v for c in got) for v in values)
+    assert len(steps) > 10 and sorted(steps.values())[-2] <= 50  # beside the step of the very common value
+    assert set(got) <= set(values) and len(set(got) & want) >= 0.6 * len(want)
+    assert hilbert_shards.string_cuts(df.filter("1 = 0"), "s") == []
+
+
+def test_hilbert_whole_table_and_pruning(spark, tmp_path):
+    """One law over a table with a very common cell; a predicate on two dimensions touches fewer shards than in random order."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    hot = spark.range(600).selectExpr("id + 1000000 AS doc_id", "'same text' AS text", "'en' AS lang", "'hot' AS source", "9L AS n_chars")
+    both = docs.unionByName(hot)
+    placed = hilbert_shards.shard_documents(both).cache()
+    rows = placed.collect()
+    sizes = Counter(r.shard for r in rows)
+    assert len(rows) == both.count() and max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 8
+    for shard, n in sizes.items():
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(n))
+    path = str(tmp_path / "shards")
+    hilbert_shards.write_shards(both, placed, ["doc_id"], path)
+    written = spark.read.parquet(path)
+    assert sorted(r.doc_id for r in written.select("doc_id").collect()) == sorted(r.doc_id for r in both.select("doc_id").collect())
+    # Shards whose ranges of language and size meet each language's longest tenth.
+    about = [(r.shard, r.lang, r.n_chars) for r in written.select("shard", "doc_id", "lang", "n_chars").collect()]
+    rng = np.random.default_rng(0)
+    mixed = [(int(s), lang, n) for s, (_, lang, n) in zip(rng.integers(0, 8, len(about)), about, strict=True)]
+
+    def touched(rows):
+        found = 0
+        for lang in sorted({x for _, x, _ in rows if x}):
+            low = np.quantile([n for _, x, n in rows if x == lang], 0.9)
+            for shard in range(8):
+                mine = [(x, n) for s, x, n in rows if s == shard and x]
+                found += min(x for x, _ in mine) <= lang <= max(x for x, _ in mine) and max(n for _, n in mine) >= low
+        return found
+
+    assert touched(about) < 0.8 * touched(mixed)
+
+
 @pytest.mark.parametrize(("n", "bits"), [(2, 4), (3, 3)])
 def test_hilbert_curve_visits_neighbours(spark, n, bits):
     df = spark.range(1 << (n * bits))
