@@ -29,7 +29,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parents[1]
     to = Path(tempfile.mkdtemp(prefix="sieveline-py-")) / "sieveline_code.zip"
     with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(root.rglob("*.py")):
+        for p in sorted([*root.rglob("*.py"), *root.rglob("*.txt")]):
             z.write(p, str(Path(root.name) / p.relative_to(root)))
     sc.addPyFile(str(to))
     _state["shipped"] = sc.applicationId

@@ -6,7 +6,7 @@ copied passage fall on one diagonal, or on neighbouring ones where words were pu
 Neighbouring diagonals are merged, and a merged span counts if it covers enough of its template
 densely enough, covers its template's telling words (versions, nc, sa), and holds no word that names another
 license of the same family (``UNLIKE``). Grams are compared word for word beside their hashes. Everything is DataFrame
-expressions; the templates' grams are a small fixed table, so that join is a broadcast.
+expressions; the templates (``license_templates.txt``) are a small fixed table of grams, so that join is a broadcast.
 
 Short phrases give labels of their own (``PHRASES``), counted at every place where they stand.
 
@@ -17,7 +17,11 @@ are not looked at.
 
 from __future__ import annotations
 
+import json
+import re
 from collections import defaultdict
+from dataclasses import dataclass
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,39 +29,40 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import stored, text_or_empty
 
 GRAM = 3
-#: Diagonals so near are merged; spans need this share of the template and of their own words.
-NEAR, COVERAGE, DENSITY = 3, 0.7, 0.5
+#: Diagonals so near are merged; spans need this share of their own words, and their template's share of the template.
+NEAR, DENSITY = 3, 0.5
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Labels and the notices that carry them.
-TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2.0"),
-    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3"),
-    ("gpl-3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4.0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4.0"),
-    ("cc-by-4.0", "licensed under cc by 4.0"),
-    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4.0 international license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
-    ("reserved", "all rights reserved"),
-)
-#: Notices that the SQL form doesn't know: others with a word or two put in, which would be taken for those.
-LONG_FORMS = (
-    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"),
-    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution non commercial 4.0 international license"),
-    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"),
-    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution share alike 4.0 international license"),
-)
+
+
+@dataclass(frozen=True)
+class Template:
+    """A notice: its label, the share of its words that a span must cover, and its words."""
+
+    label: str
+    coverage: float
+    words: tuple[str, ...]
+
+
+def read_templates(text: str) -> tuple[Template, ...]:
+    """The notices of a text: "== label share", then words up to the next; # begins a comment."""
+    out: list[list] = []
+    for line in text.splitlines():
+        if line.startswith("=="):
+            _, label, share = line.split()
+            out.append([label, float(share), []])
+        elif not line.startswith("#"):
+            out[-1][2] += re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.lower())
+    return tuple(Template(label, share, tuple(words)) for label, share, words in out)
+
+
+TEMPLATES = read_templates(files("sieveline.llm").joinpath("license_templates.txt").read_text(encoding="utf-8"))
 _NC, _SA, _ND = ("nc", "noncommercial", "commercial"), ("sa", "sharealike", "alike"), ("nd", "noderivatives", "noderivs", "derivatives", "derivs")
 #: Words that, inside a span, make it the notice of another license.
 UNLIKE = {
     "gpl-2.0": ("lesser", "library", "affero"), "gpl-3.0": ("lesser", "library", "affero"), "cc-by-4.0": (*_NC, *_SA, *_ND), "cc-by-nc-4.0": (*_SA, *_ND),
     "cc-by-sa-4.0": (*_NC, *_ND),
 }
+TELLING = tuple(sorted({w for ws in UNLIKE.values() for w in ws}))
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -67,19 +72,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.replace(text, F.lit("K"), F.lit("µ"))), _BETWEEN), "")
 
 
-def _template_words(text: str) -> list[str]:
-    return text.replace(".", " ").lower().split()
+def needed_places(template: Template) -> list[int]:
+    """Where a template's telling words stand, which a span must cover: versions, nc, sa."""
+    return [q for q, w in enumerate(template.words) if w.isdigit() and template.label != "bsd" or w in TELLING]
 
 
 def _grams(spark, size: int) -> DataFrame:
-    """gram, at: where each distinct gram of the templates stands."""
+    """gram_hash, template_gram, at: where each distinct gram of the templates stands."""
     at = defaultdict(list)
-    for t, (_, text) in enumerate((*TEMPLATES, *LONG_FORMS)):
-        words = _template_words(text)
-        for q in range(len(words) - size + 1):
-            at[" ".join(words[q : q + size])].append((t, q))
-    rows = ", ".join("('" + g + "', array(" + ", ".join(f"named_struct('template', {t}, 'q', {q})" for t, q in v) + "))" for g, v in at.items())
-    return spark.sql(f"SELECT xxhash64(gram) AS gram_hash, gram AS template_gram, at FROM VALUES {rows} AS t(gram, at)")
+    for t, one in enumerate(TEMPLATES):
+        for q in range(len(one.words) - size + 1):
+            at[" ".join(one.words[q : q + size])].append({"template": t, "q": q})
+    rows = json.dumps([{"gram": g, "at": v} for g, v in at.items()])
+    parsed = F.from_json(F.lit(rows), "array<struct<gram:string,at:array<struct<template:int,q:int>>>>")
+    return spark.range(1).select(F.inline(parsed)).select(F.xxhash64("gram").alias("gram_hash"), F.col("gram").alias("template_gram"), "at")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -99,8 +105,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     for i, (p, _) in enumerate(PHRASES):
         phrase = F.when((F.col("gram") == p) | F.startswith("gram", F.lit(p + " ")), i).otherwise(phrase)
     marked = each.withColumn("gram_hash", F.xxhash64("gram")).withColumn("phrase", phrase)
-    telling = sorted({w for ws in UNLIKE.values() for w in ws})
-    marked = marked.withColumn("telling", F.when(F.substring_index("gram", " ", 1).isin(telling), F.substring_index("gram", " ", 1)))
+    marked = marked.withColumn("telling", F.when(F.substring_index("gram", " ", 1).isin(*TELLING), F.substring_index("gram", " ", 1)))
     found = marked.join(F.broadcast(_grams(spark, size)), "gram_hash", "left")
     at = F.when(F.col("gram") == F.col("template_gram"), F.col("at"))
     kept = found.select("row", "doc_id", "n_words", "p", "phrase", "telling", at.alias("at")).filter("p < 0 OR phrase IS NOT NULL OR telling IS NOT NULL OR at IS NOT NULL")
@@ -119,14 +124,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     lines = lines.withColumn("band", F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(by_diagonal))
     bands = lines.groupBy("row", "template", "band").agg(F.min("first").alias("first"), (F.max("last") + size).alias("last"), F.flatten(F.collect_list("qs")).alias("qs"))
     covered = F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + size - 1))))
-    every = [(label, _template_words(t)) for label, t in (*TEMPLATES, *LONG_FORMS)]
-    lengths = F.array(*(F.lit(len(words)) for _, words in every))
-    labels = F.array(*(F.lit(label) for label, _ in every))
-    needed = F.array(*(F.array(*(F.lit(q) for q, w in enumerate(words) if w.isdigit() or w in telling)).cast("array<int>") for _, words in every))
-    unlike = F.array(*(F.array(*map(F.lit, UNLIKE.get(label, ()))).cast("array<string>") for label, _ in every))
+    lengths = F.array(*(F.lit(len(x.words)) for x in TEMPLATES))
+    shares = F.array(*(F.lit(x.coverage) for x in TEMPLATES))
+    labels = F.array(*(F.lit(x.label) for x in TEMPLATES))
+    needed = F.array(*(F.array(*map(F.lit, needed_places(x))).cast("array<int>") for x in TEMPLATES))
+    unlike = F.array(*(F.array(*map(F.lit, UNLIKE.get(x.label, ()))).cast("array<string>") for x in TEMPLATES))
     bands = bands.withColumn("places", covered).withColumn("covered", F.size("places")).withColumn("score", F.col("covered") / F.get(lengths, F.col("template")))
     all_needed = F.size(F.array_except(F.get(needed, F.col("template")), F.col("places").cast("array<int>"))) == 0
-    spans = bands.filter((F.col("score") >= COVERAGE) & (F.col("covered") >= DENSITY * (F.col("last") - F.col("first"))) & all_needed).drop("qs", "places")
+    spans = bands.filter((F.col("score") >= F.get(shares, F.col("template"))) & (F.col("covered") >= DENSITY * (F.col("last") - F.col("first"))) & all_needed).drop("qs", "places")
     others = kept.filter("telling IS NOT NULL").select(F.col("row").alias("other_row"), F.col("p").alias("other_p"), "telling")
     inside = (F.col("row") == F.col("other_row")) & F.col("other_p").between(F.col("first"), F.col("last") - 1)
     spans = spans.join(others, inside & F.array_contains(F.get(unlike, F.col("template")), F.col("telling")), "left_anti")

@@ -22,7 +22,7 @@ SELECT page_id, url, octet_length(encode(html))::BIGINT AS payload_bytes, {_base
 
 def _license() -> str:
     k = ls.GRAM
-    templates = ", ".join(f"({i}, '{label}', {ls._template_words(text)!r})" for i, (label, text) in enumerate(ls.TEMPLATES))
+    templates = ", ".join(f"({i}, '{x.label}', {x.coverage}, {list(x.words)!r}, {ls.needed_places(x)!r}::INT[], {list(ls.UNLIKE.get(x.label, ()))!r}::VARCHAR[])" for i, x in enumerate(ls.TEMPLATES))
     phrases = " UNION ALL ".join(
         f"SELECT rid, p, '{label}' AS label FROM g WHERE " + " AND ".join(f"w{i} = '{w}'" for i, w in enumerate(p.split())) for p, label in ls.PHRASES
     )
@@ -35,14 +35,19 @@ tok AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS p F
 g AS (SELECT rid, p, {heads} FROM tok),
 ph AS ({phrases}),
 base AS (SELECT rid, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM ph GROUP BY 1),
-tpl(t, label, ws) AS (VALUES {templates}),
+tpl(t, label, share, ws, needed, unlike) AS (VALUES {templates}),
 tg AS (SELECT t, ws, unnest(range(len(ws) - {k - 1})) AS q FROM tpl),
 votes AS (SELECT rid, t, p, q, p - q AS diagonal FROM g JOIN tg ON {same}),
 lines AS (SELECT rid, t, diagonal, min(p) AS f, max(p) AS l FROM votes GROUP BY ALL),
 cut AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w > {ls.NEAR} OR f - lag(l) OVER w > {k + ls.NEAR} THEN 1 ELSE 0 END AS apart FROM lines WINDOW w AS (PARTITION BY rid, t ORDER BY diagonal)),
 band AS (SELECT *, sum(apart) OVER (PARTITION BY rid, t ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS b FROM cut),
-cov AS (SELECT v.rid, v.t, b, min(v.p) AS f, max(v.p) + {k} AS l, count(DISTINCT v.q + o) AS covered FROM votes v JOIN band USING (rid, t, diagonal), range({k}) r(o) GROUP BY ALL),
-spans AS (SELECT rid, label, covered / len(ws)::DOUBLE AS score FROM cov JOIN tpl USING (t) WHERE covered / len(ws)::DOUBLE >= {ls.COVERAGE} AND covered >= {ls.DENSITY} * (l - f)),
+cov AS (SELECT v.rid, v.t, b, min(v.p) AS f, max(v.p) + {k} AS l, list(DISTINCT v.q + o) AS places FROM votes v JOIN band USING (rid, t, diagonal), range({k}) r(o) GROUP BY ALL),
+telling AS (SELECT DISTINCT rid, p, w0 FROM g WHERE list_contains({list(ls.TELLING)!r}, w0)),
+spans AS (
+    SELECT rid, label, len(places) / len(ws)::DOUBLE AS score FROM cov JOIN tpl USING (t)
+    WHERE len(places) / len(ws)::DOUBLE >= share AND len(places) >= {ls.DENSITY} * (l - f) AND list_has_all(places, needed)
+      AND NOT EXISTS (SELECT 1 FROM telling x WHERE x.rid = cov.rid AND x.p BETWEEN f AND l - 1 AND list_contains(unlike, x.w0))
+),
 every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM ph UNION ALL SELECT rid, label FROM spans) GROUP BY 1),
 best AS (SELECT rid, max(score) AS score FROM spans GROUP BY 1)
 SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
