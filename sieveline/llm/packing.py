@@ -18,7 +18,9 @@ very long text a task holds the words and ids, as it does the text itself.
 
 from __future__ import annotations
 
+import json
 import re
+import string
 import zlib
 
 import numpy as np
@@ -30,6 +32,7 @@ from sieveline.llm.common import ship, stored
 WINDOW, END_ID, BLOCK = 4096, 2, 32_768
 #: Words and stems whose ids a worker remembers, about 200 bytes each; later ones and longer words are looked up again.
 CACHE, STEMS, LONG_WORD = 250_000, 200_000, 64
+MARKS = string.punctuation
 #: Characters of text whose unknown words are looked up together.
 CHUNK = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -91,12 +94,6 @@ def pack_lengths(lengths, capacity: int = WINDOW) -> tuple[list[int], list[int]]
     return windows, offsets
 
 
-def shorten(known: dict, limit: int) -> None:
-    """A full table loses what came last: words seen early are the common ones."""
-    while len(known) > limit:
-        known.popitem()
-
-
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit bytes, remembered by word.
 
@@ -105,11 +102,17 @@ class WordIds:
     them has the ids of the lower-case letters and then those of the marks.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+    LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            about = json.load(f)
+        normal, split = about["normalizer"]["normalizers"], about["pre_tokenizer"]["pretokenizers"]
+        words = [x for x in split if x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"] and r"[\p{L}]+" in x["pattern"]["Regex"]]
+        if about["model"].get("end_of_word_suffix") != "</w>" or not words or not {"Lowercase", "NFC"} <= {x["type"] for x in normal} or any(x.get("add_prefix_space") for x in split):
+            raise ValueError("not a vocabulary of lower-case words that white space parts")
         self.tokenizer = Tokenizer.from_file(path)
         ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
         self.ends = np.array([i in ends for i in range(self.tokenizer.get_vocab_size() + 1)])
@@ -132,35 +135,40 @@ class WordIds:
             else:
                 self.stems.update(zip(part, self._whole(part), strict=True))
 
-    def _learn(self, words: list[str]) -> None:
-        plain, odd, known, stems = [], [], self.known, self.stems
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        plain, odd, stems = [], [], self.stems
         for w in words:
-            m = self.PLAIN(w)
-            if m:
-                plain.append((w, m[1].lower(), m[2]))
+            stem = w.rstrip(MARKS)
+            if stem.isascii() and stem.isalpha() or self.LATIN(stem):
+                plain.append((w, stem.lower(), w[len(stem) :]))
             else:
                 odd.append(w)
-        self._learn_stems([x for x in dict.fromkeys(p for _, *parts in plain for p in parts[:1]) if x not in stems])
-        marks = [x for x in {p[2] for p in plain} if x not in stems]
+        new = {p[1] for p in plain}.difference(stems)
+        self._learn_stems(sorted(new))
+        marks = list({p[2] for p in plain}.difference(stems))
         stems.update(zip(marks, self._whole(marks), strict=True))
-        for w, stem, mark in plain:
-            known[w] = stems[stem] + stems[mark]
+        found = {w: stems[stem] + stems[mark] for w, stem, mark in plain}
         for i in range(0, len(odd), 10_000):
-            known.update(zip(odd[i : i + 10_000], self._whole(odd[i : i + 10_000]), strict=True))
+            found.update(zip(odd[i : i + 10_000], self._whole(odd[i : i + 10_000]), strict=True))
+        if len(stems) > STEMS:  # what came last goes: words seen early are the common ones
+            for w in new:
+                del stems[w]
+        return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*words).difference(self.known)
-        if new:
-            self._learn(sorted(new))
-        known = self.known.__getitem__
-        ids = [b"".join(map(known, w)) for w in words]
-        for w in new:
-            if len(w) > LONG_WORD:
-                del self.known[w]
-                self.stems.pop(w.lower(), None)
-        shorten(self.known, CACHE)
-        shorten(self.stems, STEMS)
+        known = self.known
+        new = set().union(*words).difference(known)
+        known.update(self._learn(list(new)) if new else ())
+        ids = [b"".join(map(known.__getitem__, w)) for w in words]
+        if len(known) > CACHE:
+            for w in new:
+                del known[w]
+        else:
+            for w in new:
+                if len(w) > LONG_WORD:
+                    del known[w]
+                    self.stems.pop(w.rstrip(MARKS).lower(), None)
         return ids
 
 
