@@ -58,6 +58,55 @@ def showcase_relevance() -> Column:
 SHOWCASE_SHARES = {"title": 0.22, "skill": 0.34, "career": 0.24, "semantic": 0.08, "lexical": 0.06, "quality": 0.06}
 
 
+def showcase_contributions(score: Column) -> Column:
+    """Struct of fixed shares of a display score."""
+    return F.struct(*(F.round(score * w, 2).alias(k) for k, w in SHOWCASE_SHARES.items()))
+
+
+def showcase_summary(ranked: DataFrame, score: str = "final_score") -> DataFrame:
+    """One row: shortlisted (30 or more), strong (70 or more) and the shortlisted that aren't strong."""
+    out = ranked.agg(F.count_if(F.col(score) >= 30).alias("shortlisted"), F.count_if(F.col(score) >= 70).alias("strong"))
+    return out.withColumn("additional", F.col("shortlisted") - F.col("strong"))
+
+
+# For a skill that is missing, skills that stand in for it, in order: risk and reason.
+STAND_INS = {
+    "react": {"vue": ("Low", "Both are component-based JS frameworks."), "angular": ("Medium", "Different architecture but similar frontend concepts."), "svelte": ("Low", "Component-based architecture.")},
+    "python": {"ruby": ("Low", "Both are dynamic scripting languages."), "java": ("Medium", "Different paradigms but strong OOP foundation.")},
+    "aws": {"gcp": ("Low", "Equivalent cloud infrastructure concepts."), "azure": ("Low", "Equivalent cloud concepts.")},
+    "sql": {"nosql": ("Medium", "Different data models but general database familiarity."), "postgresql": ("Low", "Direct SQL dialect.")},
+    "c++": {"c": ("Low", "Same family of systems languages."), "rust": ("Medium", "Memory management paradigms differ.")},
+    "machine learning": {"data analysis": ("High", "Foundational statistics but lacks model building."), "deep learning": ("Low", "Advanced ML application.")},
+    "kubernetes": {"docker swarm": ("Medium", "Container orchestration concepts transfer.")},
+    "node.js": {"express": ("Low", "Express is a Node.js framework.")},
+    "java": {"c#": ("Low", "Very similar syntax and OOP paradigms.")},
+}
+RISKS = ("High", "Medium", "Low")
+
+
+def stand_ins(missing: Column, own: Column, known: dict[str, dict[str, tuple[str, str]]] = STAND_INS) -> Column:
+    """Structs (missing, skill, risk, reason): for each missing skill the first of its stand-ins that is among the own, both in lower case."""
+    rows = F.array(*(F.struct(F.lit(m).alias("missing"), F.lit(s).alias("skill"), F.lit(r).alias("risk"), F.lit(why).alias("reason")) for m, alts in known.items() for s, (r, why) in alts.items()))
+    first = F.transform(missing, lambda m: F.get(F.filter(rows, lambda x: (x["missing"] == F.lower(m)) & F.array_contains(own, x["skill"])), F.lit(0)))
+    return F.filter(first, lambda x: x.isNotNull())
+
+
+def overall_risk(found: Column) -> Column:
+    """The gravest risk among stand-ins."""
+    risks = F.transform(found, lambda x: x["risk"])
+    out = F.lit("None")
+    for r in reversed(RISKS):
+        out = F.when(F.array_contains(risks, r), r).otherwise(out)
+    return out
+
+
+def domain_found_in(wanted: Column, experiences: Column) -> Column:
+    """Companies of the spells whose company or description names the domain."""
+    low = F.lower(wanted)
+    hit = F.filter(experiences, lambda e: F.contains(F.lower(F.coalesce(e["company"], F.lit(""))), low) | F.contains(F.lower(F.coalesce(e["description"], F.lit(""))), low))
+    return F.when(low == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.transform(hit, lambda e: F.coalesce(e["company"], F.lit("Unknown"))))))
+
+
 def match_dimensions(c: dict[str, Column]) -> dict[str, Column]:
     """Ten 0..100 dimensions of how a parsed record meets parsed needs.
 

@@ -59,3 +59,21 @@ def match_explanation(matched: Column, missing: Column, k: int = 3) -> Column:
     """Strengths and gaps of a match."""
     part = lambda label, a: F.when(F.size(a) > 0, F.concat(F.lit(label), F.array_join(F.slice(a, 1, k), ", ")))
     return F.coalesce(F.nullif(F.concat_ws("; ", part("Strengths: ", matched), part("Gaps: ", missing)), F.lit("")), F.lit("No required skills"))
+
+
+def match_report(matched: Column, missing: Column, years: Column, wanted_years: Column, domain: Column, domain_score: Column, trajectory_score: Column, adjacent: Column) -> Column:
+    """Struct of strengths, gaps, adjacent skills, risks, assessment and evidence for one match."""
+    shown = years.cast("string")
+    listed = lambda a, k: F.array_join(F.slice(a, 1, k), ", ")
+    or_none = lambda a: F.when(F.size(a) > 0, listed(a, 5)).otherwise("None")
+    # These sentences.
+    strengths = F.array_compact(F.array(F.when(F.size(matched) > 0, F.concat(F.lit("Strong match for core skills: "), listed(matched, 3))), F.concat(shown, F.lit(" years of professional experience."))))
+    risks = F.array_compact(F.array(F.when(trajectory_score < 50, "Career trajectory needs manual review.")))
+    overall = F.concat(F.lit("Matched: "), or_none(matched), F.lit(" | Missing: "), or_none(missing), F.lit(" | YOE: "), shown, F.lit(" vs required "), wanted_years.cast("string"), F.lit(" | Domain: "), domain)
+    claim = lambda c, e: F.struct(F.lit(c).alias("claim"), e.alias("evidence"))
+    evidence = F.array_compact(F.array(
+        F.when(F.size(matched) > 0, claim("Skill Match", F.concat(F.lit("Found skills: "), F.array_join(matched, ", ")))),
+        claim("Experience", F.concat(shown, F.lit(" years vs required "), wanted_years.cast("string"), F.lit(" years."))),
+        claim("Domain", F.when(domain_score > 0, F.concat(F.lit("Matched in domain: "), domain)).otherwise("No domain match found.")),
+    ))
+    return F.struct(strengths.alias("strengths"), missing.alias("missing"), adjacent.alias("adjacent"), risks.alias("risks"), overall.alias("assessment"), evidence.alias("evidence"))

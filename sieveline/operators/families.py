@@ -97,3 +97,27 @@ def transferable(text: Column, required: tuple[str, ...], transfers: Mapping[str
 def job_family(title: str, families: Mapping[str, tuple[str, ...]] = specs.ROLE_FAMILIES, default: str = "Search Engineer") -> str:
     """The first family with a term in the job's title; decided when the plan is built."""
     return next((f for f, t in families.items() if any(x in title.lower() for x in t)), default)
+
+
+def spec_of_job(job: Mapping, families: Mapping[str, tuple[str, ...]] = specs.ROLE_FAMILIES) -> JobSpec:
+    """What a parsed job asks for; fields that are missing or empty come from others.
+
+    Title terms from the title and its words, required skills from the hard ones, keywords from the
+    soft and the preferred ones, the family from the title. Decided when the plan is built.
+    """
+    title = job.get("title") or ""
+    terms = tuple(job.get("title_terms") or (([title, *title.split()]) if "title" in job else ()))
+    required = tuple(job.get("req_skills") or job.get("required_hard_skills") or ())
+    keywords = tuple(job.get("keywords") or (*job.get("required_soft_skills", ()), *job.get("preferred_skills", ())))
+    return JobSpec(family=job.get("family") or job_family(title, families), keywords=keywords, title_terms=terms, req_skills=required)
+
+
+def required_skills(job: Mapping) -> tuple[str, ...]:
+    """Distinct lower-case hard and soft skills of a job, in order."""
+    return tuple(dict.fromkeys(s.lower() for s in (*job.get("required_hard_skills", ()), *job.get("required_soft_skills", ()))))
+
+
+def quality_shares(ranked: DataFrame) -> DataFrame:
+    """One row: percent of traps, consistent, partly consistent and inconsistent rows of a ranking."""
+    share = lambda c: F.round(F.avg(F.col(c).cast("int")) * 100, 4)
+    return ranked.agg(share("is_trap").alias("trap"), share("is_consistent").alias("consistent"), share("is_partial").alias("partial"), share("is_inconsistent").alias("inconsistent"))

@@ -163,3 +163,51 @@ JOB_SIGNALS = {
     "Leadership": ("lead", "manage", "principal", "staff", "architect", "director"),
     "Infrastructure": ("infrastructure", "distributed", "microservice", "kubernetes", "cloud"),
 }
+
+
+def record_contains(record: Column, wanted: Column | str) -> Column:
+    """Whether any value of a nested record holds the text, whatever its case; field names don't count."""
+    values = F.regexp_replace(F.to_json(record), r'"(?:[^"\\]|\\.)*":', "")
+    return F.contains(F.lower(values), F.lower(F.lit(wanted) if isinstance(wanted, str) else wanted))
+
+
+def parse_status(parsed: Column) -> Column:
+    """processing, failed or ready of a JSON record that may hold an error."""
+    return F.when(parsed.isNull(), "processing").when(F.get_json_object(parsed, "$.error").isNotNull(), "failed").otherwise("ready")
+
+
+def ranking_status(status: Column) -> Column:
+    """What a ranking's latest job says of it."""
+    return F.when(status.isNull(), "not_started").when(status.isin("pending", "processing"), "in_progress").when(status == "failed", "error").otherwise("results")
+
+
+def flagged(jobs: DataFrame, owner: Column, created: str, parsed: str, tie: str, flag: str = "is_default_showcase", status: str = "status") -> DataFrame:
+    """The newest active job of an owner whose JSON requirements carry the flag."""
+    hit = jobs.filter(owner & (F.col(status) == "active") & (F.get_json_object(parsed, f"$.{flag}") == "true"))
+    return hit.orderBy(F.col(created).desc(), tie).limit(1)
+
+
+def experience_label(title: Column, company: Column) -> Column:
+    """title at company, either alone, or recent role."""
+    t, c = (F.trim(F.coalesce(x, F.lit(""))) for x in (title, company))
+    return F.when((t != "") & (c != ""), F.concat(t, F.lit(" at "), c)).when(t != "", t).when(c != "", c).otherwise("recent role")
+
+
+def display_rejections(rows: DataFrame, domain: str, depth: str, final: str) -> DataFrame:
+    """Counts of shown rows below the limits; a missing dimension doesn't count, a missing score counts as 0."""
+    return rows.agg(
+        F.count_if(F.col(domain) < 50).alias("lacks_domain"), F.count_if(F.col(depth) < 30).alias("lacks_skills"), F.count_if(F.coalesce(F.col(final), F.lit(0.0)) < 40).alias("trajectory_mismatch"),
+    )
+
+
+def domain_authenticity(penalty: Column) -> Column:
+    """1 without a penalty, 0 from a hundred on."""
+    return F.greatest(F.lit(0.0), 1 - penalty / 100.0)
+
+
+def shown(name: Column, title: Column, score: Column, years: Column, domain: Column, availability: Column, search: str = "", least_score: float = 0, least_years: float = 0, least_domain: float = 0, available: bool = False) -> Column:
+    """Whether a row passes the filters of a list: text in name or title, and lower bounds."""
+    low = search.lower()
+    named = F.lit(True) if not low else F.contains(F.lower(F.coalesce(name, F.lit(""))), F.lit(low)) | F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit(low))
+    bounds = (F.coalesce(score, F.lit(0.0)) >= least_score) & (F.coalesce(years, F.lit(0.0)) >= least_years) & (F.coalesce(domain, F.lit(0.0)) >= least_domain)
+    return named & bounds & ((F.coalesce(availability, F.lit(0.0)) >= 1) if available else F.lit(True))

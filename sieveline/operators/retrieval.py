@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,35 @@ def fuse(dense: DataFrame, lexical: DataFrame, retrieve: int = 6000, k: int = 60
     return top(both, retrieve, [("rrf", True), ("id", False)])
 
 
+def encoded(df: DataFrame, id_col: str, text: str, encode: Callable[[list[str]], np.ndarray], batch: int = 2000, half: bool = True) -> DataFrame:
+    """id, embedding by a model that is passed in, in batches of texts; half: values as half precision keeps them."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(0, b.num_rows, batch):
+                part = b.slice(i, batch)
+                vectors = np.asarray(encode([t or "" for t in part.column(1).to_pylist()]), dtype=np.float16 if half else np.float32).astype(np.float32)
+                flat = pa.array(vectors.ravel())
+                ends = pa.array(np.arange(0, len(flat) + 1, vectors.shape[1] if len(vectors) else 1, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, flat)], ["id", "embedding"])
+
+    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, embedding array<float>")
+
+
+def reranked(pairs: DataFrame, query: str, text: str, predict: Callable[[list[str], list[str]], np.ndarray], id_col: str, k: int = 30) -> DataFrame:
+    """The k rows that a pair model, passed in, scores highest with the query; ties by id. Meant for rows that retrieval kept."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.asarray(predict([query] * len(texts), texts.fillna("").tolist()), dtype=np.float64))
+
+    scored = pairs.withColumn("pair_score", score(F.col(text)))
+    return top(scored, k, [("pair_score", True), (id_col, False)])
+
+
 def union_of_tops(dense: DataFrame, lexical: DataFrame, k: int = 5000) -> DataFrame:
     """Ids among the k best by vector or the k best by words."""
     a = top(dense, k, [("cosine", True), ("id", False)]).select("id")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,31 +13,12 @@ from sieveline.operators import extract as ex
 from sieveline.operators import ranking as rk
 from sieveline.plans import rankings
 from sieveline.plans.candidates import ROLES, SKILLS, SPEC, SQL, any_hit, candidates, hits, words
+from sieveline.plans.registry import ORACLES, QUERIES, query, r, t
 from sieveline.sources import writers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 QUERY = "thatin orantion rewh the que that of nederlet inght and blue ring"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r(c, digits: int = 6):
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
-
-
 # --- retrieval ------------------------------------------------------------------------------------------
 
 _LEX = rf"""
@@ -646,4 +625,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ret3_hybrid_rrf(spark, sf_dir)
 
 
+from sieveline.plans import parsed  # noqa: E402, F401  registers its queries
+
 __all__ = ["ORACLES", "QUERIES", "clip", "entry"]

@@ -31,9 +31,17 @@ def text_report(ranked: DataFrame, k: int = 10) -> DataFrame:
 
 
 def write_vectors(df: DataFrame, path: str) -> None:
+    """Parquet of id and array<float>."""
     df.select("id", F.col("embedding").cast("array<float>")).write.mode("overwrite").parquet(path)
 
 
+def write_baseline(ranked: DataFrame, metrics: DataFrame, job: str, path: str) -> None:
+    """JSON: one record of a job with its ranking (as long as its k, in order) and the metrics of one row."""
+    rows = ranked.agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", "score"))).alias("top"))
+    whole = rows.crossJoin(metrics.select(F.struct(*metrics.columns).alias("metrics"))).select(F.lit(job).alias("job"), "top", "metrics")
+    whole.coalesce(1).write.mode("overwrite").json(path)
+
+
 def audit_event(df: DataFrame, action: Column, at: Column, path: str) -> None:
     """Append JSON events with an id of their own."""
     df.select(F.uuid().alias("event_id"), at.alias("at"), action.alias("action"), *(F.col(c) for c in df.columns)).write.mode("append").json(path)

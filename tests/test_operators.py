@@ -215,9 +215,63 @@ def test_extraction(spark):
     assert ex.name_candidates(df, "id", "text").first().name == "Jane Doe"
     assert one(spark, ex.clean_title(F.lit("Acme - Senior Engineer - Berlin")))[0] == "Senior Engineer"
     assert tuple(one(spark, ex.is_role_title(F.lit("Data Scientist")), ex.is_role_title(F.lit("Seeking a developer job")))) == (True, False)
-    import re
 
-    assert not re.search(ex.alias_pattern("c"), "abc") and re.search(ex.alias_pattern("c"), "a, C, b") and re.search(ex.alias_pattern("node.js"), "nodejs")
+
+@pytest.mark.parametrize(("alias", "text", "match"), [
+    ("c", "abc", ""), ("c", "a, c, b", "c"), ("c", "a, C, b", ""), ("go", "x (GO)", "GO"), ("go", "ago", ""), ("node.js", "in nodejs now", "nodejs"), ("node.js", "nodeXjs", ""),
+    ("e-mail", "an e mail", "e mail"), ("e-mail", "emails email", "email"), ("java", "javascript", ""), ("java", "Java.", "Java"), ("aws", "first\naws", "aws"), ("c++", "c, c++.", "c++"),
+])
+def test_alias_pattern(spark, alias, text, match):
+    from sieveline.operators import parsing
+
+    assert one(spark, F.call_function("regexp_extract", F.lit(text), parsing.alias_pattern(F.lit(alias)), F.lit(0)))[0] == match
+
+
+def test_assembled_record(spark):
+    from sieveline.operators import parsing
+    from sieveline.operators.titles import TITLES
+
+    text = "Jane Doe\njane@mail.org\nSummary\nBuilds things.\nExperience\nLead Engineer at Acme\nJan 2015 - Dec 2018\nAnalyst at Acme\nJan 2012 - Dec 2014\nEducation\nPhD, Harbour School\nSkills\nKubernetes, go"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc long, body string")
+    aliases = spark.createDataFrame([("Go", ["golang", "go"], "code", 0)], "canonical string, aliases array<string>, category string, pos int")
+    titles = spark.createDataFrame([("lead engineer", "Engineering Lead")], "alias string, canonical string")
+    fixed = spark.createDataFrame(list(TITLES.items()), "alias string, canonical string")
+    a, b = parsing.assembled_records(df, "doc", "body", aliases, titles, fixed, F.lit("2024-01-01").cast("date")).orderBy("id").collect()
+    assert (a.full_name, a.current_title, a.summary, a.contact.email) == ("Jane Doe", "Engineering Lead", "Jane Doe jane@mail.org Builds things.", "jane@mail.org")
+    assert [e.title for e in a.career_history] == ["Lead Engineer", "Analyst"] and a.career_graph.leadership_years == 3 and a.career_graph.promotion_count == 1 and a.career_graph.company_count == 1
+    assert {s.skill for s in a.skills} == {"Kubernetes", "Go"} and a.education[0].degree == "PhD" and a.education[0].institution == "Harbour School"
+    assert 0 < a.overall_confidence <= 1 and a.title_confidence == 0.95 and a.skill_confidence == 0.1
+    assert b.career_history is None and b.overall_confidence == 0.0 and b.current_employment_status == "Unknown"
+
+
+def test_jobs_from_parsed_needs():
+    from sieveline.operators import families
+
+    spec = families.spec_of_job({"title": "Sales Lead", "required_hard_skills": ["CRM"], "required_soft_skills": ["talk"], "preferred_skills": ["tea"]})
+    assert spec.title_terms == ("Sales Lead", "Sales", "Lead") and spec.req_skills == ("CRM",) and spec.keywords == ("talk", "tea")
+    assert families.spec_of_job({"family": "X", "title_terms": ["a"], "req_skills": ["b"], "keywords": ["c"]}).title_terms == ("a",)
+    assert families.required_skills({"required_hard_skills": ["A", "b"], "required_soft_skills": ["a"]}) == ("a", "b")
+
+
+def test_models_passed_in(spark):
+    import numpy as np
+
+    from sieveline.operators import retrieval
+
+    df = spark.createDataFrame([(i, "x" * i if i else None) for i in range(7)], "id long, text string")
+    got = retrieval.encoded(df, "id", "text", lambda texts: np.array([[len(x), 1 / 3] for x in texts]), batch=2).orderBy("id").collect()
+    assert [r.embedding[0] for r in got] == list(range(7)) and got[0].embedding[1] == float(np.float16(1 / 3))
+    best = retrieval.reranked(df, "q", "text", lambda qs, texts: np.array([len(x) % 5 for x in texts]), "id", k=3).collect()
+    assert [r.id for r in best] == [4, 3, 2]
+
+
+def test_baseline_file(spark, tmp_path):
+    from sieveline.sources import writers
+
+    ranked = spark.createDataFrame([(2, "b", 0.5), (1, "a", 0.9)], "rank int, candidate_id string, score double")
+    writers.write_baseline(ranked, spark.createDataFrame([(0.0, 97.0)], "trap double, consistent double"), "Job", str(tmp_path / "base"))
+    row = spark.read.json(str(tmp_path / "base")).first()
+    assert row.job == "Job" and [x.candidate_id for x in row.top] == ["a", "b"] and row.metrics.consistent == 97.0
 
 
 def test_match_dimensions(spark):
