@@ -18,12 +18,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: So many keys are broadcast at most; more are joined by a shuffle.
 FEW = 500_000
 
+#: Rows of an Arrow batch, unless the session says otherwise: whole texts are longer than the rows that Spark's own number is meant for.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")
+
 _state: dict = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a session."""
+    """Send this package to the executors' Python workers, once a session, and have texts handed to them in smaller batches."""
     sc = spark.sparkContext
+    name, default, rows = BATCH
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, rows)
     if _state.get("shipped") == sc.applicationId:
         return
     root = Path(__file__).resolve().parents[1]
