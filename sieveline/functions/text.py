@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import cache
+from importlib.resources import files
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,14 +40,16 @@ def bounded(term: str) -> str:
 
 
 def has_word(text: Column, term: str) -> Column:
-    return text.rlike(bounded(term))
+    """Does the (lower-case) text hold the term as a word? The pattern is tried only where the term stands at all."""
+    return F.contains(text, F.lit(term.lower())) & text.rlike(bounded(term))
 
 
 def any_word(text: Column, values: Iterable[str]) -> Column:
-    out = F.lit(False)
-    for v in values:
-        out = out | has_word(text, v)
-    return out
+    """Does the (lower-case) text hold one of the terms as a word?"""
+    values = [v.lower() for v in values]
+    if not values:
+        return F.lit(False)
+    return any_in(text, values) & text.rlike(f"(^|[^{WORD}])({'|'.join(map(re.escape, values))})($|[^{WORD}])")
 
 
 def words_hit(text: Column, values: Iterable[str]) -> Column:
@@ -61,6 +65,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD}]{{2,}})"), F.lit(1))
 
 
+@cache
+def english_stop_words() -> tuple[str, ...]:
+    """The list that lexical retrieval leaves out by default."""
+    return tuple(files("sieveline.functions").joinpath("english_stop_words.txt").read_text(encoding="utf-8").split())
+
+
 def percent(x: Column) -> Column:
     """A share as whole percent, halves to even."""
     return F.concat(F.bround(x * 100, 0).cast("int").cast("string"), F.lit("%"))

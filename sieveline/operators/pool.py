@@ -90,7 +90,7 @@ def model_score(df: DataFrame, predict: Callable[[pd.DataFrame], pd.Series] | No
 def packed(df: DataFrame, k: int = 100, id_col: str = "candidate_id") -> DataFrame:
     """The k best with rank and a 0..100 score; all equal gives 50."""
     best = top(df, k, [("pool_score", True), (id_col, False)])
-    scaled = with_min_max(best, "pool_score", "__unit", flat=0.5).withColumn("final_score", F.round(F.col("__unit") * 100, 2)).drop("__unit")
+    scaled = with_min_max(best, "pool_score", "__unit", flat=0.5, few=True).withColumn("final_score", F.round(F.col("__unit") * 100, 2)).drop("__unit")
     return rank_top(scaled, [("pool_score", True), (id_col, False)])
 
 

@@ -45,20 +45,35 @@ def reciprocal_rank(*ranks: Column | str, k: int = 60) -> Column:
     return out
 
 
-def with_min_max(df: DataFrame, column: str, name: str, flat: float | None = None) -> DataFrame:
+def with_min_max(df: DataFrame, column: str, name: str, flat: float | None = None, few: bool = False) -> DataFrame:
     """Scale to 0..1 by the column's least and largest value.
 
-    flat: the value where all are equal; without it 1e-9 is added to the width.
+    flat: the value where all are equal; without it 1e-9 is added to the width. few: the table is one that
+    ``top`` has made small, so a window over it takes one pass; otherwise the ends are aggregated first.
     """
-    ends = df.agg(F.min(column).alias("__low"), F.max(column).alias("__high"))
     width = F.col("__high") - F.col("__low")
     scaled = (F.col(column) - F.col("__low")) / (width + 1e-9) if flat is None else F.when(width == 0, F.lit(flat)).otherwise((F.col(column) - F.col("__low")) / F.when(width != 0, width))
+    if few:
+        every = Window.partitionBy()
+        return df.withColumn("__low", F.min(column).over(every)).withColumn("__high", F.max(column).over(every)).withColumn(name, scaled).drop("__low", "__high")
+    ends = df.agg(F.min(column).alias("__low"), F.max(column).alias("__high"))
     return df.crossJoin(F.broadcast(ends)).withColumn(name, scaled).drop("__low", "__high")
 
 
+def exact_percentile(df: DataFrame, column: str, q: float) -> DataFrame:
+    """One row: the percentile with linear interpolation, from the two values around its place in a distributed sort."""
+    values = df.select(F.col(column).cast("double").alias("value")).filter("value IS NOT NULL")
+    ranked = global_rank(values, [("value", False)], "at")
+    n = ranked.agg((F.count("*") - 1).alias("last"))
+    near = ranked.crossJoin(F.broadcast(n.select((F.col("last") * F.lit(q)).alias("place")))).filter(F.col("at").isin(F.floor("place"), F.ceil("place")))
+    low, high, share = F.min("value"), F.max("value"), F.max(F.col("place") - F.floor("place"))
+    return near.agg((low + (high - low) * share).alias("percentile"))
+
+
 def with_share_of_percentile(df: DataFrame, column: str, name: str, q: float = 0.99) -> DataFrame:
     """Divide by the exact percentile of the whole column (plus 1e-9) and clip to 0..1."""
-    at = df.agg(F.percentile(column, q).alias("__p"))
+    df = stored(df, "percentile-of")
+    at = exact_percentile(df, column, q).withColumnRenamed("percentile", "__p")
     return df.crossJoin(F.broadcast(at)).withColumn(name, F.least(F.greatest(F.col(column) / (F.col("__p") + 1e-9), F.lit(0.0)), F.lit(1.0))).drop("__p")
 
 

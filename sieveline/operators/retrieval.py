@@ -56,7 +56,7 @@ def fuse(dense: DataFrame, lexical: DataFrame, retrieve: int = 6000, k: int = 60
     """
     by_vector = global_rank(dense, [("cosine", True), ("id", False)], "rank_dense")
     by_words = global_rank(lexical, [("lexical", True), ("id", False)], "rank_lexical")
-    n = F.broadcast(lexical.agg(F.count("*").alias("n")))
+    n = F.broadcast(by_words.agg(F.count("*").alias("n")))
     both = by_words.join(by_vector, "id", "left").crossJoin(n)
     more = [c for c in lexical.columns if c not in ("id", "lexical")]
     both = both.select(

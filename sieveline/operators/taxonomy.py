@@ -71,24 +71,26 @@ def confidence(source: Column, context: Column, negated: Column) -> Column:
     return F.when(F.coalesce(negated, F.lit(False)), 0.0).when(weak, 0.3).otherwise(weight)
 
 
-def noisy_or(values: Column) -> Column:
-    """Chance that one of independent hints is right."""
-    return F.round(F.least(F.greatest(1 - F.aggregate(values, F.lit(1.0), lambda p, c: p * (1 - c)), F.lit(0.0)), F.lit(1.0)), 2)
+def noisy_or(hint: Column, digits: int = 2) -> Column:
+    """Aggregate: the chance that one of a group's independent hints is right.
+
+    The product of a group is order-free, so no list of hints is built: logs would fail where a hint is certain, so certain
+    hints are counted apart.
+    """
+    doubt = F.when(hint < 1, F.log(1 - hint))
+    return F.round(F.when(F.count_if(hint >= 1) > 0, 1.0).otherwise(1 - F.exp(F.coalesce(F.sum(doubt), F.lit(0.0)))) + 1e-12, digits)
 
 
 def merge_mentions(mentions: DataFrame, key: list[str]) -> DataFrame:
     """One row for each key and canonical name.
 
-    mentions: key, canonical, name, source_section, context, negated, pos. The product of a group is
-    order-free, so no list of mentions is built: logs would fail where a hint is certain, so certain
-    hints are counted apart.
+    mentions: key, canonical, name, source_section, context, negated, pos.
     """
     c = confidence(F.col("source_section"), F.col("context"), F.col("negated"))
     rows = mentions.withColumn("confidence", c).withColumn("__section", section(F.col("source_section")))
-    doubt = F.when(F.col("confidence") < 1, F.log(1 - F.col("confidence")))
     merged = rows.groupBy(*key, F.lower("canonical").alias("canonical")).agg(
         F.count("*").alias("mentions"), F.count_if("negated").alias("negated_mentions"), F.max_by("name", F.struct("confidence", -F.col("pos"))).alias("name"),
         F.array_join(F.sort_array(F.collect_set("__section")), ",").alias("sections"),
-        F.round(F.when(F.count_if(F.col("confidence") >= 1) > 0, 1.0).otherwise(1 - F.exp(F.coalesce(F.sum(doubt), F.lit(0.0)))), 2).alias("confidence"),
+        noisy_or(F.col("confidence")).alias("confidence"),
     )
     return merged.withColumn("eligible", F.col("negated_mentions") < F.col("mentions"))

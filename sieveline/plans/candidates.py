@@ -39,7 +39,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("int").alias("qty"))
     newest = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), "o_orderkey")
-    orders = t("orders").withColumn("pos", F.row_number().over(newest)).filter("pos <= 10").join(lines, "o_orderkey", "left")
+    orders = t("orders").withColumn("pos", F.row_number().over(newest)).join(lines, "o_orderkey", "left")
     key, qty = F.col("o_orderkey"), F.coalesce("qty", F.lit(0))
     day = F.to_date("o_orderdate")
     end = F.when(key % 29 == 0, F.date_add(day, 30)).when(F.col("o_orderstatus") == "O", None).when(key % 17 == 0, F.date_add(day, -40)).otherwise(F.date_add(day, qty * 10))
@@ -52,7 +52,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     career = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(spell)).alias("c"))
     first = Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    bought = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("pos", F.row_number().over(first)).filter("pos <= 15")
+    bought = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("pos", F.row_number().over(first))
     bought = bought.join(t("part").select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     skill = F.struct(
         "pos", F.col("p_name").alias("name"), F.element_at(F.array(*map(F.lit, ("beginner", "intermediate", "advanced", "expert"))), F.col("l_linenumber") % 4 + 1).alias("proficiency"),
@@ -92,9 +92,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same people as flat tables: prof, car (spells), ski (skills), sig (signals), txt (texts).
 SQL = r"""
 WITH lq AS (SELECT l_orderkey, CAST(sum(l_quantity) AS INT) AS qty FROM lineitem GROUP BY 1),
-o10 AS (
+oall AS (
   SELECT *, coalesce(qty, 0) AS q FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS pos FROM orders) x
-  LEFT JOIN lq ON l_orderkey = o_orderkey WHERE pos <= 10
+  LEFT JOIN lq ON l_orderkey = o_orderkey
 ),
 car AS (
   SELECT c_custkey AS id, pos, o_orderpriority AS company, o_orderstatus || ' ' || o_orderpriority AS title, CAST(o_orderdate AS DATE) AS a, b, industry,
@@ -102,14 +102,14 @@ car AS (
          cur, o_orderpriority || ' order ' || o_orderkey AS description
   FROM (SELECT *, o_orderstatus AS industry, o_orderstatus = 'O' AS cur,
                CASE WHEN o_orderkey % 29 = 0 THEN CAST(o_orderdate AS DATE) + 30 WHEN o_orderstatus = 'O' THEN NULL
-                    WHEN o_orderkey % 17 = 0 THEN CAST(o_orderdate AS DATE) - 40 ELSE CAST(o_orderdate AS DATE) + q * 10 END AS b FROM o10) y
+                    WHEN o_orderkey % 17 = 0 THEN CAST(o_orderdate AS DATE) - 40 ELSE CAST(o_orderdate AS DATE) + q * 10 END AS b FROM oall) y
   JOIN customer ON c_custkey = o_custkey
 ),
 ski AS (
   SELECT o_custkey AS id, pos, lower(p_name) AS name, CASE l_linenumber % 4 WHEN 0 THEN 'beginner' WHEN 1 THEN 'intermediate' WHEN 2 THEN 'advanced' ELSE 'expert' END AS proficiency,
          CAST(l_quantity AS INT) % 20 AS endorsements, CASE WHEN l_partkey % 5 = 0 THEN 0 ELSE p_size END AS months
   FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x
-  JOIN part ON p_partkey = l_partkey WHERE pos <= 15
+  JOIN part ON p_partkey = l_partkey
 ),
 sig AS (
   SELECT user_id AS id, least(100.0, count(*))::DOUBLE AS complete, CAST(max(ts) AS DATE) AS last_active, count(*) % 2 = 1 AS open, count(*) % 3 = 0 AS willing,

@@ -15,6 +15,7 @@ from sieveline.plans import rankings
 from sieveline.plans.candidates import ROLES, SKILLS, SPEC, SQL, any_hit, candidates, hits, words
 from sieveline.plans.registry import ORACLES, QUERIES, query, r, t
 from sieveline.sources import writers
+from sieveline.streaming import arrivals
 
 QUERY = "thatin orantion rewh the que that of nederlet inght and blue ring"
 
@@ -23,7 +24,8 @@ QUERY = "thatin orantion rewh the que that of nederlet inght and blue ring"
 
 _LEX = rf"""
 docs AS (SELECT doc_id AS id, FALSE AS q, coalesce(text, '') AS text FROM documents UNION ALL SELECT NULL, TRUE, '{QUERY}'),
-toks AS (SELECT id, q, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM docs),
+every AS (SELECT id, q, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM docs),
+toks AS (SELECT * FROM every WHERE term NOT IN ({", ".join(f"'{w}'" for w in tx.english_stop_words())})),
 tf AS (SELECT id, q, term, count(*) AS n FROM toks GROUP BY ALL),
 voc AS (SELECT term, sum(n) AS ctf, count(*) AS df FROM tf GROUP BY 1 ORDER BY ctf DESC, term LIMIT 5000),
 w AS (SELECT id, q, tf.term, n * (ln((1.0::DOUBLE + (SELECT count(*) FROM docs)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS w FROM tf JOIN voc USING (term)),
@@ -58,7 +60,7 @@ def _dense(spark, sf_dir):
 
 
 def _lexical(spark, sf_dir):
-    return retrieval.lexical_scores(t(spark, sf_dir, "documents"), "doc_id", "text", QUERY)
+    return retrieval.lexical_scores(t(spark, sf_dir, "documents"), "doc_id", "text", QUERY, stop_words=tx.english_stop_words())
 
 
 @query(f"WITH {_DENSE} SELECT id, round(cosine, 6) AS cosine FROM dense")
@@ -78,9 +80,9 @@ def ret3_hybrid_rrf(spark, sf_dir):
     return best.select("id", "rank_dense", "rank_lexical", r("rrf", 9).alias("rrf"), F.col("place").cast("long"))
 
 
-@query(f"""WITH {_LEX}, {_DENSE} SELECT id FROM (SELECT id FROM dense ORDER BY cosine DESC, id LIMIT 50) UNION SELECT id FROM (SELECT id FROM lex ORDER BY lexical DESC, id LIMIT 50)""")
+@query(f"""WITH {_LEX}, {_DENSE} SELECT id FROM (SELECT id FROM dense ORDER BY cosine DESC, id LIMIT 5000) UNION SELECT id FROM (SELECT id FROM lex ORDER BY lexical DESC, id LIMIT 5000)""")
 def ret4_union_of_tops(spark, sf_dir):
-    return retrieval.union_of_tops(_dense(spark, sf_dir), _lexical(spark, sf_dir), 50)
+    return retrieval.union_of_tops(_dense(spark, sf_dir), _lexical(spark, sf_dir), 5000)
 
 
 @query(f"WITH {_LEX} SELECT id, round(least(greatest(lexical / ((SELECT quantile_cont(lexical, 0.99) FROM lex) + 1e-9), 0), 1), 5) AS share FROM lex")
@@ -110,7 +112,7 @@ def top4_top_100(spark, sf_dir):
  WHEN row_number() OVER (ORDER BY score DESC, o_orderkey) - 1 < 24 THEN round(58 - 2.4 * (row_number() OVER (ORDER BY score DESC, o_orderkey) - 15), 1) ELSE greatest(6.0, round(24 - 1.4 * (row_number() OVER (ORDER BY score DESC, o_orderkey) - 25), 1)) END::DOUBLE AS shown FROM s""")
 def top5_rank_rounded(spark, sf_dir):
     best = rk.top(t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 200, [("o_totalprice", True), ("o_orderkey", False)])
-    scored = rk.with_min_max(best, "o_totalprice", "u").select("o_orderkey", r("u", 2).alias("score"))
+    scored = rk.with_min_max(best, "o_totalprice", "u", few=True).select("o_orderkey", r("u", 2).alias("score"))
     ranked = rk.rank_top(scored, [("score", True), ("o_orderkey", False)])
     return ranked.withColumn("shown", rk.display_score(F.col("rank") - 1))
 
@@ -155,11 +157,11 @@ def jn4_semi_join(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(e, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("""WITH o AS (SELECT DISTINCT c_nationkey AS id, lower(c_mktsegment) || o_orderpriority || (o_orderkey % 40)::VARCHAR AS skill FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 150000),
+@query("""WITH o AS (SELECT DISTINCT c_nationkey AS id, lower(c_mktsegment) || o_orderpriority || (o_orderkey % 40)::VARCHAR AS skill FROM orders JOIN customer ON c_custkey = o_custkey),
  n AS (SELECT skill, count(*) AS owners FROM o GROUP BY 1)
  SELECT id, count(*) FILTER (owners = (SELECT count(DISTINCT id) FROM o)) AS shared, count(*) FILTER (owners = 1) AS "unique", (SELECT count(*) FROM n) - count(*) AS missing FROM o JOIN n USING (skill) GROUP BY 1""")
 def jn14_set_comparison(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").filter("o_totalprice > 150000").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     named = o.select(F.col("c_nationkey").alias("id"), F.concat(F.lower("c_mktsegment"), "o_orderpriority", (F.col("o_orderkey") % 40).cast("string")).alias("skill"))
     return compare.skill_owners(named, "id", "skill")
 
@@ -177,7 +179,7 @@ def jn15_regression(spark, sf_dir):
 @query("SELECT p_name FROM part WHERE p_size > 25 EXCEPT SELECT p_name FROM part WHERE p_brand = 'Brand#2'")
 def set4_difference(spark, sf_dir):
     p = t(spark, sf_dir, "part")
-    return p.filter("p_size > 25").select("p_name").exceptAll(p.filter("1 = 0").select("p_name")).distinct().join(p.filter("p_brand = 'Brand#2'").select("p_name"), "p_name", "left_anti")
+    return p.filter("p_size > 25").select("p_name").subtract(p.filter("p_brand = 'Brand#2'").select("p_name"))
 
 
 @query("SELECT p_name FROM part WHERE p_size > 45 INTERSECT SELECT p_name FROM part WHERE p_brand = 'Brand#2'")
@@ -192,6 +194,13 @@ def set1_union(spark, sf_dir):
     return p.filter("p_size > 48").select("p_name").union(p.filter("p_brand = 'Brand#2'").select("p_name")).distinct()
 
 
+@query("SELECT round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50 FROM lineitem")
+def agg6_exact_percentile(spark, sf_dir):
+    lines = t(spark, sf_dir, "lineitem")
+    p = lambda q, name: rk.exact_percentile(lines, "l_extendedprice", q).select(r("percentile", 4).alias(name))
+    return p(0.99, "p99").crossJoin(p(0.5, "p50"))
+
+
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.99), 4) AS p99, round(avg(o_totalprice), 2) AS mean, count(*) AS n FROM orders GROUP BY 1")
 def agg6_percentile(spark, sf_dir):
     return t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(r(F.percentile("o_totalprice", 0.99), 4).alias("p99"), r(F.avg("o_totalprice"), 2).alias("mean"), F.count("*").alias("n"))
@@ -241,8 +250,7 @@ def win6_promotions(spark, sf_dir):
 @query("""WITH v AS (SELECT event_id % 500 AS k, ts, event_id, event_type = 'error' AS gone, value FROM events) SELECT k, event_id, value FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts DESC, event_id) = 1 AND NOT gone""")
 def snk9_current_versions(spark, sf_dir):
     log = t(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("k"), "ts", "event_id", (F.col("event_type") == "error").alias("gone"), "value")
-    newest = rk.latest(log, ["k"], [("ts", True), ("event_id", False)])
-    return newest.filter("NOT gone").select("k", "event_id", "value")
+    return writers.current_versions(log, ["k"], "ts", "gone", tie="event_id").select("k", "event_id", "value")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
@@ -328,7 +336,7 @@ def s1_weighted_top_100(spark, sf_dir):
     wide = features.integrity(features.relative_features(candidates(spark, sf_dir), SPEC), SPEC.reference_date)
     weights = {k: v for k, v in specs.RELATIVE_WEIGHTS.items() if k != "retrieval_fusion"}
     scored = wide.withColumn("raw_score", r(weighted(weights) - 100.0 * F.col("honeypot"), 6)).select("candidate_id", "raw_score")
-    best = rk.with_min_max(rk.top(scored, 100, [("raw_score", True), ("candidate_id", False)]), "raw_score", "u").select("candidate_id", r("u", 4).alias("score"))
+    best = rk.with_min_max(rk.top(scored, 100, [("raw_score", True), ("candidate_id", False)]), "raw_score", "u", few=True).select("candidate_id", r("u", 4).alias("score"))
     return rk.rank_top(best, [("score", True), ("candidate_id", False)])
 
 
@@ -560,8 +568,7 @@ def scl2_whole_months(spark, sf_dir):
 
 @query("SELECT l_orderkey, round(1 - product(1 - l_discount) + 1e-9, 4) AS hint FROM lineitem GROUP BY 1")
 def agg12_noisy_or(spark, sf_dir):
-    chance = F.aggregate(F.sort_array(F.collect_list("l_discount")), F.lit(1.0), lambda p, x: p * (1 - x))
-    return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(r(1 - chance + 1e-9, 4).alias("hint"))
+    return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(taxonomy.noisy_or(F.col("l_discount") + 0.0, 4).alias("hint"))
 
 
 @query("SELECT l_suppkey, arg_max(l_partkey, l_extendedprice * 1e6 + l_orderkey % 1000) AS dearest, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1")
@@ -608,8 +615,8 @@ def win8_rotating_opener(spark, sf_dir):
 @query("SELECT event_type AS kind, date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
 def str_daily_windows(spark, sf_dir):
     """The batch form of the streaming extension's windows."""
-    w = t(spark, sf_dir, "events").groupBy(F.window("ts", "1 day").alias("w"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), r(F.sum("value"), 3).alias("total"))
-    return w.select("kind", F.col("w.start").alias("day"), "n", "total")
+    w = arrivals.windowed_counts(t(spark, sf_dir, "events"), "ts", "event_type", "1 day", value="value")
+    return w.select(F.col("event_type").alias("kind"), F.col("start").alias("day"), "n", "total")
 
 
 @query(SQL + """, s AS (SELECT candidate_id, CASE WHEN own_title <> '' THEN 'ready' WHEN spells = 0 THEN 'failed' ELSE 'processing' END AS status FROM txt) SELECT status, count(*) AS n FROM s GROUP BY 1""")

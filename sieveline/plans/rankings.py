@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import specs
 from sieveline.functions.numbers import clip, weighted
+from sieveline.functions.text import english_stop_words
 from sieveline.operators import explain, families, features, pool, retrieval
 from sieveline.operators.compare import showcase_relevance
 from sieveline.operators.ranking import display_score, rank_top, top, with_min_max, with_share_of_percentile
 from sieveline.schema import JobSpec
+from sieveline.storage import stored
 
 DIGITS = 6
+MOST_RETRIEVED = 100_000
 
 
-def relative_ranking(profiles: DataFrame, vectors: DataFrame, query_vector: Sequence[float], query: str, spec: JobSpec, weights: Mapping[str, float] = specs.RELATIVE_WEIGHTS, k: int = 100, retrieve: int = 6000, id_col: str = "candidate_id") -> DataFrame:
+def relative_ranking(profiles: DataFrame, vectors: DataFrame, query_vector: Sequence[float], query: str, spec: JobSpec, weights: Mapping[str, float] = specs.RELATIVE_WEIGHTS, k: int = 100, retrieve: int = 6000, id_col: str = "candidate_id", stop_words: Iterable[str] | None = None) -> DataFrame:
     """Fused retrieval over the pool, features over what it retrieves, top k with reasons.
 
     vectors: id (as in ``profiles``), embedding. The costly features are computed for ``retrieve``
     profiles only; those come back by a semi-join whose right side has at most that many ids.
+    stop_words: English ones if not given.
     """
+    if retrieve > MOST_RETRIEVED:
+        raise ValueError(f"at most {MOST_RETRIEVED} rows can be retrieved: they are broadcast")
+    stop = english_stop_words() if stop_words is None else tuple(stop_words)
     texts = features.with_texts(profiles)
-    lexical = retrieval.lexical_scores(texts.select(id_col, features.lexical_document().alias("__doc")), id_col, "__doc", query)
+    lexical = retrieval.lexical_scores(texts.select(id_col, features.lexical_document().alias("__doc")), id_col, "__doc", query, stop_words=stop)
     lexical = with_share_of_percentile(lexical, "lexical", "share")
     dense = retrieval.dense_scores(vectors, "id", "embedding", query_vector)
     fused = retrieval.fuse(dense, lexical, retrieve)
-    fused = with_min_max(fused, "rrf", "retrieval_fusion")
+    fused = stored(with_min_max(fused, "rrf", "retrieval_fusion", few=True), "fused")
     kept = texts.join(F.broadcast(fused.select(F.col("id").alias("__id"), "cosine", "share", "retrieval_fusion")), F.col(id_col) == F.col("__id"))
     wide = features.integrity(features.relative_features(kept, spec), spec.reference_date)
     real = wide.withColumn("semantic_sim", clip(F.col("cosine"))).withColumn("bm25_score", F.col("share"))
     scored = real.withColumn("raw_score", F.round(weighted(weights) - 100.0 * F.col("honeypot"), DIGITS + 2))
-    best = with_min_max(top(scored, k, [("raw_score", True), (id_col, False)]), "raw_score", "__unit")
+    best = with_min_max(top(scored, k, [("raw_score", True), (id_col, False)]), "raw_score", "__unit", few=True)
     # the written score is rounded, so the order is taken again on what will be written
     best = rank_top(best.withColumn("score", F.round("__unit", 4)).drop("__unit"), [("score", True), (id_col, False)])
     return best.withColumn("reasoning", explain.reasoning(spec))

@@ -8,11 +8,14 @@ from collections.abc import Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.schema import profile_ddl
 
+#: Uploads that are chosen by one driver.
+MOST_UPLOADS = 100_000
 WORD_TEXT = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}t"
 
 
@@ -34,7 +37,7 @@ def query_vector(spark: SparkSession, path: str, vector: str = "embedding", enco
     """The stored vector of a job; if there is none, ``encode(text)``."""
     try:
         row = spark.read.parquet(path).select(vector).first()
-    except Exception:
+    except AnalysisException:  # no such file or column
         if encode is None:
             raise
         row = None
@@ -63,12 +66,17 @@ def uploads(spark: SparkSession, paths: Sequence[str], suffixes: Sequence[str] =
     """Files of allowed kinds and sizes; of equal names (case ignored) that in the first folder."""
     every = None
     for i, p in enumerate(paths):
-        one = spark.read.format("binaryFile").load(p).withColumn("folder", F.lit(i))
+        one = spark.read.format("binaryFile").load(p).select("path", "length", "modificationTime").withColumn("folder", F.lit(i))
         every = one if every is None else every.unionByName(one)
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     allowed = every.withColumn("name", name).filter(F.col("name").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$") & (F.col("length") <= limit))
     first = Window.partitionBy("name").orderBy("folder", "path")
-    return allowed.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    # Chosen by name and size alone; contents are read of what was chosen only, and move in no shuffle.
+    chosen = [r.path for r in allowed.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select("path").limit(MOST_UPLOADS + 1).collect()]
+    if len(chosen) > MOST_UPLOADS:
+        raise ValueError(f"more than {MOST_UPLOADS} files")
+    whole = spark.read.format("binaryFile").load(chosen) if chosen else spark.read.format("binaryFile").load(list(paths)).filter("1 = 0")
+    return whole.withColumn("name", name).join(F.broadcast(allowed.select("path", "folder").distinct()), "path")
 
 
 def docx_text(content: Column | str) -> Column:

@@ -52,9 +52,9 @@ def append_version(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def current_versions(log: DataFrame, key: list[str], at: str, deleted: str | None = None) -> DataFrame:
-    """The newest version of each key, without keys whose newest version is a deletion."""
-    newest = latest(log, key, [(at, True)])
+def current_versions(log: DataFrame, key: list[str], at: str, deleted: str | None = None, tie: str | None = None) -> DataFrame:
+    """The newest version of each key (of equal times the least ``tie``), without keys whose newest version is a deletion."""
+    newest = latest(log, key, [(at, True), *([(tie, False)] if tie else [])])
     return newest.filter(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else newest
 
 

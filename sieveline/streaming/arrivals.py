@@ -21,17 +21,15 @@ def keep_best(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: s
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = score(batch).select("candidate_id", "score")
-        try:
+        if number:
             new = new.unionByName(spark.read.parquet(f"{out}/best-{number - 1}"))
-        except Exception:
-            if number:
-                raise
         best = new.groupBy("candidate_id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "candidate_id").limit(k)
         best.write.mode("overwrite").parquet(f"{out}/best-{number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events by kind and tumbling window; rows later than the watermark are left out."""
-    return events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+def windowed_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour", late: str = "2 hours", value: str | None = None) -> DataFrame:
+    """start, kind, n (and total of ``value``) of events by kind and tumbling window; in a stream rows later than the watermark are left out."""
+    sums = [F.count("*").alias("n"), *([F.round(F.sum(value), 3).alias("total")] if value else [])]
+    return events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), kind).agg(*sums).select(F.col("w.start").alias("start"), kind, "n", *(["total"] if value else []))
