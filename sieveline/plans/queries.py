@@ -348,6 +348,28 @@ def s1_relative_ranking(spark, sf_dir):
     return out.select("candidate_id", "rank", "score", "reasoning")
 
 
+_LEX_OF_PROFILES = _LEX.replace(
+    "docs AS (SELECT doc_id AS id, FALSE AS q, coalesce(text, '') AS text FROM documents",
+    "docs AS (SELECT candidate_id AS id, FALSE AS q, concat_ws(' ', headline, summary, own_title, skills_text, career_text) AS text FROM txt",
+)
+_DENSE_OF_PROFILES = _DENSE.replace("vec_id AS id", "printf('CAND_%07d', vec_id) AS id")
+_W_ALL = " + ".join(f"{w} * {c}" for c, w in specs.RELATIVE_WEIGHTS.items())
+
+
+@query(
+    _FEATURES + "," + _HONEY.removeprefix(SQL).lstrip().removeprefix(",") + f""", {_LEX_OF_PROFILES}, {_DENSE_OF_PROFILES}, {_RRF},
+fu AS (SELECT id, cosine, least(greatest(lexical / ((SELECT quantile_cont(lexical, 0.99) FROM lex) + 1e-9), 0), 1) AS share,
+  (rrf - (SELECT min(rrf) FROM fused)) / ((SELECT max(rrf) - min(rrf) FROM fused) + 1e-9) AS retrieval_fusion FROM fused),
+w0 AS (SELECT f.* EXCLUDE (semantic_sim, bm25_score), least(greatest(cosine, 0), 1) AS semantic_sim, share AS bm25_score, retrieval_fusion, honeypot_reasons FROM f JOIN fu ON fu.id = f.candidate_id JOIN hp ON hp.id = f.id),
+s0 AS (SELECT candidate_id, round({_W_ALL} - CASE WHEN honeypot_reasons <> '' THEN 100 ELSE 0 END, 8) AS raw_score FROM w0 ORDER BY raw_score DESC, candidate_id LIMIT 100),
+s1 AS (SELECT candidate_id, round((raw_score - min(raw_score) OVER ()) / (max(raw_score) OVER () - min(raw_score) OVER () + 1e-9), 4) AS score FROM s0)
+SELECT candidate_id, score, row_number() OVER (ORDER BY score DESC, candidate_id)::INT AS rank FROM s1"""
+)
+def s1_relative_scores(spark, sf_dir):
+    """The whole relative ranking with retrieval: who is where."""
+    return s1_relative_ranking(spark, sf_dir).select("candidate_id", "score", "rank")
+
+
 def _best(column: str, fams: dict) -> str:
     hit = {k: words(column, v) for k, v in fams.items()}
     most = "greatest(" + ", ".join(hit.values()) + ")"
@@ -503,12 +525,26 @@ def res18_confidence(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", ex.extraction_confidence(c).alias("confidence"), (F.size(ex.layout_warnings(c)) > 0).alias("warned"))
 
 
-@query()
+_HEADS = ", ".join(f"('{h}', '{name}')" for name, hs in ex.SECTIONS.items() for h in hs)
+
+
+@query(rf"""WITH hs(h, name) AS (VALUES {_HEADS}), l0 AS (SELECT doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+ l AS (SELECT id, pos, trim(raw) AS line FROM l0 WHERE trim(raw) <> ''),
+ b AS (SELECT *, trim(regexp_replace(lower(line), '[:—]+$', '')) AS bare, regexp_extract(lower(line), '^([a-z ]+?)(:| —)', 1) AS head FROM l),
+ n AS (SELECT b.*, x.name AS whole, coalesce(x.name, y.name) AS heading FROM b LEFT JOIN hs x ON x.h = bare LEFT JOIN hs y ON y.h = head),
+ o AS (SELECT id, pos, heading, CASE WHEN whole IS NOT NULL THEN '' WHEN heading IS NOT NULL THEN trim(regexp_replace(line, '^[^:—]*[:—]\s*[-—]?', '')) ELSE line END AS line FROM n),
+ s AS (SELECT id, pos, line, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING), 'Summary') AS section FROM o)
+ SELECT id, pos::INT AS pos, section, line FROM s WHERE line <> ''""")
 def res4_sections(spark, sf_dir):
     return ex.sections(t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query(SQL + f""", e AS (SELECT car.id, a, coalesce(b, DATE '{SPEC.reference_date}') AS z, title, company, industry, pos FROM car),
+ k AS (SELECT id, count(*) AS n, greatest(0.5, date_diff('day', min(a), max(z)) / 365.25::DOUBLE) AS years, avg(greatest(0.08, date_diff('day', a, z) / 365.25::DOUBLE)) AS tenure, count(DISTINCT lower(industry)) AS kinds, count(DISTINCT lower(company)) AS firms FROM e GROUP BY 1),
+ u AS (SELECT id, count(*) FILTER (p IS NOT NULL AND lower(p) <> lower(title)) AS ups FROM (SELECT *, lag(title) OVER (PARTITION BY id, lower(company) ORDER BY strftime(a, '%Y-%m-%d'), pos) AS p FROM car) GROUP BY 1),
+ m AS (SELECT candidate_id, coalesce(n, 0) AS n, tenure, coalesce(ups, 0) / k.years AS rate, least(1.0, CASE WHEN kinds > 0 THEN kinds ELSE firms END / n::DOUBLE) AS spread, firms FROM prof LEFT JOIN k ON k.id = prof.id LEFT JOIN u ON u.id = prof.id),
+ t AS (SELECT *, CASE WHEN n = 0 THEN 'unknown' WHEN rate >= 0.45 OR (rate >= 0.30 AND tenure >= 1.2) THEN 'fast_climber' WHEN tenure BETWEEN 3.0 AND 5.5 AND spread <= 0.65 THEN 'stable_performer' WHEN tenure < 2.0 AND spread >= 0.7 AND firms >= 3 THEN 'chaotic_hopper' ELSE 'mixed' END AS archetype FROM m)
+ SELECT candidate_id, archetype, round(CASE archetype WHEN 'unknown' THEN 0.5 WHEN 'fast_climber' THEN least(1.0, 0.7 + rate / 2) WHEN 'stable_performer' THEN 0.9 WHEN 'chaotic_hopper' THEN 0.4 ELSE 0.6 END, 4)::DOUBLE AS trajectory_score FROM t""")
 def trj1_trajectories(spark, sf_dir):
     c = candidates(spark, sf_dir)
     ups = intervals.promotions(
