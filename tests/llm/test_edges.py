@@ -298,19 +298,107 @@ def test_language_model(spark, docs, none, sf):
     for r, h in zip(rows, held, strict=True):
         w = [*words(lower(r.text)), None]
         want[r.doc_id, h, len(w), sum(counts[x] > 0 for x in w), n, round(sum(np.log10((counts[x] + 1) / (n + v + 1)) for x in w), 5)] += 1
-    for block in (20_000, 2_000_000):
-        got = language_model.score_documents(both, block_tokens=block).collect()
+    for block, order in ((20_000, 3), (2_000_000, 2)):
+        got = language_model.score_documents(both, block_tokens=block, order=order).collect()
         assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
         assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
     assert language_model.score_documents(none).count() == 0
-    assert language_model.score_documents(docs.filter("doc_id IS NULL AND text IS NULL")).collect()[0].n_tokens == 1
-
-
-def test_learned_weights_find_the_mixture():
-    ratios = np.array([[40, 0], [0, 40], [-(1 << 21), 20], [8, 8]])
-    cells = np.array([[3, *r, c] for r, c in zip(ratios, (600, 300, 50, 50), strict=True)])
-    weights = language_model.learn_weights(cells)
-    assert np.allclose(weights.sum(axis=1), 1) and weights[3, 0] > weights[3, 1] > weights[3, 2] and (weights > 0).all()
+    alone = language_model.score_documents(docs.filter("doc_id IS NULL AND text IS NULL")).collect()[0]
+    assert alone.n_tokens == 1
+
+
+class PlainModel:
+    """Deleted interpolation with dictionaries."""
+
+    def __init__(self, rows, order):
+        self.order, self.lam = order, [[0.5] * 64] + [[0.0] + [0.5] * 63 for _ in range(order - 1)]
+        folds = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 for r in rows]
+        texts = [[*words(lower(r.text)), None] for r in rows]
+        main = [t for t, f in zip(texts, folds, strict=True) if f not in (2, 3)]
+        self.count(main)
+        self.learn([self.events(t) for t, f in zip(texts, folds, strict=True) if f == 3])
+        self.count([t for t, f in zip(texts, folds, strict=True) if f != 2])
+
+    def count(self, texts):
+        self.grams, self.contexts = Counter(), Counter()
+        for t in texts:
+            padded = ["<s>"] * (self.order - 1) + t
+            for i in range(len(t)):
+                end = i + self.order
+                for k in range(1, self.order + 1):
+                    self.grams[tuple(padded[end - k : end])] += 1
+                    self.contexts[tuple(padded[end - k : end - 1])] += 1
+        self.v = len({g for g in self.grams if len(g) == 1})
+
+    def events(self, t):
+        padded = ["<s>"] * (self.order - 1) + t
+        return [tuple(padded[i : i + self.order]) for i in range(len(t))]
+
+    def levels(self, gram):
+        """For words, pairs and so on: bucket, weight times estimate, probability."""
+        p, out = 1 / (self.v + 1), []
+        for k in range(1, self.order + 1):
+            g = gram[-k:]
+            seen = self.contexts[g[:-1]]
+            b = 0 if k == 1 else seen.bit_length()
+            part = self.lam[k - 1][b] * (self.grams[g] / seen if seen else 0)
+            p = part + (1 - self.lam[k - 1][b]) * p
+            out.append((b, part, p))
+        return out
+
+    def learn(self, texts):
+        for _ in range(language_model.ITERATIONS):
+            taken, reached = [[0.0] * 64 for _ in self.lam], [[0.0] * 64 for _ in self.lam]
+            for gram in (g for t in texts for g in t):
+                reach = 1.0
+                for k, (b, part, p) in reversed(list(enumerate(self.levels(gram)))):
+                    reached[k][b] += reach
+                    taken[k][b] += reach * part / p
+                    reach -= reach * part / p
+            change = 0
+            for k in range(self.order):
+                have = [b for b in range(64) if reached[k][b] > 0 and (k == 0 or b > 0)]
+                for b in range(64):
+                    new = self.lam[k][b]
+                    if b in have:
+                        new = min(taken[k][b] / reached[k][b], language_model.MOST)
+                    elif k and b and have:
+                        near = max((h for h in have if h < b), default=have[0])
+                        new = min(taken[k][near] / reached[k][near], language_model.MOST)
+                    change = max(change, abs(new - self.lam[k][b]))
+                    self.lam[k][b] = new
+            if change < language_model.ENOUGH:
+                break
+
+    def score(self, text):
+        return sum(np.log10(self.levels(g)[-1][2]) for g in self.events([*words(lower(text)), None]))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_language_model_against_dictionaries(spark, docs, sf, order):
+    more = spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) < 2500").selectExpr("doc_id + 100 AS doc_id", "text")
+    both = docs.select("doc_id", "text").filter("text IS NULL OR length(text) < 3000").unionByName(more)
+    rows = both.collect()
+    model = PlainModel(rows, order)
+    want = sorted(((r.doc_id is None, r.doc_id or 0), model.score(r.text)) for r in rows)
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.score) for r in language_model.score_documents(both, order=order, block_tokens=3000).collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], rtol=0, atol=1e-6)
+    # After any context, seen or not, the probabilities of all words and of one unknown word sum to one.
+    vocabulary = [g[0] for g in model.grams if len(g) == 1]
+    for context in [("<s>",) * (order - 1), ("nowhere",) * (order - 1), *[g[:-1] for g in list(model.grams)[:4000:997] if len(g) == order]]:
+        assert abs(sum(model.levels((*context, w))[-1][2] for w in [*vocabulary, "never seen"]) - 1) < 1e-9
+
+
+def test_weights_find_the_mixture():
+    n, v = 1000, 99
+    # pair counts of 16 contexts; the estimate explains most events in one bucket and few in another
+    rows = [np.array([12, 0, 1, 0]), np.array([16, 16, 64, 64]), np.array([40, 40, 40, 40])]
+    events = np.array([80, 20, 30, 70])
+    weights = language_model.first_weights(2)
+    for _ in range(50):
+        weights = language_model.next_weights(language_model.expected(rows, events, weights, n, v), weights)
+    assert weights[1, 5] > 0.6 > weights[1, 7] > 0 and weights[1, 0] == 0 and weights[1, 20] == weights[1, 7] and weights[1, 1] == weights[1, 5]
+    assert (weights[0] > 0).all()
 
 
 def test_license_scan(docs, none):
