@@ -5,7 +5,7 @@ for the features named in ``MONOTONE`` only splits whose leaf values go the righ
 bounds handed down to the children, so the score never rises (or falls) with that feature. They are
 then flattened into node arrays, which score a whole batch of documents level by level.
 
-Fitting uses at most ``MAX_LABELLED`` labelled documents, those with the smallest hash of their id;
+Fitting uses at most ``MAX_LABELLED`` labelled rows, those with the smallest hash of their id;
 statistics and verdicts cover every document.
 
 Cases: a null or empty text has no words, fails the base rule and is not kept; without a label of
@@ -169,7 +169,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return pd.Series(list(_frame(texts)[1]))
 
     found = docs.select(F.col(id_col).alias("doc"), F.col(text).cast("string").alias("doc_text")).join(F.broadcast(chosen), F.col("doc") == F.col("id"))
-    rows = found.orderBy(F.xxhash64("id"), "id", "y").limit(2 * at_most).select("id", "y", "doc_text").select("id", "y", features("doc_text").alias("x")).collect()
+    # Texts become statistics first, so only narrow rows are sorted for the limit.
+    rows = found.select("id", "y", features("doc_text").alias("x")).orderBy(F.xxhash64("id"), "id", "y", "x").limit(at_most).collect()
     if len({r.y for r in rows}) < 2:
         return None
     rows.sort(key=lambda r: (r.id, r.y, r.x))

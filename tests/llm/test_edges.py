@@ -121,7 +121,7 @@ def brute_stats(text):
 
 
 def test_quality_statistics(spark, docs, none, sf):
-    texts = [t for _, t, *_ in ROWS] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    texts = [t for _, t, *_ in ROWS] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     texts += ["a b c d e a b c d e", "a a a a a a a", "a b c d", "q\nq\nq\n \n \nz"]
     for t in texts:
         assert quality.statistics(t)[:5] == brute_stats(t)
@@ -151,6 +151,24 @@ def test_quality_trees_are_monotone_and_learn():
         assert (np.diff(np.array(steps), axis=0) <= 1e-12).all()
 
 
+def test_flat_trees_score_as_a_walk_does():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((800, 4)), 2)  # values that equal thresholds occur
+    y = ((x[:, 0] + x[:, 1] > 1) ^ (x[:, 2] < 0.2)).astype(float)
+    model = quality.BoostedTrees(trees=12).fit(x, y, np.array([0, 1, 0, -1]))
+
+    def walk(row):
+        total = model.start
+        for node in model.roots:
+            while model._nodes[node][0] >= 0:
+                feature, threshold, left, right, _ = model._nodes[node]
+                node = int(right if row[int(feature)] > threshold else left)
+            total += model._nodes[node][4]
+        return total
+
+    assert np.allclose(model.score(x), [walk(r) for r in x], rtol=0, atol=1e-12) and len(model._nodes) > 60
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -175,6 +193,26 @@ def test_piece_codec(spark, docs, none):
     assert piece_codec.encode_documents(none, model).count() == 0
 
 
+def test_piece_codec_on_whole_tables_and_noise(spark, sf):
+    """Every document, every page's source, and random texts of odd characters, against the library."""
+    import random
+
+    import sentencepiece
+
+    model = tokenizer_path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=model)
+    codec = piece_codec.PieceCodec(model)
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [r.html or "" for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    rng = random.Random(5)
+    pools = ["abcdefgh ", "aA\t\n  ", "äöüßéñ日本語中文ひら", "🙂👩‍👩‍👧\u200d\ufe0f", "▁<s></s>", "\x00\x7f\x85\xa0", "0123456789.,-", "ℌﬁ①½"]
+    texts += ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["a" * 5000, "ab" * 3000, " " * 50]
+    for t in texts:
+        ids = lib.encode(t)
+        got = codec.encode(t)
+        assert list(got) == ids, t[:80]
+        assert codec.decode(got) == lib.decode(ids).encode() if isinstance(codec.decode(got), bytes) else codec.decode(got) == lib.decode(ids)
+
+
 def test_piece_codec_against_merging():
     c = piece_codec.PieceCodec(tokenizer_path("piece_bpe_32k.model"))
     for text in ["▁information", "▁aaaaaaa", "strength▁ened", "▁▁▁▁▁x", "e-e-e-", "##########", "▁tionanthe"]:
