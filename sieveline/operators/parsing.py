@@ -151,11 +151,11 @@ def leadership_years(experiences: Column, pattern: str = LEADER) -> Column:
 def career_graph(blocks: DataFrame, now: Column) -> DataFrame:
     """id, total_years, relevant_years, leadership_years, promotion_count, company_count, career_velocity, inversion_count.
 
-    blocks: id, pos (newest first), title, company, start_date, end_date, months as ``records.career_blocks`` gives them.
-    Overlapping spells count once; relevant are those whose title names a role; an inversion is a range that ends before it starts.
+    blocks: id, pos (newest first), title, company, start_date, end_date, months, inverted as ``records.career_blocks`` gives them.
+    Overlapping spells count once; relevant are those whose title names a role; an inversion is a company that stands before its title.
     """
     span = ex.month_range(F.col("start_date"), F.col("end_date"), now)
-    spells = blocks.withColumn("__r", span).select("id", "pos", "title", "company", "months", "start_date", "end_date", F.col("__r.first").alias("a"), F.col("__r.last").alias("b"), ex.is_role_title(F.col("title")).alias("role"))
+    spells = blocks.withColumn("__r", span).select("id", "pos", "title", "company", "months", "inverted", F.col("__r.first").alias("a"), F.col("__r.last").alias("b"), ex.is_role_title(F.col("title")).alias("role"))
 
     def years(rows: DataFrame, name: str) -> DataFrame:
         whole = intervals.merged(rows.filter("a IS NOT NULL AND b IS NOT NULL"), ["id"], "a", "b")
@@ -163,7 +163,7 @@ def career_graph(blocks: DataFrame, now: Column) -> DataFrame:
 
     led = spells.groupBy("id").agg(
         F.sum(F.when(F.col("title").rlike(LEADER), F.greatest(F.lit(1), F.floor(F.col("months") / 12))).otherwise(0)).cast("long").alias("leadership_years"),
-        F.count_if(_year("end_date") < _year("start_date")).alias("inversion_count"),
+        F.count_if("inverted").alias("inversion_count"),
     )
     # Oldest first: a change of title since the company was last seen is a promotion.
     ups = intervals.promotions(spells.withColumn("__age", -F.col("pos")), ["id"], "company", "title", "__age", "title")
@@ -176,17 +176,16 @@ def career_graph(blocks: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def _year(c: str) -> Column:
-    return F.try_to_number(F.regexp_extract(c, r"([0-9]{4})", 1), F.lit("9999")).cast("int")
-
-
 def assembled_records(df: DataFrame, id_col: str, text: str, aliases: DataFrame, titles: DataFrame, fixed: DataFrame, now: Column) -> DataFrame:
     """One nested record for each text: contacts, name, title, career and its graph, education, skills, certificates and confidences."""
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    names = ex.name_candidates(texts, "id", "text").select("id", "name", F.least(F.lit(1.0), F.col("score") / 150.0).alias("name_confidence"))
-    blocks = records.career_blocks(texts, "id", F.col("text"), now)
+    names = ex.name_candidates(texts, "id", "text").select("id", "name", ex.name_confidence(F.col("score")).alias("name_confidence"))
+    told = ex.sections(texts, "id", F.col("text")).filter("section = 'Experience'").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    told = texts.join(told, "id", "left").withColumn("lines", F.coalesce(F.transform("l", lambda x: x["line"]), F.array().cast("array<string>")))
+    told = told.withColumn("lines_text", F.array_join("lines", "\n"))
+    blocks = records.career_blocks(told, "id", F.when(F.size("lines") > 2, F.col("lines_text")).otherwise(F.col("text")), now, F.col("lines_text"))
     graph = career_graph(blocks, now).withColumn("career_graph", F.struct("total_years", "relevant_years", "leadership_years", "promotion_count", "company_count", "career_velocity", "inversion_count")).select("id", "career_graph")
-    spell = F.struct("pos", "title", "company", "start_date", "end_date", "months", "is_current", "confidence")
+    spell = F.struct("pos", "title", "company", "start_date", "end_date", "months", "is_current", "bullets", "evidence", "confidence")
     career = blocks.groupBy("id").agg(F.array_sort(F.collect_list(spell)).alias("career_history"))
     skills = skills_with_evidence(texts, "id", "text", aliases)
     skills = skills.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("skill", "confidence", "method", "evidence"))).alias("skills"))

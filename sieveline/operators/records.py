@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.numbers import or_else
 from sieveline.operators import extract as ex
 
-_MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-_DATE = rf"(?:{_MONTH}[.,]?\s+\d{{4}}|\d{{1,2}}[/-]\d{{4}}|\d{{4}})"
-RANGE = rf"(?i)\b({_DATE})\s*(?:-|–|—|to|until)\s*({_DATE}|present|current|now|ongoing|till date)\b"
+MOST_TITLES = 100_000
+# How a range of dates is written.
+_MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+_DATE = rf"(?:{_MONTH}\s+)?\d{{4}}|\d{{1,2}}[/\-]\d{{4}}"
+RANGE = rf"(?i)\b({_DATE})\s*(?:–|—|-|to)\s*({_DATE}|Present|Current|Now|Till Date|Ongoing)\b"
+CAREER_HEADS = ("experience", "employment", "work history", "career", "professional experience", "work experience", "positions held")
+BETWEEN = r"(?i)\s+[-–—|@,]\s+|\s+at\s+"
 
 # Certificates and how they are written.
 CERTIFICATES = {
@@ -40,36 +44,75 @@ def certificates(text: Column) -> Column:
     return F.array_compact(each)
 
 
-def career_blocks(df: DataFrame, id_col: str, text: str, now: Column) -> DataFrame:
-    """id, pos, title, company, start_date, end_date, months, is_current, confidence for each written range of dates.
+def _split_role(line: Column, other: Column) -> Column:
+    """Struct (title, company, inverted) of a line that holds both, or of two lines; inverted where the company stands first."""
+    parts = F.split(line, BETWEEN)
+    a, b = F.trim(F.get(parts, F.lit(0))), F.trim(F.element_at(parts, -1))
+    a_role, b_role, one, two = ex.is_role_title(a), ex.is_role_title(b), ex.is_role_title(line), ex.is_role_title(other)
+    of = lambda title, company, inverted=False: F.struct(title.alias("title"), company.alias("company"), F.lit(inverted).alias("inverted"))
+    inline = F.when(b_role & ~a_role, of(b, a, True)).when(a_role, of(a, b)).otherwise(of(b, a))
+    lines = F.when(two & ~one, of(other, line, True)).otherwise(of(line, other))
+    return F.when(F.size(parts) >= 2, inline).when(other != "", lines).otherwise(of(line, F.lit("")))
+
 
-    Title and company are read from what stands before the range in its line, or else from up to two
-    lines above it: the part that names a role is the title.
+def career_blocks(df: DataFrame, id_col: str, text: str | Column, now: Column, undated: Column | None = None) -> DataFrame:
+    """id, pos, title, company, start_date, end_date, months, is_current, inverted, bullets, evidence, confidence for each written range of dates.
+
+    Title and company stand in the last lines before a range: the part that names a role is the title. Without a company that of
+    the range before holds on. What follows up to the next range are bullets. A text without ranges gives its lines that are role
+    titles (of ``undated`` if given), without dates.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    each = df.withColumn("__lines", lines).select(F.col(id_col).alias("id"), "__lines", F.posexplode("__lines").alias("pos", "line")).filter(F.col("line").rlike(RANGE))
-    above = lambda k: F.coalesce(F.get("__lines", F.col("pos") - k), F.lit(""))
-    plain = lambda c: F.when(c.rlike(RANGE) | F.lower(c).isin(*[h for hs in ex.SECTIONS.values() for h in hs]), "").otherwise(c)
-    before = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_extract("line", rf"^(.*?){RANGE.removeprefix('(?i)')}".replace("^(", "(?i)^("), 1), r"[\s(|,:–—-]+$", "")), r"^[\s•*-]+", "")
-    each = each.withColumn("head", F.when(before != "", before).otherwise(plain(above(1)))).withColumn("other", F.when(before != "", plain(above(1))).otherwise(plain(above(2))))
-    parts = F.split("head", r"(?i)\s+[-–—|@,]\s+|\s+at\s+")
-    a, b = F.trim(F.get(parts, F.lit(0))), F.trim(F.element_at(parts, -1))
-    split, a_role, b_role = F.size(parts) >= 2, ex.is_role_title(a), ex.is_role_title(b)
-    head_role, other_role = ex.is_role_title(F.col("head")), ex.is_role_title(F.col("other"))
-    title = F.when(split, F.when(b_role & ~a_role, b).otherwise(a)).when(other_role & ~head_role, F.col("other")).otherwise(F.col("head"))
-    company = F.when(split, F.when(b_role & ~a_role, a).otherwise(b)).when(other_role & ~head_role, F.col("head")).otherwise(F.col("other"))
-    start, end = F.regexp_extract("line", RANGE, 1), F.regexp_extract("line", RANGE, 2)
-    out = each.select("id", "pos", title.alias("title"), company.alias("company"), start.alias("start_date"), end.alias("end_date"))
-    span = ex.month_range(F.col("start_date"), F.col("end_date"), now)
-    sure = 0.5 + F.when(F.col("title") == "", 0.0).when(ex.is_role_title(F.col("title")), 0.2).otherwise(0.1) + F.when(F.col("company") != "", 0.2).otherwise(0.0) + 0.1
-    return out.withColumn("__r", span).select("id", "pos", "title", "company", "start_date", "end_date", F.col("__r.months").alias("months"), F.col("__r.is_current").alias("is_current"), F.round(F.least(sure, F.lit(1.0)), 2).alias("confidence"))
-
-
-def normalise_titles(titles: DataFrame, column: str, fixed: DataFrame, aliases: DataFrame, least: int = 6) -> DataFrame:
+    body = F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit(""))
+    rows = df.select(F.col(id_col).alias("id"), body.alias("text"), (body if undated is None else F.coalesce(undated, F.lit(""))).alias("loose"))
+    rows = rows.withColumn("__blocks", F.split("text", RANGE)).withColumn("__starts", F.regexp_extract_all("text", F.lit(RANGE), F.lit(1))).withColumn("__ends", F.regexp_extract_all("text", F.lit(RANGE), F.lit(2)))
+    dated = rows.select("id", "__blocks", "__ends", F.posexplode("__starts").alias("pos", "start_date"))
+    dated = dated.select("id", "pos", F.get("__blocks", F.col("pos")).alias("before"), F.get("__blocks", F.col("pos") + 1).alias("after"), "start_date", F.get("__ends", F.col("pos")).alias("end_date"))
+    lines = lambda c: F.transform(F.split(c, "\n"), lambda x: F.trim(x))
+    above = F.filter(lines("before"), lambda x: (F.length(x) > 2) & (F.length(x) < 120) & ~F.lower(x).isin(*CAREER_HEADS))
+    dated = dated.withColumn("__above", above)
+    dated = dated.withColumn("__one", F.coalesce(F.try_element_at("__above", F.lit(-1)), F.lit(""))).withColumn("__two", F.coalesce(F.try_element_at("__above", F.lit(-2)), F.lit("")))
+    dated = dated.withColumn("__role", _split_role(F.col("__one"), F.col("__two"))).withColumn("title", F.col("__role.title"))
+    said = F.nullif(F.nullif(F.col("__role.company"), F.lit("")), F.lit("Unknown Company"))
+    so_far = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    dated = dated.withColumn("company", F.coalesce(F.last(said, ignorenulls=True).over(so_far), F.lit("")))
+    dated = dated.withColumn("__r", ex.month_range(F.col("start_date"), F.col("end_date"), now))
+    bullets = F.slice(F.filter(lines("after"), lambda x: (x != "") & ~x.rlike(RANGE.replace("(?i)", "(?i)\\A", 1))), 1, 5)
+    named, role, placed, valid = F.col("title") != "", ex.is_role_title(F.col("title")), F.col("company") != "", F.col("__r.first").isNotNull() & F.col("__r.last").isNotNull()
+    sure = 0.5 + F.when(named & role, 0.2).when(named, 0.1).otherwise(0.0) + F.when(placed, 0.2).otherwise(0.0) + F.when(valid, 0.1).otherwise(0.0)
+    evidence = F.array_compact(F.array(
+        F.when(named & role, F.concat(F.lit("Title matched ontology: "), "title")).when(named, F.concat(F.lit("Title found: "), "title")), F.when(placed, F.concat(F.lit("Company found: "), "company")),
+        F.when(valid, F.concat(F.lit("Valid dates: "), "start_date", F.lit(" - "), "end_date")),
+    ))
+    out = dated.select(
+        "id", "pos", "title", "company", "start_date", "end_date", F.col("__r.months").alias("months"), F.col("__r.is_current").alias("is_current"), F.col("__role.inverted").alias("inverted"),
+        bullets.alias("bullets"), evidence.alias("evidence"), F.round(F.least(sure, F.lit(1.0)), 2).alias("confidence"),
+    )
+    bare = rows.filter(F.size("__starts") == 0).select("id", F.posexplode(F.filter(lines("loose"), lambda x: (x != "") & ex.is_role_title(x))).alias("pos", "line"))
+    parts = F.split("line", BETWEEN)
+    inline, a, b = F.size(parts) >= 2, F.trim(F.get(parts, F.lit(0))), F.trim(F.element_at(parts, -1))
+    first = ex.is_role_title(F.get(parts, F.lit(0)))
+    blank = F.lit("")
+    bare = bare.select(
+        "id", "pos", F.when(~inline, F.col("line")).when(first, a).otherwise(b).alias("title"), F.when(~inline, blank).when(first, b).otherwise(a).alias("company"), blank.alias("start_date"), blank.alias("end_date"),
+        F.lit(0).alias("months"), F.lit(False).alias("is_current"), F.lit(False).alias("inverted"), F.array().cast("array<string>").alias("bullets"),
+        F.array(F.when(inline, "Role keyword inline match").otherwise("Role keyword match")).alias("evidence"), F.when(inline, 0.6).otherwise(0.5).alias("confidence"),
+    )
+    return out.unionByName(bare)
+
+
+def normalise_titles(titles: DataFrame, column: str, fixed: DataFrame, aliases: DataFrame, least: int = 6, about: DataFrame | None = None) -> DataFrame:
     """Adds normalised and method: by a fixed map, by alias, by the longest alias inside the title, else the title itself.
 
-    fixed, aliases: alias, canonical; both are dictionaries that people write, so they are broadcast.
+    fixed, aliases: alias, canonical; both are dictionaries that people write, so they are broadcast; their size is checked.
+    about: canonical, family, seniority, which are then added too.
     """
+    if max(fixed.count(), aliases.count()) > MOST_TITLES:
+        raise ValueError(f"dictionaries of more than {MOST_TITLES} titles aren't supported")
+    if about is not None:
+        named = normalise_titles(titles, column, fixed, aliases, least)
+        facts = about.select(F.col("canonical").alias("__c"), "family", "seniority")
+        joined = named.join(F.broadcast(facts), (F.col("normalised") == F.col("__c")) & (F.col("method") != "none"), "left").drop("__c")
+        return joined.withColumns({c: F.coalesce(c, F.lit("")) for c in ("family", "seniority")})
     key = F.lower(F.trim(F.coalesce(column, F.lit(""))))
     distinct = titles.select(key.alias("__t")).distinct()
     hard = fixed.select(F.lower("alias").alias("__t"), F.col("canonical").alias("__hard"))

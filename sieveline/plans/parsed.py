@@ -120,6 +120,7 @@ def res10_career_graph(spark, sf_dir):
     end = F.add_months(F.trunc(day, "month"), (F.col("o_orderkey") % 30 - 4).cast("int"))
     blocks = o.select(F.col("o_custkey").alias("id"), pos.alias("pos"), title.alias("title"), F.col("o_orderpriority").alias("company"), F.date_format(day, "MM/yyyy").alias("start_date"), F.date_format(end, "MM/yyyy").alias("end_date"))
     now = F.lit(SPEC.reference_date).cast("date")
+    blocks = blocks.withColumn("inverted", F.substring("end_date", 4, 4) < F.substring("start_date", 4, 4))
     blocks = blocks.withColumn("months", ex.month_range(F.col("start_date"), F.col("end_date"), now)["months"])
     out = parsing.career_graph(blocks, now)
     return out.withColumns({"total_years": r("total_years", 4), "relevant_years": r("relevant_years", 4)})

@@ -16,6 +16,30 @@ def test_career_blocks(spark):
     assert [(r.title, r.company, r.months, r.is_current, r.confidence) for r in got] == [("Senior Engineer", "Acme", 12, True, 1.0), ("Data Analyst", "Beta Ltd", 21, False, 1.0)]
 
 
+def test_career_blocks_in_full(spark):
+    text = "Acme - Lead Engineer\n01/2018 - 03/2020\n\nAnalyst\n2016 to 2017\nSeeking a role in sales\nMay 2010 – Jan 2009"
+    bare = "Backend Developer at Beta\nCook of soups\nDevOps Engineer"
+    df = spark.createDataFrame([(1, text), (2, bare), (3, ""), (4, None)], "id long, text string").withColumn("title", F.lit("clash"))
+    got = records.career_blocks(df, "id", "text", F.lit("2021-01-15").cast("date")).orderBy("id", "pos").collect()
+    a, b, c, d, e = got
+    assert (a.title, a.company, a.inverted, a.months, a.bullets, a.confidence) == ("Lead Engineer", "Acme", True, 26, ["Analyst"], 1.0)
+    assert (b.title, b.company, b.inverted, b.evidence[-1]) == ("Analyst", "Acme", False, "Valid dates: 2016 - 2017")  # the company of the range before
+    assert (c.title, c.months, c.confidence) == ("Seeking a role in sales", 1, 0.9) and c.evidence[0].startswith("Title found")
+    assert (d.id, d.title, d.company, d.confidence, d.start_date) == (2, "Backend Developer", "Beta", 0.6, "") and (e.title, e.company, e.confidence) == ("DevOps Engineer", "", 0.5)
+
+
+def test_names_are_scored(spark):
+    from sieveline.operators import extract as ex
+
+    texts = [
+        "Curriculum Vitae\nJANE DOE | Engineer\nDallas, TX\njane@x.org", "Data Scientist\nAcme Street 5\nsoup, hot\nMary Ann Smith - PhD\nlinkedin.com/in/mary", "Experience\nhttp://x.org", "x" * 300 + "\nAl Bo",
+    ]
+    got = {r.id: (r.name, r.score) for r in ex.name_candidates(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").collect()}
+    assert got[0] == ("JANE DOE", 100 - 5 + 30 + 15 + 15) and got[1][0] == "Mary Ann Smith" and got[1][1] == 100 - 15 + 30 + 20 and 2 not in got
+    assert one(spark, ex.name_confidence(F.lit(155)))[0] == 1.0 and one(spark, ex.name_confidence(F.lit(-5)))[0] == 0.0
+    assert tuple(one(spark, ex.raw_text_kept(F.lit("t"), F.lit(0.79)), ex.raw_text_kept(F.lit("t"), F.lit(0.8)))) == ("t", "")
+
+
 def test_certificates(spark):
     got = one(spark, records.certificates(F.lit("holder of the aws certified developer badge, CISSP")))[0]
     assert [c.name for c in got] == ["AWS Certified Developer", "CISSP"] and "badge" in got[0].evidence
@@ -29,6 +53,23 @@ def test_titles(spark):
     assert got == {"Growth Hacker": ("Software Engineer", "hardcoded"), "SWE": ("Software Engineer", "alias"), "Senior Backend Developer": ("Backend Engineer", "partial"), "Cook": ("Cook", "none"), None: (None, "none")}
 
 
+def test_titles_with_family(spark):
+    pairs = lambda rows: spark.createDataFrame(rows, "alias string, canonical string")
+    about = spark.createDataFrame([("Software Engineer", "engineering", "mid")], "canonical string, family string, seniority string")
+    got = records.normalise_titles(spark.createDataFrame([("swe",), ("Cook",)], "title string"), "title", pairs([("a", "b")]), pairs([("swe", "Software Engineer")]), about=about).collect()
+    assert {(r.title, r.family, r.seniority) for r in got} == {("swe", "engineering", "mid"), ("Cook", "", "")}
+
+
+def test_record_remap(spark):
+    from sieveline.schema import profile_ddl
+
+    row = '{"candidate_id":"CAND_0000001","profile":{"anonymized_name":"Jo","headline":"H","current_title":"T","years_of_experience":3.5},"skills":[{"name":"Go"}],"career_history":[{"title":"T"}]}'
+    df = spark.createDataFrame([(row,)], "v string").select(F.from_json("v", profile_ddl()).alias("p")).select("p.*")
+    got = df.select(records.parsed_record("pool").alias("r")).first().r
+    assert (got.full_name, got.headline, got.summary, got.total_years_of_experience, got.skills[0].type, got.source, got.external_id) == ("Jo", "H", "", 3.5, "hard", "pool", "CAND_0000001")
+    assert got.signals is None and got.career_history[0].title == "T"
+
+
 def test_texts_for_display(spark):
     skills = F.array(F.struct(F.lit("a").alias("name"), F.lit(0.9).alias("confidence"), F.lit(False).alias("negated")), F.struct(F.lit("b").alias("name"), F.lit(0.5).alias("confidence"), F.lit(False).alias("negated")))
     jobs = F.array(*(F.struct(F.lit(t).alias("title")) for t in ("x", "y")))
