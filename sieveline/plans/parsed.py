@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.operators import compare, explain, parsing, records
+from sieveline.operators import compare, explain, families, features, parsing, records
 from sieveline.operators import extract as ex
 from sieveline.plans.candidates import SPEC, SQL, candidates
 from sieveline.plans.registry import query, r, t
@@ -217,3 +217,35 @@ def scl6_experience_label(spark, sf_dir):
 def sh3_showcase_contributions(spark, sf_dir):
     c = compare.showcase_contributions(F.floor("value"))
     return t(spark, sf_dir, "events").select("event_id", c["title"].alias("title"), c["skill"].alias("skill"), c["quality"].alias("quality"))
+
+
+@query("""WITH k AS (SELECT o_orderkey, o_orderpriority AS firm, o_orderkey % 3 AS kind, 2010 + (o_orderkey % 9)::INT AS y FROM orders)
+ SELECT o_orderkey AS id, 0 AS pos, CASE kind WHEN 0 THEN 'Lead Engineer' WHEN 1 THEN 'Data Analyst' ELSE 'Architect' END AS title, CASE kind WHEN 2 THEN 'Beta Ltd' ELSE firm END AS company, CASE kind WHEN 2 THEN 0 ELSE 26 END AS months,
+ kind = 1 AS inverted, CASE kind WHEN 0 THEN 'did this,Support Manager' ELSE '' END AS bullets, CASE kind WHEN 2 THEN 0.6 ELSE 1.0 END::DOUBLE AS confidence FROM k
+ UNION ALL SELECT o_orderkey, 1, 'Support Manager', 'did this', 1, FALSE, '', 1.0 FROM k WHERE kind = 0""")
+def res8_career_blocks(spark, sf_dir):
+    kind, firm, year = F.col("o_orderkey") % 3, F.col("o_orderpriority"), 2010 + F.col("o_orderkey") % 9
+    span = F.concat(F.lit("Jan "), year.cast("string"), F.lit(" - 03/"), (year + 2).cast("string"))
+    first = F.concat(F.lit("Experience\nLead Engineer at "), firm, F.lit("\n"), span, F.lit("\ndid this\nSupport Manager\n05/2020 to 04/2019"))
+    second = F.concat(firm, F.lit(" | Data Analyst\n"), span)
+    text = F.when(kind == 0, first).when(kind == 1, second).otherwise("Architect at Beta Ltd\nno dates")
+    got = records.career_blocks(t(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "o_orderkey", "text", F.lit(SPEC.reference_date).cast("date"))
+    return got.select("id", "pos", "title", "company", "months", "inverted", F.array_join("bullets", ",").alias("bullets"), "confidence")
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'JANE DOE' WHEN 1 THEN 'Mary Ann Smith' ELSE 'Soup' END AS name, CASE c_custkey % 3 WHEN 0 THEN 155 WHEN 1 THEN 145 ELSE 120 END AS score FROM customer""")
+def res3_names(spark, sf_dir):
+    kind = F.col("c_custkey") % 3
+    text = F.when(kind == 0, "Curriculum Vitae\nJANE DOE | Engineer\nDallas, TX\njane@x.org").when(kind == 1, "Data Scientist\nMary Ann Smith - PhD\ngithub.com/mary").otherwise("Soup\nSoup\nMain Street 5")
+    return ex.name_candidates(t(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+
+
+_TRANSFERS = {"ring": "gizmo", "small": "hot", "blue": "gizmo"}
+
+
+@query(SQL + """, x AS (SELECT candidate_id, (contains(skills_text, 'ring') AND NOT contains(skills_text, 'gizmo'))::INT AS a, (contains(skills_text, 'small') AND NOT contains(skills_text, 'hot'))::INT AS b, (contains(skills_text, 'blue') AND NOT contains(skills_text, 'gizmo'))::INT AS c FROM txt)
+ SELECT candidate_id, 0.5 * (a + b + c) / 4 AS bonus, CASE WHEN 0.5 * (a + b + c) > 1 THEN 'low' WHEN a + b + c > 0 THEN 'medium' ELSE 'high' END AS risk,
+ concat_ws(',', CASE WHEN a = 1 THEN 'Ring may transfer to gizmo' END, CASE WHEN b = 1 THEN 'Small may transfer to hot' END, CASE WHEN c = 1 THEN 'Blue may transfer to gizmo' END) AS evidence FROM x""")
+def fam9_transferable(spark, sf_dir):
+    bonus, risk, evidence = families.transferable(F.col("skills_text"), SPEC.req_skills, _TRANSFERS)
+    return features.with_texts(candidates(spark, sf_dir)).select("candidate_id", bonus.alias("bonus"), risk.alias("risk"), F.array_join(evidence, ",").alias("evidence"))

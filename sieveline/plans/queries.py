@@ -403,6 +403,14 @@ def agg17_consistency_shares(spark, sf_dir):
     return fam.agg(*(r(F.avg(F.col(c).cast("int")) * 100, 4).alias(n) for c, n in (("is_consistent", "consistent"), ("is_inconsistent", "inconsistent"), ("is_partial", "partial"))))
 
 
+@query(_FAM + f""", z AS (SELECT *, {any_hit("first_title", specs.TRAP_TITLES)} AND NOT contains(first_title, 'engineer') AS trap, round(2.5 * title_affinity + 3.5 * skill_affinity + 2.5 * career_affinity + semantic_sim + 0.8 * semantic_sim + quality_score
+ - CASE WHEN is_consistent THEN 0 ELSE 2 END, 6) AS final_score FROM g ORDER BY final_score DESC, candidate_id LIMIT 100)
+ SELECT round(avg(trap::INT) * 100, 4) AS trap, round(avg(is_consistent::INT) * 100, 4) AS consistent, round(avg((NOT is_consistent AND NOT is_inconsistent)::INT) * 100, 4) AS partial, round(avg(is_inconsistent::INT) * 100, 4) AS inconsistent FROM z""")
+def agg17_top_100_quality(spark, sf_dir):
+    """Traps and consistency among the best hundred of the frozen ranking."""
+    return families.quality_shares(rankings.frozen_ranking(candidates(spark, sf_dir), SPEC, ROLES, SKILLS))
+
+
 @query(SQL + rf""", q AS (SELECT txt.id, candidate_id, least({words("current_title", SPEC.title_terms)} / 2.0::DOUBLE, 1) AS t, {words("skills_text", SPEC.req_skills)} / {len(SPEC.req_skills)}.0::DOUBLE AS s,
   {words("description_text", SPEC.keywords)} / {len(SPEC.keywords)}.0::DOUBLE AS c, {_best("current_title", ROLES)} AS tf,
   CASE WHEN {words("skills_text", SKILLS["Building"])} >= 2 THEN 'Building' ELSE {_best("skills_text", SKILLS)} END AS sf, {_best("description_text", ROLES)} AS cf,
