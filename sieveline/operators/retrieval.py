@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import text as tx
 from sieveline.functions.vectors import cosine
 from sieveline.operators.ranking import global_rank, reciprocal_rank, top
+from sieveline.storage import stored
 
 
 def dense_scores(vectors: DataFrame, id_col: str, vector: str, query: Sequence[float], digits: int = 10) -> DataFrame:
@@ -23,8 +24,7 @@ def lexical_scores(docs: DataFrame, id_col: str, text: str, query: str, max_feat
     """id, lexical: TF-IDF cosine with a query that counts as one more document.
 
     Smoothed idf is ln((1 + n) / (1 + df)) + 1. Only the ``max_features`` terms of largest
-    collection frequency count (ties by term): a table of that size, so it is broadcast. The
-    counts by document and term feed both that table and the weights; Spark reuses their shuffle.
+    collection frequency count (ties by term): a table of that size, so it is broadcast.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.lit(False).alias("is_query"), F.coalesce(text, F.lit("")).alias("text"))
@@ -33,11 +33,13 @@ def lexical_scores(docs: DataFrame, id_col: str, text: str, query: str, max_feat
     stop = sorted(set(stop_words))
     if stop:
         words = words.filter(~F.col("term").isin(stop))
-    tf = words.groupBy("id", "is_query", "term").agg(F.count("*").alias("tf"))
+    # Counts feed the vocabulary, the query's weights and all documents' weights, so they are stored once.
+    tf = stored(words.groupBy("id", "is_query", "term").agg(F.count("*").alias("tf")), "term-counts")
     vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("ctf"), F.count("*").alias("df")).orderBy(F.col("ctf").desc(), "term").limit(max_features)
     n = own.agg((F.count("*") + 1).alias("n"))
+    vocabulary = stored(vocabulary.crossJoin(F.broadcast(n)), "vocabulary")
     weight = F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)
-    weights = tf.join(F.broadcast(vocabulary.crossJoin(F.broadcast(n))), "term").select("id", "is_query", "term", weight.alias("w"))
+    weights = tf.join(F.broadcast(vocabulary), "term").select("id", "is_query", "term", weight.alias("w"))
     asked = weights.filter("is_query").select("term", F.col("w").alias("q"))
     asked_norm = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
     # one pass over a document's weights gives its length and its product with the query
