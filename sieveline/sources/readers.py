@@ -59,7 +59,7 @@ def submission(spark: SparkSession, path: str) -> DataFrame:
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text of whole UTF-8 files; bytes that aren't UTF-8 are left out."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "�", "").alias("text"))
+    return raw.select("path", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "�", "").alias("text"))
 
 
 def uploads(spark: SparkSession, paths: Sequence[str], suffixes: Sequence[str] = (".pdf", ".docx", ".png", ".jpg"), limit: int = 10 << 20) -> DataFrame:

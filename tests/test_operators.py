@@ -338,3 +338,40 @@ def test_arrivals(spark, tmp_path):
 def test_concern_percent(spark):
     assert one(spark, tx.percent(F.lit(0.125)), tx.percent(F.lit(0.175)))[0] == "12%"
     assert explain.match_explanation is not None and profile_ddl("behaviour").count("behaviour STRUCT") == 1
+
+
+def test_array_vectors_and_texts(spark, tmp_path):
+    import json
+
+    from sieveline.sources import readers, writers
+
+    (tmp_path / "a.json").write_text(json.dumps([{"candidate_id": "CAND_0000001"}, {"candidate_id": "CAND_0000002", "skills": [{"name": "Go"}]}]))
+    got = readers.profile_array(spark, str(tmp_path / "a.json")).orderBy("candidate_id").collect()
+    assert [r.candidate_id for r in got] == ["CAND_0000001", "CAND_0000002"] and got[1].skills[0].name == "Go"
+    df = spark.createDataFrame([("x", [1.0, 2.0])], "id string, embedding array<double>")
+    writers.write_vectors(df, str(tmp_path / "v"))
+    assert readers.vectors(spark, str(tmp_path / "v"), "id").first().embedding == [1.0, 2.0]
+    assert readers.query_vector(spark, str(tmp_path / "v")) == [1.0, 2.0]
+    assert readers.query_vector(spark, str(tmp_path / "none"), encode=lambda t: [len(t)], text="abc") == [3.0]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.query_vector(spark, str(tmp_path / "none"))
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "one.txt").write_bytes("gr\u00fcn".encode() + b"\xff")
+    assert readers.texts(spark, str(tmp_path / "t")).first().text == "gr\u00fcn"
+    log = str(tmp_path / "log")
+    for at, gone in ((1, False), (2, False), (3, True)):
+        writers.append_version(spark.createDataFrame([("k", at, gone)], "id string, at int, gone boolean"), log)
+    assert writers.current_versions(spark.read.parquet(log).filter("at < 3"), ["id"], "at", "gone").first()["at"] == 2
+    assert writers.current_versions(spark.read.parquet(log), ["id"], "at", "gone").count() == 0
+    writers.audit_event(spark.range(2), F.lit("seen"), F.current_timestamp(), str(tmp_path / "audit"))
+    assert {r.action for r in spark.read.json(str(tmp_path / "audit")).collect()} == {"seen"}
+
+
+def test_uploads_are_chosen_before_they_are_read(spark, tmp_path):
+    from sieveline.sources import readers
+
+    for folder, name, size in (("a", "CV.pdf", 5), ("b", "cv.pdf", 6), ("b", "x.docx", 7), ("b", "big.png", 50), ("b", "y.exe", 1)):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_bytes(b"x" * size)
+    got = {r.name: (len(r.content), r.folder) for r in readers.uploads(spark, [str(tmp_path / "a"), str(tmp_path / "b")], limit=20).collect()}
+    assert got == {"cv.pdf": (5, 0), "x.docx": (7, 1)}
