@@ -19,7 +19,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 FEW = 500_000
 
 #: Rows of an Arrow batch, unless the session says otherwise: whole texts are longer than the rows that Spark's own number is meant for.
-BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "500")
 
 _state: dict = {}
 

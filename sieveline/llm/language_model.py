@@ -36,7 +36,7 @@ from sieveline.llm.common import ship, stored, text_or_empty
 
 #: Training leaves out documents whose crc32(id as text) mod FOLDS is HELD_OUT; of the others, EM learns from ASIDE.
 FOLDS, HELD_OUT, ASIDE = 7, 2, 3
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 700_000
 #: Tokens that are worked on at once within a block.
 SLICE = 1 << 18
 #: Key ranges, and bytes of text beyond which a range is halved.
