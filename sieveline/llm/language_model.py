@@ -36,9 +36,9 @@ from sieveline.llm.common import ship, stored, text_or_empty
 
 #: Training leaves out documents whose crc32(id as text) mod FOLDS is HELD_OUT; of the others, EM learns from ASIDE.
 FOLDS, HELD_OUT, ASIDE = 7, 2, 3
-BLOCK_TOKENS = 700_000
+BLOCK_TOKENS = 350_000
 #: Tokens that are worked on at once within a block.
-SLICE = 1 << 18
+SLICE = 1 << 16
 #: Key ranges, and bytes of text beyond which a range is halved.
 RANGES, RANGE_BYTES = 256, 16 << 20
 #: Words of the longest n-gram. Iterations of expectation-maximisation, and the change of weights that ends them.
