@@ -102,7 +102,7 @@ class WordIds:
     them has the ids of the lower-case letters and then those of the marks.
     """
 
-    LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+    PARTS = re.compile(r"^([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)$|^.+$", re.MULTILINE).findall
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -136,18 +136,14 @@ class WordIds:
                 self.stems.update(zip(part, self._whole(part), strict=True))
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain, odd, stems = [], [], self.stems
-        for w in words:
-            stem = w.rstrip(MARKS)
-            if stem.isascii() and stem.isalpha() or self.LATIN(stem):
-                plain.append((w, stem.lower(), w[len(stem) :]))
-            else:
-                odd.append(w)
-        new = {p[1] for p in plain}.difference(stems)
-        self._learn_stems(sorted(new))
-        marks = list({p[2] for p in plain}.difference(stems))
+        stems = self.stems
+        parts = self.PARTS("\n".join(words).lower())  # one for each word: letters and marks, or neither
+        new = {p[0] for p in parts}.difference(stems)
+        self._learn_stems(list(new))
+        marks = list({p[1] for p in parts}.difference(stems))
         stems.update(zip(marks, self._whole(marks), strict=True))
-        found = {w: stems[stem] + stems[mark] for w, stem, mark in plain}
+        found = {w: stems[p[0]] + stems[p[1]] for w, p in zip(words, parts, strict=True) if p[0]}
+        odd = [w for w, p in zip(words, parts, strict=True) if not p[0]]
         for i in range(0, len(odd), 10_000):
             found.update(zip(odd[i : i + 10_000], self._whole(odd[i : i + 10_000]), strict=True))
         if len(stems) > STEMS:  # what came last goes: words seen early are the common ones
