@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.operators import compare, explain, families, features, parsing, records
+from sieveline.operators import compare, explain, families, features, parsing, pool, records
 from sieveline.operators import extract as ex
-from sieveline.plans.candidates import SPEC, SQL, candidates
+from sieveline.operators.titles import TITLES
+from sieveline.plans.candidates import ROLES, SKILLS, SPEC, SQL, candidates, hits
 from sieveline.plans.registry import query, r, t
 
 #: Names, how they are written, their category.
@@ -249,3 +250,91 @@ _TRANSFERS = {"ring": "gizmo", "small": "hot", "blue": "gizmo"}
 def fam9_transferable(spark, sf_dir):
     bonus, risk, evidence = families.transferable(F.col("skills_text"), SPEC.req_skills, _TRANSFERS)
     return features.with_texts(candidates(spark, sf_dir)).select("candidate_id", bonus.alias("bonus"), risk.alias("risk"), F.array_join(evidence, ",").alias("evidence"))
+
+
+@query(SQL + """SELECT candidate_id, md5(concat_ws(' ', headline, summary, own_title, skills_text, career_text)) AS lexical, md5(headline || ' | ' || own_title || ' | ' || summary || ' ' || skills_text || ' ' || career_text) AS embedded FROM txt""")
+def prj6_documents(spark, sf_dir):
+    """The texts that retrieval by words and an encoder see, lower-cased."""
+    c = features.with_texts(candidates(spark, sf_dir)).withColumn("current_title", F.lower("profile.current_title"))
+    return c.select("candidate_id", F.md5(F.lower(features.lexical_document())).alias("lexical"), F.md5(F.lower(features.embedding_document())).alias("embedded"))
+
+
+@query(SQL + """SELECT candidate_id, coalesce(string_agg(title || '|' || company || '|' || year(a), ',' ORDER BY pos) FILTER (pos <= 5), '') AS steps FROM prof LEFT JOIN car ON car.id = prof.id GROUP BY 1""")
+def prj9_career_steps(spark, sf_dir):
+    c = features.with_texts(candidates(spark, sf_dir))
+    steps = F.transform(pool.career_steps(), lambda s: F.concat_ws("|", s["role"], s["company"], s["year"].cast("string")))
+    return c.select("candidate_id", F.array_join(steps, ",").alias("steps"))
+
+
+@query("""SELECT event_id, round(least(user_id / 50.0::DOUBLE / 3, 1) * 100, 1) AS quality_score, round((event_id % 7) / 8.0::DOUBLE * 100, 1) AS skill_coverage FROM events""")
+def prj10_percent_features(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("event_id", (F.col("user_id") / 50.0).alias("quality_score"), ((F.col("event_id") % 7) / 8.0).alias("skill_coverage"))
+    return e.select("event_id", pool.percent_features(("quality_score", "skill_coverage")).alias("p")).select("event_id", "p.quality_score", "p.skill_coverage")
+
+
+@query("""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents) SELECT doc_id, concat_ws(',', """
+       + ", ".join(f"CASE WHEN {' OR '.join(f'''contains(low, '{k}')''' for k in ks)} THEN '{n}' END" for n, ks in records.JOB_SIGNALS.items()) + ") AS signals FROM d")
+def res20_job_signals(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(records.keyword_signals(F.col("text"), records.JOB_SIGNALS), ",").alias("signals"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'AWS Certified Developer,CISSP' WHEN 1 THEN 'Certified Scrum Master' WHEN 2 THEN 'Six Sigma Green Belt' ELSE '' END AS names,
+ CASE o_orderkey % 4 WHEN 0 THEN 'holder of the aws certified developer badge, CISSP' WHEN 1 THEN 'CSM at ' || o_orderpriority WHEN 2 THEN 'six  sigma green belt' ELSE '' END AS first_evidence FROM orders""")
+def res14_certificates(spark, sf_dir):
+    n = F.col("o_orderkey") % 4
+    text = F.when(n == 0, "holder of the aws certified developer badge, CISSP").when(n == 1, F.concat(F.lit("CSM at\n"), "o_orderpriority")).when(n == 2, "six  sigma green belt").otherwise("none")
+    got = t(spark, sf_dir, "orders").select("o_orderkey", records.certificates(text).alias("c"))
+    return got.select("o_orderkey", F.array_join(F.transform("c", lambda c: c["name"]), ",").alias("names"), F.coalesce(F.get("c", F.lit(0))["evidence"], F.lit("")).alias("first_evidence"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Software Engineer' WHEN 1 THEN 'Backend Engineer' WHEN 2 THEN 'Backend Engineer' WHEN 3 THEN p_name ELSE 'Cloud Architect' END AS normalised,
+ CASE p_partkey % 5 WHEN 0 THEN 'hardcoded' WHEN 1 THEN 'alias' WHEN 2 THEN 'partial' WHEN 3 THEN 'none' ELSE 'hardcoded' END AS method, CASE p_partkey % 5 WHEN 1 THEN 'engineering' WHEN 2 THEN 'engineering' ELSE '' END AS family FROM part""")
+def res6_titles(spark, sf_dir):
+    n = F.col("p_partkey") % 5
+    title = F.when(n == 0, " Growth Hacker ").when(n == 1, "BACKEND dev").when(n == 2, F.concat(F.lit("senior backend dev of "), "p_name")).when(n == 3, F.col("p_name")).otherwise("solutions architect")
+    fixed = spark.createDataFrame(list(TITLES.items()), "alias string, canonical string")
+    aliases = spark.createDataFrame([("backend dev", "Backend Engineer"), ("dev", "Developer")], "alias string, canonical string")
+    about = spark.createDataFrame([("Backend Engineer", "engineering", "mid")], "canonical string, family string, seniority string")
+    named = records.normalise_titles(t(spark, sf_dir, "part").select("p_partkey", title.alias("title")), "title", fixed, aliases, about=about)
+    return named.select("p_partkey", "normalised", "method", "family")
+
+
+@query("""SELECT c_custkey, floor(c_acctbal / 100.0 + 0.5)::INT AS match_score, floor(c_acctbal / 100.0 + 0.5) < 30 AS is_low,
+ CASE WHEN floor(c_acctbal / 100.0 + 0.5) < 30 THEN c_name || ' scores below the shortlist threshold (' || floor(c_acctbal / 100.0 + 0.5)::INT || '%). Primary gaps: x, y.'
+ ELSE c_name || ' is a ' || floor(c_acctbal / 100.0 + 0.5)::INT || '% match for this role' || CASE WHEN c_nationkey > 0 THEN ' with ' || c_nationkey || ' years of experience' ELSE '' END || '. Strong alignment on core requirements.' END AS narrative,
+ 'Match score: ' || printf('%.2f', c_nationkey / 4.0::DOUBLE) || '. Missing skills: None' AS explanation FROM customer WHERE c_acctbal >= 0""")
+def txt5_display_rows(spark, sf_dir):
+    c = t(spark, sf_dir, "customer").filter("c_acctbal >= 0")
+    none = F.array().cast("array<string>")
+    row = records.display_row(F.col("c_name"), F.col("c_acctbal") / 100.0, F.col("c_nationkey"), none, F.array(F.lit("x"), F.lit("y")))
+    return c.select("c_custkey", row.alias("d"), records.score_sentence(F.col("c_nationkey") / 4.0, F.lit(None).cast("string")).alias("explanation")).select("c_custkey", "d.match_score", "d.is_low", "d.narrative", "explanation")
+
+
+@query("""SELECT o_orderkey, concat_ws('. ', CASE WHEN o_orderkey % 2 = 0 THEN 'S' END, 'Current: ' || o_orderstatus, 'Skills: a', 'Recent roles: x → y → z', 'Project tech: p, q') AS text, CASE WHEN o_orderkey % 3 = 0 THEN 'Response Rate: 0%,Notice Period: 30 days' ELSE 'Notice Period: ' || o_orderkey % 3 || ' days' END AS lines FROM orders""")
+def prj14_encoder_text(spark, sf_dir):
+    skill = lambda n, c, neg: F.struct(F.lit(n).alias("name"), F.lit(c).alias("confidence"), F.lit(neg).alias("negated"))
+    jobs = F.array(*(F.struct(F.lit(x).alias("title")) for x in ("x", "y", "z", "w")))
+    n = F.col("o_orderkey") % 3
+    text = records.encoder_text(F.when(F.col("o_orderkey") % 2 == 0, "S").otherwise(""), F.col("o_orderstatus"), F.array(skill("a", 0.9, False), skill("b", 0.5, False), skill("c", 0.9, True)), jobs, F.array(F.lit("q"), F.lit("p"), F.lit("q")))
+    lines = records.signal_lines(F.lit(None).cast("double"), F.when(n > 0, n))
+    return t(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), F.array_join(lines, ",").alias("lines"))
+
+
+@query(SQL + f"""SELECT candidate_id, least({hits("current_title", SPEC.title_terms)} / 2.0::DOUBLE, 1) AS title_affinity, {hits("skills_text", SPEC.req_skills)} / {len(SPEC.req_skills)}.0::DOUBLE AS skill_affinity, round({hits("description_text", SPEC.keywords)} / {len(SPEC.keywords)}.0::DOUBLE, 9) AS career_affinity FROM txt""")
+def fam12_substring_affinities(spark, sf_dir):
+    fam = families.family_features(features.with_texts(candidates(spark, sf_dir)), SPEC, ROLES, SKILLS, whole_words=False)
+    return fam.select("candidate_id", "title_affinity", "skill_affinity", r("career_affinity", 9).alias("career_affinity"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 100 WHEN o_orderkey % 3 = 1 THEN 50 ELSE 0 END AS skill_match, CASE WHEN o_orderkey % 4 = 0 THEN 100 WHEN o_orderkey % 4 = 1 THEN 100 ELSE 0 END AS domain_match,
+ CASE WHEN o_orderkey % 2 = 0 THEN 100 ELSE 60 END AS education_match, CASE WHEN o_orderkey % 5 = 0 THEN 60 ELSE 100 END AS certification_match, CASE WHEN o_orderkey % 7 = 0 THEN 70 ELSE 100 END AS project_match, CASE WHEN o_orderstatus = 'O' THEN 100 ELSE 60 END AS recency_match FROM orders""")
+def mat1_other_dimensions(spark, sf_dir):
+    k = F.col("o_orderkey")
+    lists = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    c = {
+        "required": lists("a", "b"), "skills": F.when(k % 3 == 0, lists("b", "a", "c")).when(k % 3 == 1, lists("a", "x")).otherwise(lists()), "title": F.lit("x"), "wanted_title": F.lit(""), "years": F.lit(1.0), "wanted_years": F.lit(0.0),
+        "domain": F.when(k % 4 == 0, "retail").otherwise("other"), "wanted_domain": F.when(k % 4 == 1, "").otherwise("retail"), "archetype": F.lit("mixed"), "has_education": k % 2 == 0, "wants_education": F.lit(True),
+        "has_certification": k % 5 != 0, "wants_certification": F.lit(True), "has_projects": k % 7 != 0, "is_current": F.col("o_orderstatus") == "O", "transferable": F.lit(0),
+    }
+    got = compare.match_dimensions(c)
+    return t(spark, sf_dir, "orders").select("o_orderkey", *(got[n].cast("int").alias(n) for n in ("skill_match", "domain_match", "education_match", "certification_match", "project_match", "recency_match")))
