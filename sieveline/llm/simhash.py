@@ -11,7 +11,8 @@ a search follows only edges within the radius of the distance to the node. A sha
 edges of a spanning forest, never all its pairs. Trees stay where their shard is: a broadcast would
 carry the fingerprints of all documents, which grow with the input.
 
-Shards larger than ``SHARD`` are split into parts, and each pair of parts becomes a task of its own.
+Shards much larger than ``SHARD`` are dealt anew by further bits; what is still larger is split into parts,
+and each pair of parts becomes a task of its own.
 Components come from rounds of taking each other's smallest neighbour; tables of a round are
 written to the shared folder.
 
@@ -185,16 +186,34 @@ def _masks(blocks: int, choose: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _finer_masks(mask: int, radius: int) -> list[int]:
+    """Masks over the bits that a mask leaves out: of ``radius + 2`` runs of those, fingerprints within the radius agree on two."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    runs = radius + 2
+    parts = [sum(1 << b for b in bits[len(bits) * i // runs : len(bits) * (i + 1) // runs]) for i in range(runs)]
+    masks = [a | b for a, b in combinations(parts, 2)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def find_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD) -> DataFrame:
     """Edges (a, b) between the distinct values of column ``fp`` that connect all within the radius."""
     spark = prints.sparkSession
     ship(spark)
     masks = _masks(blocks, blocks - radius)
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
-    members = prints.select("fp", F.explode(keys).alias("key"))
+    members = prints.select("fp", F.posexplode(keys).alias("mask", "key"))
+    sizes = lambda df: df.groupBy("key").count().filter(F.col("count") > shard)
+    hot = stored(sizes(members), "hot-shards")
+    finer = [_finer_masks(m, radius) for m in masks]
+    wide = hot.filter(F.col("count") > len(finer[0]) * shard).select("key")
+    if not wide.isEmpty():
+        # Beyond this size it costs less to deal a shard's members anew, by pairs of runs of the bits left over.
+        inner = F.get(F.array(*(F.array(*map(F.lit, f)) for f in finer)), F.col("mask"))
+        dealt = members.join(wide, "key").select("fp", "mask", F.explode(F.transform(inner, lambda m: F.xxhash64("key", m, F.col("fp").bitwiseAND(m)))).alias("key"))
+        hot = stored(hot.join(wide, "key", "left_anti").unionByName(sizes(dealt)), "hot-shards")
+        members = members.join(wide, "key", "left_anti").unionByName(dealt, allowMissingColumns=True)
     # Shards beyond the limit are few rows here; a member of one goes to each pair of parts that its part is in.
-    hot = members.groupBy("key").count().filter(F.col("count") > shard).select("key", F.ceil(F.col("count") / shard).cast("int").alias("parts"))
-    hot = stored(hot, "hot-shards")
+    hot = hot.select("key", F.ceil(F.col("count") / shard).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     split = members.join(hot, "key").withColumn("part", part).select("fp", "key", "part", other.alias("other"))
