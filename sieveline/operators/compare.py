@@ -32,7 +32,9 @@ def regression(base: DataFrame, now: DataFrame, tolerance: float = 1e-5) -> Data
 
 
 def head_to_head(a: DataFrame, b: DataFrame, dimensions: list[str]) -> DataFrame:
-    """One row: totals, dimensions won and the winner; a tie goes to the first."""
+    """One row: totals, dimensions won and the winner; a tie goes to the first. Both sides must have one row."""
+    if a.limit(2).count() != 1 or b.limit(2).count() != 1:
+        raise ValueError("both sides must have one row")
     left, right = a.select(*(F.col(d).alias(f"a_{d}") for d in dimensions)), b.select(*(F.col(d).alias(f"b_{d}") for d in dimensions))
     total = lambda p: sum((F.col(f"{p}_{d}") for d in dimensions), F.lit(0.0))
     wins = lambda p, q: sum(((F.col(f"{p}_{d}") > F.col(f"{q}_{d}")).cast("int") for d in dimensions), F.lit(0))

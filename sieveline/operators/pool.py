@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping
 
 import pandas as pd
@@ -76,15 +77,20 @@ def linear_score(df: DataFrame, weights: Mapping[str, float] = specs.POOL_WEIGHT
 
 
 def model_score(df: DataFrame, predict: Callable[[pd.DataFrame], pd.Series] | None) -> DataFrame:
-    """Score by a model over ``MODEL_COLUMNS`` in Arrow batches; without one the linear score."""
+    """Score by a model over ``MODEL_COLUMNS`` in Arrow batches; the linear score without one, and for batches that the model fails on."""
     if predict is None:
         return linear_score(df)
 
     @F.pandas_udf("double")
     def run(columns: pd.DataFrame) -> pd.Series:
-        return predict(columns)
-
-    return df.withColumn("pool_score", run(F.struct(*MODEL_COLUMNS)))
+        try:
+            return pd.Series(predict(columns), dtype="float64")
+        except Exception as e:  # whatever a model that was passed in may raise
+            warnings.warn(f"the model failed, the linear score stands in: {e!r}", stacklevel=2)
+            return pd.Series([None] * len(columns), dtype="float64")
+
+    scored = linear_score(df).withColumn("__model", run(F.struct(*MODEL_COLUMNS)))
+    return scored.withColumn("pool_score", F.coalesce(F.nanvl("__model", F.lit(None).cast("double")), "pool_score")).drop("__model")
 
 
 def packed(df: DataFrame, k: int = 100, id_col: str = "candidate_id") -> DataFrame:

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from sieveline.storage import stored
 
 
+MOST_ROWS = 100_000
+
+
 def ranking_problems(df: DataFrame, rows: int = 100, id_pattern: str = r"^CAND_[0-9]{7}$") -> DataFrame:
     """problem, n: a row for each rule that is broken.
 
     df: candidate_id, rank, score, reasoning as text. A ranking is as long as its k, so the window over
-    all of it is small; longer input is refused by the row rule before anything else matters.
+    all of it is small; of input longer than ``MOST_ROWS`` only the row rule is reported.
     """
+    if df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        return df.sparkSession.sql("SELECT 'row_count' AS problem, 1L AS n")
     typed = df.select("candidate_id", F.expr("try_cast(rank AS INT)").alias("rank"), F.expr("try_cast(score AS DOUBLE)").alias("score"))
     by_rank = Window.orderBy(F.col("rank").asc_nulls_last(), "candidate_id")
     nxt = typed.withColumn("next_score", F.lead("score").over(by_rank)).withColumn("next_id", F.lead("candidate_id").over(by_rank))

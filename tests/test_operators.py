@@ -375,3 +375,28 @@ def test_uploads_are_chosen_before_they_are_read(spark, tmp_path):
         (tmp_path / folder / name).write_bytes(b"x" * size)
     got = {r.name: (len(r.content), r.folder) for r in readers.uploads(spark, [str(tmp_path / "a"), str(tmp_path / "b")], limit=20).collect()}
     assert got == {"cv.pdf": (5, 0), "x.docx": (7, 1)}
+
+
+def test_a_model_that_fails(spark):
+    from sieveline.operators import pool
+
+    row = {c: float(i) for i, c in enumerate(dict.fromkeys([*pool.MODEL_COLUMNS, *pool.specs.POOL_WEIGHTS]))}
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} double" for c in row))
+
+    def broken(columns):
+        raise RuntimeError("no model")
+
+    linear = pool.linear_score(df).first().pool_score
+    assert pool.model_score(df, broken).first().pool_score == linear
+    assert pool.model_score(df, lambda c: c["semantic_sim"] + 5).first().pool_score == row["semantic_sim"] + 5
+
+
+def test_refusals(spark, monkeypatch):
+    from sieveline.operators import compare, validate
+
+    two = spark.range(2).selectExpr("id AS x")
+    with pytest.raises(ValueError, match="one row"):
+        compare.head_to_head(two, two.limit(1), ["x"])
+    monkeypatch.setattr(validate, "MOST_ROWS", 3)
+    long = spark.range(4).selectExpr("'a' AS candidate_id", "'1' AS rank", "'1' AS score", "'r' AS reasoning")
+    assert [tuple(r) for r in validate.ranking_problems(long).collect()] == [("row_count", 1)]
