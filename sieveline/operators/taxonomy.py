@@ -24,15 +24,6 @@ def aliases(taxonomy: DataFrame) -> DataFrame:
     return every.groupBy(F.lower("alias").alias("alias")).agg(F.max_by("canonical", "pos").alias("canonical"), F.max("pos").alias("pos"))
 
 
-def _bags(names) -> np.ndarray:
-    """How many letters of each name fall into each of 64 bins."""
-    out = np.zeros((len(names), 64), dtype=np.int32)
-    for i, n in enumerate(names):
-        for c in n:
-            out[i, ord(c) % 64] += 1
-    return out
-
-
 def normalise_names(names: DataFrame, known: DataFrame, column: str = "name", cutoff: float = CUTOFF) -> DataFrame:
     """Adds canonical and method: exact, then closest by ratio, then token subset, else none.
 
@@ -44,7 +35,16 @@ def normalise_names(names: DataFrame, known: DataFrame, column: str = "name", cu
         raise ValueError("a taxonomy of over 100,000 aliases isn't supported")
     of = {r.alias: r.canonical for r in rows}
     keys = np.array(list(of), dtype=object)
-    bags, lengths = _bags(keys), np.array([len(k) for k in keys])
+
+    def counted(names) -> np.ndarray:
+        """How many letters of each name fall into each of 64 bins."""
+        out = np.zeros((len(names), 64), dtype=np.int32)
+        for i, n in enumerate(names):
+            for c in n:
+                out[i, ord(c) % 64] += 1
+        return out
+
+    bags, lengths = counted(keys), np.array([len(k) for k in keys])
 
     @F.pandas_udf("string")
     def closest(values: pd.Series) -> pd.Series:
@@ -52,7 +52,7 @@ def normalise_names(names: DataFrame, known: DataFrame, column: str = "name", cu
             if not v:
                 return None
             # No ratio is above that of the letters in common, counted in bins: what falls short can't be close.
-            most = 2 * np.minimum(bags, _bags([v])).sum(axis=1, dtype=np.int64)
+            most = 2 * np.minimum(bags, counted([v])).sum(axis=1, dtype=np.int64)
             likely = keys[most >= cutoff * (lengths + len(v))]
             return next(iter(get_close_matches(v, likely.tolist(), n=1, cutoff=cutoff)), None)
 
