@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat_format, exact_dedup, hilbert_shards, language_model, license_scan, packing, piece_codec, quality, simhash, warc
+from sieveline.llm import chat_format, exact_dedup, filter_audit, hilbert_shards, language_model, license_scan, packing, piece_codec, prefix_trie, quality, simhash, url_filters, warc
 from sieveline.llm.common import table
 from sieveline.llm.oracles import LICENSE, WARC
+from sieveline.llm.oracles_graph import AUDIT, RULES, TRIE, URLS
 
 
 def tokenizer_path(name: str) -> str:
@@ -79,6 +80,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.label_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), F.crc32(conv.cast("string")) % 6, 5, conv - conv % 100)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
@@ -90,11 +104,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_license_scan": op10_license_scan,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_url_filters": op13_url_filters,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": WARC,
     "op10_license_scan": LICENSE,
+    "op11_prefix_trie": TRIE,
+    "op12_filter_audit": AUDIT,
+    "op13_url_filters": URLS,
     "op5_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

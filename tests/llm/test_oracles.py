@@ -14,7 +14,7 @@ def rows(columns, values):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = QUERIES[name](spark, sf)
     want = con.sql(ORACLES[name])
