@@ -9,12 +9,13 @@ separator. Where it isn't zero an empty member follows.
 ``read_archives`` goes through each archive member by member, inflating in steps of bounded size from
 an open file, frames each record by its Content-Length and checks the digests that are there. Payloads
 are held only if they are asked for. What is damaged gives a row that names the problem, and reading
-goes on at the next member.
+goes on at the next member. Headers have no limit: a record's is held whole, as its URL is (what doesn't begin like a
+record is left at once); of a block's HTTP header only the line being read is held, and no more than ``STEP`` of that.
 
 Cases: a null payload is empty, a null id or URL gives an empty header value; of records with equal
-payloads those with the smallest id are responses (null ids only if there is no other), the others
-revisits that name it; an empty table gives no archives and an empty result; other columns of the
-input are not looked at. Records of other kinds and of other writers are read too: digests are
+payloads the one with the smallest id is the response (null ids only if there is no other; of repeated ids that with the
+smallest URL, of rows equal in all three any one), the others are revisits that name it; an empty table gives no archives and an
+empty result; a very long URL or payload is written and read like any other; other columns of the input are not looked at. Records of other kinds and of other writers are read too: digests are
 optional, ids are texts, and page_id is null where the id isn't one of this writer's numbers.
 """
 
@@ -36,8 +37,8 @@ from sieveline.llm.common import FEW, scratch_path, ship, stored
 #: Payloads of fewer bytes are always stored, never revisited.
 MIN_REVISIT = 0
 ARCHIVE_BYTES = 32 << 20
-#: Bytes that are read or inflated at once, and the most that a record's header may have.
-STEP, HEADER = 1 << 16, 1 << 20
+#: Bytes that are read or inflated at once.
+STEP = 1 << 16
 DATE = "2020-01-01T00:00:00Z"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, problem string, record_id string, refers_to_id string"
 _EMPTY_MEMBER = zlib.compressobj(0, zlib.DEFLATED, 31).flush()
@@ -122,15 +123,19 @@ class _Bytes:
         self.held = self.held or self.member.read()
         return not self.held
 
-    def head(self) -> bytes:
-        """What stands before an empty line, which is passed."""
-        while (end := self.held.find(b"\r\n\r\n")) < 0:
-            more = self.member.read() if len(self.held) < HEADER else b""
+    def head(self, begin: bytes) -> bytes:
+        """What stands before an empty line, which is passed; it must begin with ``begin``."""
+        head, seen = bytearray(self.held), 0
+        while (end := head.find(b"\r\n\r\n", seen)) < 0:
+            if len(head) >= len(begin) and not head.startswith(begin):
+                raise Damage("no header")
+            seen = max(0, len(head) - 3)
+            more = self.member.read()
             if not more:
                 raise Damage("no header")
-            self.held += more
-        out, self.held = self.held[:end], self.held[end + 4 :]
-        return out
+            head += more
+        self.held = bytes(head[end + 4 :])
+        return bytes(head[:end])
 
     def take(self, n: int) -> Iterator[bytes]:
         """The next n bytes in parts, or fewer at the end of the member."""
@@ -145,6 +150,27 @@ def _fields(head: bytes) -> tuple[str, dict[str, str]]:
     return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
+class _HttpHead:
+    """Passes over an HTTP header as it comes in, and keeps its Content-Length."""
+
+    def __init__(self) -> None:
+        self.line, self.length = bytearray(), None
+
+    def feed(self, part: bytes) -> bytes | None:
+        """What follows the header, once it has ended."""
+        self.line += part
+        while (end := self.line.find(b"\r\n")) >= 0:
+            if end == 0:
+                return bytes(self.line[2:])
+            name, _, value = bytes(self.line[:end]).partition(b":")
+            if name.strip().lower() == b"content-length":
+                self.length = value.strip().decode("utf-8", "replace")
+            del self.line[: end + 2]
+        if len(self.line) > STEP:  # of a line that long only its beginning and a last \r matter
+            del self.line[STEP // 2 : -1]
+        return None
+
+
 class _Digest:
     """Checks a labelled digest, base32 or hexadecimal, as bytes come in; labels it can't check pass."""
 
@@ -169,7 +195,7 @@ def _number(x: str | None) -> int | None:
 
 
 def _record(data: _Bytes, with_payload: bool) -> tuple:
-    version, head = _fields(data.head())
+    version, head = _fields(data.head(b"WARC/"))
     if not version.startswith("WARC/"):
         raise Damage("no WARC header")
     if not (length := head.get("content-length", "")).isdigit():
@@ -177,24 +203,22 @@ def _record(data: _Bytes, with_payload: bool) -> tuple:
     kind, size = head.get("warc-type"), int(length)
     label = head.get("warc-payload-digest")
     block, payload, own = _Digest(head.get("warc-block-digest")), _Digest(label), hashlib.sha1()
-    http: bytes | None = b"" if head.get("content-type", "").lower().startswith("application/http") else None
-    kept, got, n, said = [], 0, 0, None
+    http = _HttpHead() if head.get("content-type", "").lower().startswith("application/http") else None
+    kept, got, n, inside = [], 0, 0, http is not None
     for part in data.take(size):
         got += len(part)
         block.update(part)
-        if http is not None:
-            http += part
-            if (end := http.find(b"\r\n\r\n")) < 0:
-                if len(http) > HEADER:
-                    raise Damage("no HTTP header")
+        if inside:
+            rest = http.feed(part)
+            if rest is None:
                 continue
-            said = _fields(http[:end])[1].get("content-length")
-            part, http = http[end + 4 :], None
+            part, inside = rest, False
         n += len(part)
         payload.update(part)
         own.update(part)
         if with_payload:
             kept.append(part)
+    said = http.length if http and not inside else None
     tail = b"".join(data.take(4))
     revisit = kind == "revisit"
     problem = None
@@ -271,6 +295,17 @@ def _archives(limit: int):
     return run
 
 
+def _one_response(rows: DataFrame) -> DataFrame:
+    """Rows that repeat the id and payload of their group's response: one, of the smallest URL, is the response, the others are revisits.
+
+    Rows equal in all three can't be told apart, so they are counted and written as often as they came.
+    """
+    each = rows.groupBy("digest", "page_id", "first", "url").agg(F.count("*").alias("n"), F.max("html").alias("html"))
+    best = each.groupBy("digest").agg(F.min(F.struct(F.col("url").isNull().alias("none"), "url"))["url"].alias("best"))
+    each = each.join(best, "digest").withColumn("copy", F.explode(F.expr("sequence(1L, n)")))
+    return each.withColumn("revisit", ~((F.col("copy") == 1) & F.col("url").eqNullSafe(F.col("best"))))
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = MIN_REVISIT, limit: int = ARCHIVE_BYTES) -> None:
     """Write a record for each row; files of about ``limit`` bytes below ``path``."""
     ship(pages.sparkSession)
@@ -278,10 +313,21 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: st
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
     # Payloads that several pages share, merged before the shuffle. The pages themselves move only if those are many;
     # that join splits a payload that very many share.
-    groups = rows.filter(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisit = F.coalesce((F.col("size") >= min_revisit) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
+    by_id = rows.filter(F.col("size") >= min_revisit).groupBy("digest", "page_id").agg(F.count("*").alias("twins"))
+    groups = by_id.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("twins").alias("n"), F.sum(F.when(F.col("page_id").isNull(), F.col("twins"))).alias("of_none"), F.min_by("twins", "page_id").alias("twins"))
+    groups = groups.filter("n > 1").select("digest", "first", F.coalesce("twins", "of_none").alias("twins"))
     groups = stored(groups, "copies")
-    joined = rows.join(F.broadcast(groups) if groups.count() <= FEW else groups, "digest", "left").select("page_id", "url", "html", "first", revisit.alias("revisit"))
+    n, several = groups.agg(F.count("*"), F.count_if(F.col("twins") > 1)).first()
+    joined = rows.join(F.broadcast(groups) if n <= FEW else groups, "digest", "left")
+    copy = (F.col("size") >= min_revisit) & F.col("twins").isNotNull()
+    named = copy & F.col("page_id").eqNullSafe(F.col("first"))
+    if several:
+        joined = joined.withColumn("again", F.coalesce(named & (F.col("twins") > 1), F.lit(False)))
+        written = ["page_id", "url", "html", "first", "revisit"]
+        twins = _one_response(joined.filter("again")).select(*written)
+        joined = joined.filter("NOT again").withColumn("revisit", F.coalesce(copy & ~named, F.lit(False))).select(*written).unionByName(twins)
+    else:
+        joined = joined.select("page_id", "url", "html", "first", F.coalesce(copy & ~named, F.lit(False)).alias("revisit"))
     archives = joined.mapInArrow(_archives(limit), "archive binary").select(F.col("archive").cast("string").alias("value"))
     archives.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").option("compression", "none").text(path)
 

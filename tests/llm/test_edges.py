@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -90,6 +91,15 @@ def test_copies_of_different_tasks_meet_in_the_index():
     assert sorted(map(tuple, (v for _, v in index.items()))) == [(i, i, 40) for i in range(50)]
 
 
+@pytest.mark.parametrize("n", [1, 16])
+def test_copies_are_confirmed_hits(spark, n):
+    """However many tasks read the table, each row but the first of its text is a hit of an index that its bucket confirms."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 300).cast("string")).alias("text")).repartition(n)
+    entries = exact_dedup.live_entries(exact_dedup._digests(docs, "doc_id", "text")).collect()
+    assert len(entries) == 300 and sum(r.hits for r in entries) == 3700
+    assert all(r.group_size == 4000 // 300 + (r.keep_id < 4000 % 300) for r in entries)
+
+
 def test_index_over_time(spark):
     rng = np.random.default_rng(7)
     entries, live, number = None, Counter(), 0
@@ -552,12 +562,14 @@ def test_warc(spark):
     warc.write_archives(df, path, limit=1 << 20)
     got = warc.read_archives(spark, path).collect()
     assert all(r.problem is None for r in got)
-    want = Counter()
+    want, responded = Counter(), set()
     for page, url, html in pages:
         body = (html or "").encode()
         same = [p for p, _, h in pages if (h or "").encode() == body]
         least = min((p for p in same if p is not None), default=None)
-        revisit = least is not None and page != least
+        revisit = page != least or body in responded  # of equal rows one is the response
+        if not revisit:
+            responded.add(body)
         want[page, url, len(body), warc.base32_sha1(body), "revisit" if revisit else "response", least if revisit else None] += 1
         assert revisit or any(r.payload == body for r in got)
     assert Counter((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
@@ -567,9 +579,28 @@ def test_warc(spark):
     assert warc.round_trip(df.filter("1 = 0")).count() == 0
 
 
+def test_warc_long_headers(spark):
+    """URLs have no limit, and neither has a block's HTTP header."""
+    pages = [(1, "http://x/" + "a" * 2_000_000, "<p>one</p>"), (2, "http://y/" + "ü%\n" * 700_000, "<p>two</p>")]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.url, r.record_type, r.problem) for r in got) == [(p, u, "response", None) for p, u, _ in pages]
+    block = b"HTTP/1.1 200 OK\r\nX: " + b"y" * 3_000_000 + b"\r\nContent-Length: 4\r\n\r\nbody"
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+    for step in (7919, 1 << 16):
+        found = list(warc.read_records(gzip.compress(head.encode() + block + b"\r\n\r\n"), step=step))
+        assert [(r[4], r[6], r[7]) for r in found] == [(4, b"body", None)]
+
+
+def test_warc_repeated_ids(spark):
+    pages = [(1, "u2", "x"), (1, "u1", "x"), (1, "u1", "x"), (1, None, "x"), (2, "u", "x"), (None, "n", "y"), (None, "n", "y"), (3, "z", "z")]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    assert Counter((r.page_id, r.url, r.record_type, r.refers_to) for r in got) == Counter(
+        [(1, "u1", "response", None), (1, "u1", "revisit", 1), (1, "u2", "revisit", 1), (1, None, "revisit", 1), (2, "u", "revisit", 1), (None, "n", "response", None), (None, "n", "revisit", None), (3, "z", "response", None)]
+    )
+
+
 def test_warc_reader_finds_damage():
     record = warc.write_record(1, "http://x", b"hello world", None, False)
-    import gzip
 
     plain = gzip.decompress(record)
     assert next(warc.read_records(record))[7] is None
@@ -590,7 +621,6 @@ def test_warc_reader_finds_damage():
 
 def test_warc_reader_takes_other_writers_records():
     import base64
-    import gzip
 
     def record(kind, block, *more):
         lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:35f2dc0c-7b7d-4a1f-a5a4-0123456789ab>", *more, f"Content-Length: {len(block)}", "", ""]
