@@ -7,13 +7,15 @@ Message contents may be texts or lists of parts. Turns are then written with mar
 inside texts and roles are broken up by a backslash, and backslashes doubled, so the text between marks
 can be read back exactly. Everything is DataFrame expressions.
 
+Rows of turns become records whose texts are numbers of a list beside the record, whatever their length, so what is parsed
+and fingerprinted is small: one way for all sizes.
+
 Cases: null texts and roles count as empty; turns are sorted by number, role and text, nulls first;
-a record that is no JSON or of an unknown layout has no turns, ``layout`` is null and ``unknown`` holds
-the record; a null record has neither; an empty list of messages gives no turns; repeated
-rows of a conversation are turns of their own; an empty table gives an empty result; other columns
-are not looked at. A conversation is one row, however long: JSON texts have limits (128 MiB of a parsed
-value, 20,000,000 characters of a string), so beyond ``PARSED`` bytes ``records_of_rows`` gives the turns
-as they are beside a record that only shows the layout; a larger record without turns that can't be parsed is an error.
+a record that is no JSON, too long for Spark's parser (a string of 20,000,000 characters, a value of 128 MiB) or of an
+unknown layout has no turns, ``layout`` is null, ``unknown`` holds the record and ``reason`` says which; a null record has
+none of these; an empty list of messages gives no turns; repeated rows of a conversation are turns of their own; an
+empty table gives an empty result; other columns are not looked at. A conversation is one row, however long: its texts
+must fit in one (2 GB), its turns be fewer than about two million.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a conversation's texts (and 64 for each turn) that are sure to parse when written as JSON, where a byte may take six.
-PARSED = 16 << 20
 TURNS = "array<struct<role:string,text:string>>"
 BEGIN, FINISH = "<|im_start|>", "<|im_end|>\n"
 #: Before these positions a backslash goes: a backslash, or the second part of a control string.
@@ -50,11 +50,12 @@ class Layout:
     roles: dict[str, str] = field(default_factory=dict)
     fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
-    def turns(self, value: Column) -> Column:
+    def turns(self, value: Column, texts: Column | None = None) -> Column:
+        """texts: a list that the record's texts are numbers of, from 0."""
         if not self.list_at:
             if not self.fixed:
                 return F.array().cast(TURNS)
-            return F.array_compact(F.array(*(self._fixed(value, *f) for f in self.fixed)))
+            return F.array_compact(F.array(*(self._fixed(value, texts, *f) for f in self.fixed)))
         found = F.try_variant_get(value, self.list_at, f"array<struct<`{self.role}`:string,`{self.text}`:variant>>")
 
         def turn(t: Column) -> Column:
@@ -62,14 +63,14 @@ class Layout:
             renamed = role
             for old, new in self.roles.items():
                 renamed = F.when(role == old, new).otherwise(renamed)
-            return F.struct(renamed.alias("role"), content_text(t[self.text]).alias("text"))
+            return F.struct(renamed.alias("role"), given_text(t[self.text], texts).alias("text"))
 
         return F.transform(found, turn)
 
     @staticmethod
-    def _fixed(value: Column, role: str, paths: tuple[str, ...]) -> Column:
+    def _fixed(value: Column, given: Column | None, role: str, paths: tuple[str, ...]) -> Column:
         there = F.array_compact(F.array(*(F.try_variant_get(value, p, "variant") for p in paths)))
-        texts = F.filter(F.transform(there, content_text), lambda t: t != "")
+        texts = F.filter(F.transform(there, lambda c: given_text(c, given)), lambda t: t != "")
         return F.when(F.size(there) > 0, F.struct(F.lit(role).alias("role"), F.array_join(texts, "\n\n").alias("text")))
 
 
@@ -80,6 +81,12 @@ def content_text(content: Column) -> Column:
     return F.coalesce(F.when(F.startswith(F.schema_of_variant(content), F.lit("ARRAY<")), joined), F.try_variant_get(content, "$", "string"), F.lit(""))
 
 
+def given_text(content: Column, texts: Column | None = None) -> Column:
+    """``content_text``, or the one of ``texts`` whose number it is."""
+    text = content_text(content)
+    return text if texts is None else F.coalesce(F.get(texts, text.try_cast("int")), F.lit(""))
+
+
 def _pair(name: str, first: str, second: str, *before: tuple[str, str]) -> Layout:
     example = "{" + ",".join(f'"{x}":""' for x in (*(b for _, b in before), first, second)) + "}"
     return Layout(name, example, fixed=(*((r, (f"$.{x}",)) for r, x in before), ("user", (f"$.{first}",)), ("assistant", (f"$.{second}",))))
@@ -140,28 +147,26 @@ def _known(spark, layouts: tuple[Layout, ...]) -> list[tuple[Layout, list[int]]]
     return sorted(zip(layouts, map(list, rows), strict=True), key=lambda x: -len(x[1]))
 
 
-def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, whole: str | None = None) -> DataFrame:
-    """``records`` with columns layout, turns and unknown (a record of no known layout) in place of ``record``.
+def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, texts: str | None = None) -> DataFrame:
+    """``records`` with columns layout, turns, unknown (a record that has no turns for want of a layout) and reason in place of ``record``.
 
-    whole: a column of turns that stand for those of the record where it isn't null.
+    texts: a column of lists of texts; the texts of a record are then numbers of its list.
     """
-    too_long = (F.octet_length(record) > PARSED) & F.try_parse_json(record).isNull()
-    checked = F.when(too_long, F.raise_error(F.lit("a record is no JSON or beyond the limits of parsed values")).cast("string")).otherwise(F.col(record))
     # Columns of their own: what several mappings use is computed once a row.
-    marked = records.withColumn("__value", F.try_parse_json(checked))
+    marked = records.withColumn("__value", F.try_parse_json(record))
     marked = marked.withColumn("__mark", fingerprint(F.col("__value")))
     name: Column = F.lit(None).cast("string")
     turns: Column = F.lit(None).cast(TURNS)
+    given = F.col(texts) if texts else None
     for one, paths in reversed(_known(records.sparkSession, layouts)):
         is_it = F.size(F.array_except(F.array(*map(F.lit, paths)), F.col("__mark"))) == 0
         name = F.when(is_it, one.name).otherwise(name)
-        turns = F.when(F.col("__layout") == one.name, one.turns(F.col("__value")).cast(TURNS)).otherwise(turns)
+        turns = F.when(F.col("__layout") == one.name, one.turns(F.col("__value"), given).cast(TURNS)).otherwise(turns)
     marked = marked.withColumn("__layout", name)
-    if whole:
-        turns = F.coalesce(F.col(whole), turns)
-    unknown = F.when(F.col("__layout").isNull(), F.col(record))
-    rest = (F.col(f"`{c}`") for c in records.columns if c not in (record, whole, "layout", "turns", "unknown"))
-    return marked.select(*rest, F.col("__layout").alias("layout"), turns.alias("turns"), unknown.alias("unknown"))
+    missing = F.col("__layout").isNull() & F.col(record).isNotNull()
+    reason = F.when(missing, F.when(F.col("__value").isNull(), F.lit("no JSON, or too long to parse")).otherwise(F.lit("unknown layout")))
+    rest = (F.col(f"`{c}`") for c in records.columns if c not in (record, texts, "layout", "turns", "unknown", "reason"))
+    return marked.select(*rest, F.col("__layout").alias("layout"), turns.alias("turns"), F.when(missing, F.col(record)).alias("unknown"), reason.alias("reason"))
 
 
 def format_turns(turned: DataFrame, turns: str = "turns", learn: str = "assistant") -> DataFrame:
@@ -195,30 +200,24 @@ def learned_text(formatted: Column, spans: Column) -> Column:
 
 
 def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, record, whole: rows of turns as JSON records, in the layout that suits their roles.
-
-    whole: null, or for conversations too long to parse their turns; the record is then an example of the layout.
-    """
+    """conv_id, record, texts: rows of turns as JSON records in the layout that suits their roles; a record's texts are numbers of ``texts``."""
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     grouped = rows.groupBy(F.col(id_col).alias("conv_id")).agg(F.array_sort(F.collect_list(one), _by_turn).alias("t"))
     roles = F.transform("t", lambda t: t["role"])
-    messages = F.to_json(F.struct(F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
+    number = lambda i: i.cast("string")
+    messages = F.to_json(F.struct(F.transform("t", lambda t, i: F.struct(t["role"].alias("role"), number(i).alias("content"))).alias("messages")))
     old = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
-    shared = F.to_json(F.struct(F.transform("t", lambda t: F.struct(old(t["role"]).alias("from"), t["text"].alias("value"))).alias("conversations")))
-    nth = lambda i: F.get("t", F.lit(i))["text"]
-    prompt = F.to_json(F.struct(nth(0).alias("prompt"), nth(1).alias("completion"), F.col("conv_id").alias("id")))
-    instruction = F.to_json(F.struct(nth(0).alias("instruction"), nth(1).alias("output")))
-    system = F.to_json(F.struct(nth(0).alias("system"), nth(1).alias("prompt"), nth(2).alias("response")))
+    shared = F.to_json(F.struct(F.transform("t", lambda t, i: F.struct(old(t["role"]).alias("from"), number(i).alias("value"))).alias("conversations")))
+    first, second, third = (F.lit(str(i)) for i in range(3))
+    prompt = F.to_json(F.struct(first.alias("prompt"), second.alias("completion"), F.col("conv_id").alias("id")))
+    instruction = F.to_json(F.struct(first.alias("instruction"), second.alias("output")))
+    system = F.to_json(F.struct(first.alias("system"), second.alias("prompt"), third.alias("response")))
     is_roles = lambda *names: roles == F.array(*map(F.lit, names))
     plain = F.forall(roles, lambda r: r.isin("system", "user", "assistant"))
-    size = F.aggregate("t", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["role"]) + F.octet_length(t["text"]) + 64)
-    grouped, long = grouped.withColumn("size", size), F.col("size") > PARSED
-    example = {one.name: F.lit(one.example) for one in LAYOUTS}
-    given = lambda name, whole: F.when(long, example[name]).otherwise(whole)
-    record = F.when(is_roles("user", "assistant") & (F.pmod("conv_id", F.lit(2)) == 0), given("instruction", instruction)).when(is_roles("user", "assistant"), given("prompt", prompt)).when(is_roles("system", "user", "assistant"), given("system_prompt", system))
-    record = record.when(plain & (F.pmod("conv_id", F.lit(2)) == 1), given("shared", shared)).otherwise(given("messages", messages))
-    whole = F.when(long, F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
-    return grouped.select("conv_id", record.alias("record"), whole.alias("whole"))
+    even = F.pmod("conv_id", F.lit(2)) == 0
+    record = F.when(is_roles("user", "assistant") & even, instruction).when(is_roles("user", "assistant"), prompt).when(is_roles("system", "user", "assistant"), system)
+    record = record.when(plain & (F.pmod("conv_id", F.lit(2)) == 1), shared).otherwise(messages)
+    return grouped.select("conv_id", record.alias("record"), F.transform("t", lambda t: t["text"]).alias("texts"))
 
 
 def _by_turn(a: Column, b: Column) -> Column:
@@ -229,5 +228,5 @@ def _by_turn(a: Column, b: Column) -> Column:
 
 
 def format_conversations(records: DataFrame) -> DataFrame:
-    """conv_id, layout, unknown, formatted, loss_spans for records (conv_id, record, and whole if given)."""
-    return format_turns(canonical_turns(records, whole="whole" if "whole" in records.columns else None)).drop("turns")
+    """conv_id, layout, unknown, reason, formatted, loss_spans for records (conv_id, record, and texts if the records hold numbers of them)."""
+    return format_turns(canonical_turns(records, texts="texts" if "texts" in records.columns else None)).drop("turns")
