@@ -5,9 +5,9 @@ buckets. A lookup asks the filter first; only a hit is verified against the buck
 deleted again; an insertion that finds no place makes the filter twice as large and refills it from
 the stored keys.
 
-``find_duplicates`` shards documents by digest. A task merges the copies that it reads, so a group
+``find_duplicates`` shards documents by digest. A task merges the copies that it reads in an index of its own, so a group
 that holds a third of all rows sends few rows from each task; the copies of different tasks meet in
-their shard's index, where a hit that its bucket confirms is merged. Shards are as many as keep an
+their shard's index. In both, a copy is a hit that its bucket confirms: ``live_entries`` gives their number. Shards are as many as keep an
 index at ``SHARD_KEYS`` digests or so, and each is indexed as a stream, one at a time.
 
 ``update_index`` keeps a table of live digests over time: documents that retire are taken out of the
@@ -35,8 +35,9 @@ SLOTS, MAX_KICKS = 4, 200
 MERGED = 100_000
 #: What a row does to the index: it is in it, leaves it, or comes new; in this order.
 LIVE, RETIRED, NEW = 0, 1, 2
-CHANGES = "shard long, kind int, digest binary, id long, row long, n long"
-ENTRIES = "digest binary, keep_id long, keep_row long, group_size long"
+CHANGES = "shard long, kind int, digest binary, id long, row long, n long, hits long"
+#: hits: on one row of each shard, the confirmed hits of its index and of the merges before it.
+ENTRIES = "digest binary, keep_id long, keep_row long, group_size long, hits long"
 
 
 class CuckooIndex:
@@ -149,29 +150,24 @@ def _merge_copies(bits: int, kind: int):
     def run(batches):
         import pyarrow as pa
 
-        held: dict[bytes, list] = {}
+        index = CuckooIndex()
 
         def out():
-            keys, rows = list(held), list(held.values())
-            held.clear()
-            for i in range(0, len(keys), 20_000):
-                part = keys[i : i + 20_000]
-                cols = list(zip(*rows[i : i + 20_000], strict=True))
-                shards = [int.from_bytes(k[:8], "big") >> 64 - bits for k in part]
-                arrays = [pa.array(shards, pa.int64()), pa.array([kind] * len(part), pa.int32()), pa.array(part, pa.binary()), *(pa.array(c, pa.int64()) for c in cols)]
+            entries, hits = list(index.items()), index.hits
+            for i in range(0, len(entries), 20_000):
+                part = entries[i : i + 20_000]
+                cols = list(zip(*(v for _, v in part), strict=True))
+                shards = [int.from_bytes(k[:8], "big") >> 64 - bits for k, _ in part]
+                arrays = [pa.array(shards, pa.int64()), pa.array([kind] * len(part), pa.int32()), pa.array([k for k, _ in part], pa.binary()), *(pa.array(c, pa.int64()) for c in cols)]
+                arrays.append(pa.array([hits if i == 0 else 0] + [0] * (len(part) - 1), pa.int64()))
                 yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in CHANGES.split(", ")])
 
         for batch in batches:
             for key, doc, row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = held.get(key)
-                if found is None:
-                    held[key] = [doc, row, 1]
-                    continue
-                if _earlier([doc, row], found):
-                    found[0], found[1] = doc, row
-                found[2] += 1
-            if len(held) >= MERGED:
+                apply_change(index, NEW, key, doc, row, 1)
+            if len(index) >= MERGED:
                 yield from out()
+                index = CuckooIndex()
         yield from out()
 
     return run
@@ -198,24 +194,25 @@ def _index_shards(batches):
     """Rows of ``CHANGES``, a shard's together and by kind -> ``ENTRIES``, a row for each digest that is live in the end."""
     import pyarrow as pa
 
-    index, shard = CuckooIndex(), None
+    index, shard, before = CuckooIndex(), None, 0
 
     def closed():
         rows = list(index.items())
         for i in range(0, len(rows), 20_000):
             part = rows[i : i + 20_000]
-            cols = zip(*(v for _, v in part), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary())] + [pa.array(c, pa.int64()) for c in cols], ["digest", "keep_id", "keep_row", "group_size"])
+            cols = [*zip(*(v for _, v in part), strict=True), [index.hits + before if i == 0 else 0] + [0] * (len(part) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary())] + [pa.array(c, pa.int64()) for c in cols], ["digest", "keep_id", "keep_row", "group_size", "hits"])
 
     for batch in batches:
         shards = batch.column(0).to_numpy()
-        columns = [batch.column(i).to_pylist() for i in range(1, 6)]
+        columns = [batch.column(i).to_pylist() for i in range(1, 7)]
         for start, end in _runs(shards):
             if shards[start] != shard:
                 yield from closed()
-                index, shard = CuckooIndex(), shards[start]
-            for kind, key, doc, row, n in zip(*(c[start:end] for c in columns), strict=True):
+                index, shard, before = CuckooIndex(), shards[start], 0
+            for kind, key, doc, row, n, hits in zip(*(c[start:end] for c in columns), strict=True):
                 apply_change(index, kind, key, doc, row, n)
+                before += hits
     yield from closed()
 
 
@@ -248,13 +245,17 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def live_entries(digests: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """digest, keep_id, keep_row, group_size, hits for each distinct digest of rows (digest, doc_id, row)."""
+    return _indexed(_changes(digests, _bits(digests.count(), shard_keys), NEW))
+
+
 def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of ``docs``."""
     ship(docs.sparkSession)
     digests = _digests(docs, id_col, text)
-    groups = _indexed(_changes(digests, _bits(digests.count(), shard_keys), NEW))
     # Texts that occur once keep themselves: only the others must be joined.
-    groups = _few(stored(groups.filter("group_size > 1"), "copies"))
+    groups = _few(stored(live_entries(digests, shard_keys).filter("group_size > 1").drop("hits"), "copies"))
     joined = digests.join(groups, "digest", "left")
     return joined.select(
         "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -288,7 +289,7 @@ def update_index(
     if entries is not None:
         shard = F.shiftrightunsigned(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"), 56 - bits)
         none = F.lit(None).cast("long")
-        live = entries.select(shard.alias("shard"), F.lit(LIVE).alias("kind"), "digest", F.col("keep_id").alias("id"), none.alias("row"), F.col("group_size").alias("n"))
+        live = entries.select(shard.alias("shard"), F.lit(LIVE).alias("kind"), "digest", F.col("keep_id").alias("id"), none.alias("row"), F.col("group_size").alias("n"), F.lit(0).cast("long").alias("hits"))
         changes = changes.unionByName(live)
     after = stored(_indexed(changes), "entries")
     verdicts = came.join(after.select("digest", "keep_id", "keep_row"), "digest", "left")
