@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.dates import any_date, is_current
+from sieveline.operators.scan import running, spread
+from sieveline.storage import stored
 
 
 def merged(df: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
     """Overlapping or touching spells of a key as one: key, start, end, spells.
 
-    One sort by key and start gives both windows; nothing else is shuffled.
+    A scan by range partitions: what a key has reached at the end of one is carried into the next, so a key may have any
+    number of spells.
     """
-    w = Window.partitionBy(*key).orderBy(start, end)
-    reached = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reached.isNull() | (F.col(start) > reached), 1).otherwise(0)
-    isles = df.withColumn("__new", new).withColumn("__isle", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = spread(df.select(*key, start, end), key, [start, end])
+    seen = running(dealt, key, [start, end], reached={"__reached": F.col(end)})
+    new = F.when(F.col("__reached").isNull() | (F.col(start) > F.col("__reached")), 1).otherwise(0)
+    isles = running(stored(seen.withColumn("__new", new).drop("__reached"), "spells"), key, [start, end], total={"__isle": F.col("__new")})
     return isles.groupBy(*key, "__isle").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("spells")).drop("__isle")
 
 
@@ -26,10 +29,11 @@ def covered_days(df: DataFrame, key: list[str], start: str, end: str) -> DataFra
 
 
 def promotions(df: DataFrame, key: list[str], company: str, title: str, order: str, tie: str) -> DataFrame:
-    """Changes of title within a company, oldest spell first."""
-    w = Window.partitionBy(*key, F.lower(company)).orderBy(order, tie)
-    before = F.lag(title).over(w)
-    changed = df.withColumn("__up", F.when(before.isNotNull() & (F.lower(before) != F.lower(title)), 1).otherwise(0))
+    """Changes of title within a company, oldest spell first; a key may have any number of spells."""
+    narrow = df.select(*key, company, F.lower(company).alias("__company"), F.col(title).alias("__title"), F.col(order).alias("__order"), F.col(tie).alias("__tie"))
+    before = F.col("__before")
+    seen = running(narrow, [*key, "__company"], ["__order", "__tie"], previous={"__before": F.col("__title")})
+    changed = seen.withColumn("__up", F.when(before.isNotNull() & (F.lower(before) != F.lower("__title")), 1).otherwise(0))
     return changed.groupBy(*key).agg(F.sum("__up").alias("promotions"), F.countDistinct(F.lower(company)).alias("companies"))
 
 

@@ -4,29 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.numbers import or_else
 from sieveline.operators import extract as ex
 from sieveline.operators import intervals, records
+from sieveline.operators.aliases import AT_ONCE, CASED, STRICT, first_aliases
+from sieveline.storage import stored
 
-# Aliases that stand only between white space or these marks, and those whose case counts.
-STRICT = (
-    "c", "r", "go", "js", "ts", "ui", "ux", "ml", "dl", "it", "ad", "wp", "tf", "np", "py", "rl", "ios", "sql", "api", "css", "aws", "gcp",
-    "bq", "iac", "iam", "sre", "soc", "etl", "bi", "qa", "eda", "sa", "mv", "os",
-)
-CASED = ("c", "r", "sta", "ads", "c++")
 EDGE = r"[\s,/()|;:.]"
 LEADER = r"(?i)lead|manager|director|vp|chief|head"
 JOB_ROLE = r"(?i)(Engineer|Developer|Manager|Analyst|Scientist|Architect|Associate|Director|VP|Lead)"
 YEARS_BY_LEVEL = {"senior": "5 years", "lead": "8 years", "junior": "1 year", "mid": "3 years"}
 NO_SCHOOL = ("computer", "science", "technology", "engineering", "business", "arts", "mathematics", "statistics")
 
-#: An alias table is turned into one row that every task gets, so its size is checked.
-MOST_ALIASES = 20_000
-
-
 def alias_pattern(alias: Column) -> Column:
     """The regular expression that finds an alias as a word of its own; dots in it may be missing, hyphens may be blanks."""
     low = F.lower(F.trim(alias))
@@ -43,27 +35,18 @@ def snippet(text: Column, start: Column, length: Column) -> Column:
     return F.trim(F.replace(F.substring(text, first, start + length + 100 - first), F.lit("\n"), F.lit(" ")))
 
 
-def alias_skills(df: DataFrame, id_col: str, text: str, aliases: DataFrame) -> DataFrame:
+def alias_skills(df: DataFrame, id_col: str, text: str, aliases: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """id, skill, category, alias, evidence, confidence: the first alias of each canonical name that a text holds as a word.
 
-    aliases: canonical, aliases (array, tried in order), category, pos (order of the names). The table becomes one row that is
-    broadcast; texts are scanned once for plain containment, and only what they contain is searched by pattern.
+    aliases: canonical, aliases (array, tried in order), category, pos (order of the names). Texts are scanned once for
+    every ``at_once`` aliases.
     """
-    spread = aliases.select("canonical", "category", "pos", F.posexplode("aliases").alias("n", "alias")).withColumn("low", F.lower("alias")).withColumn("pattern", alias_pattern(F.col("alias")))
-    size = spread.count()
-    if size > MOST_ALIASES:
-        raise ValueError(f"{size} aliases are too many to broadcast; split the table")
-    one = spread.agg(F.array_sort(F.collect_list(F.struct("pos", "n", "canonical", "category", "alias", "low", "pattern"))).alias("__all"))
-    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
-    held = texts.crossJoin(F.broadcast(one)).select("id", "text", F.explode(F.filter("__all", lambda a: F.contains(F.col("low"), a["low"]))).alias("a"))
-    # What stands before the first match, and the match, both in characters.
-    before = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"(?s)\A(.*?)"), F.col("a.pattern")), F.lit(1))
-    match = F.call_function("regexp_extract", F.col("text"), F.col("a.pattern"), F.lit(0))
-    hits = held.withColumn("match", match).filter("match <> ''").withColumn("at", F.length(before) + 1)
-    first = Window.partitionBy("id", "a.canonical").orderBy("a.n")
-    hits = hits.withColumn("__n", F.row_number().over(first)).filter("__n = 1")
-    evidence = snippet(F.col("text"), F.col("at"), F.length("match"))
-    return hits.select("id", F.col("a.canonical").alias("skill"), F.col("a.category").alias("category"), F.col("a.alias").alias("alias"), F.col("a.pos").alias("pos"), evidence.alias("evidence"), F.lit(0.90).alias("confidence"))
+    spread = aliases.select("canonical", "category", "pos", F.posexplode("aliases").alias("n", "alias")).filter("alias IS NOT NULL")
+    spread = spread.groupBy(F.col("canonical").alias("name"), "n").agg(F.min(F.struct("pos", "category", "alias")).alias("a")).select("name", "n", "a.*")
+    spread = stored(spread, "aliases")
+    found = first_aliases(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), spread, at_once)
+    hits = found.join(spread, ["name", "n"])
+    return hits.select("id", F.col("name").alias("skill"), "category", "alias", "pos", "evidence", F.lit(0.90).alias("confidence"))
 
 
 def skills_with_evidence(df: DataFrame, id_col: str, text: str, aliases: DataFrame, compounds: Iterable[str] = ex.COMPOUNDS) -> DataFrame:

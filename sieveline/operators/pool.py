@@ -15,6 +15,7 @@ from sieveline.functions.numbers import clip, or_else, sigmoid, weighted
 from sieveline.operators.features import months_worked, quality_score, reliability, startup_readiness, with_texts
 from sieveline.operators.ranking import rank_top, top, with_min_max
 from sieveline.schema import JobSpec
+from sieveline.shipping import ship
 
 MODEL_COLUMNS = (
     "semantic_sim", "bm25_score", "title_similarity", "skill_coverage", "seniority_alignment", "anti_skill_penalty",
@@ -67,9 +68,10 @@ def stuffing(df: DataFrame) -> DataFrame:
 
 
 def with_real_scores(df: DataFrame, scores: DataFrame, id_col: str = "candidate_id") -> DataFrame:
-    """Replace both proxies by scores (id, cosine, lexical share); missing ones are 0."""
+    """Replace both proxies by scores (id, cosine, lexical share): without a cosine the proxy stays, without a share it is 0."""
     joined = df.join(scores.select(F.col("id").alias("__id"), "cosine", "share"), F.col(id_col) == F.col("__id"), "left")
-    return stuffing(joined.withColumn("semantic_sim", clip(or_else("cosine", 0.0))).withColumn("bm25_score", or_else("share", 0.0)).drop("__id", "cosine", "share"))
+    real = joined.withColumn("semantic_sim", F.coalesce(clip(F.col("cosine")), "semantic_sim")).withColumn("bm25_score", clip(or_else("share", 0.0)))
+    return stuffing(real.drop("__id", "cosine", "share"))
 
 
 def linear_score(df: DataFrame, weights: Mapping[str, float] = specs.POOL_WEIGHTS) -> DataFrame:
@@ -80,6 +82,7 @@ def model_score(df: DataFrame, predict: Callable[[pd.DataFrame], pd.Series] | No
     """Score by a model over ``MODEL_COLUMNS`` in Arrow batches; the linear score without one, and for batches that the model fails on."""
     if predict is None:
         return linear_score(df)
+    ship(df.sparkSession)
 
     @F.pandas_udf("double")
     def run(columns: pd.DataFrame) -> pd.Series:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sieveline.storage import stored
 
+#: Rows that are broadcast at most.
+FEW = 500_000
+
 
 def global_rank(df: DataFrame, by: list[tuple[str, bool]], rank: str = "rank") -> DataFrame:
     """Adds the 0-based position of every row in the order ``by``: columns, each with True for descending.
@@ -70,6 +73,58 @@ def exact_percentile(df: DataFrame, column: str, q: float) -> DataFrame:
     return near.agg((low + (high - low) * share).alias("percentile"))
 
 
+def percentile_by_rank(ranked: DataFrame, column: str, rank: str, q: float) -> Column:
+    """The percentile with linear interpolation, as a scalar: from the two values around its place by 0-based descending ranks without nulls."""
+    last = ranked.agg(F.count("*") - 1).scalar().cast("double")
+    place = last * q
+    near = ranked.filter(F.col(rank).isin(last - F.floor(place), last - F.ceil(place)))
+    low, high = F.min(column), F.max(column)
+    return near.agg(low + (high - low) * F.max(place - F.floor(place))).scalar()
+
+
+def grouped_percentile(df: DataFrame, keys: list[str], column: str, q: float, buckets: int = 1024, few: int = 4096) -> DataFrame:
+    """keys, percentile, n: the percentile with linear interpolation of each group, however large a group is.
+
+    The one or two wanted places of a group are narrowed to a range of values, all groups at once: a histogram of the range
+    tells which of its buckets holds the place, and that bucket's least and largest value are the next range, until
+    at most ``few`` rows (or one value) are left, which are sorted. Rows stay where they are; a round shuffles at most
+    ``buckets`` counts for each place. Nulls and NaN don't count; infinities are values.
+    """
+    values = stored(df.select(*keys, F.col(column).cast("double").alias("value")).filter("value IS NOT NULL AND NOT isnan(value)"), "values")
+    sizes = stored(values.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")), "sizes")
+    at = F.lit(q) * (F.col("n") - 1)
+    places = F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at))))
+    wanted = stored(sizes.select(*keys, places.alias("place"), "low", "high", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside")), "wanted")
+
+    def rows(open_: DataFrame) -> DataFrame:
+        named = open_.select(*(F.col(k).alias(f"__{k}") for k in keys), "place", "low", "high", "before", "inside")
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        return values.join(F.broadcast(named) if named.count() <= FEW else named, same).filter(F.col("value").between(F.col("low"), F.col("high")))
+
+    while True:
+        is_open = (F.col("inside") > few) & (F.col("low") < F.col("high"))
+        if wanted.filter(is_open).isEmpty():
+            break
+        inf = F.lit(float("inf"))
+        width = F.col("high") / 2 - F.col("low") / 2
+        bucket = F.least(F.floor((F.col("value") / 2 - F.col("low") / 2) / width * buckets), F.lit(buckets - 1))
+        # Infinities are set apart first; what is left has a width.
+        bucket = F.when(F.col("value") == -inf, 0).when(F.col("value") == inf, buckets - 1).when(width == inf, buckets // 2).otherwise(bucket)
+        each = rows(wanted.filter(is_open)).groupBy(*keys, "place", "before", bucket.alias("bucket")).agg(F.count("*").alias("inside"), F.min("value").alias("low"), F.max("value").alias("high"))
+        earlier = Window.partitionBy(*keys, "place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        each = each.withColumn("before", F.col("before") + F.coalesce(F.sum("inside").over(earlier), F.lit(0)))
+        picked = each.filter((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("inside")))
+        wanted = stored(wanted.filter(~is_open).unionByName(picked.select(*wanted.columns)), "wanted")
+    sorted_ = Window.partitionBy(*keys, "place").orderBy("value")
+    last = rows(wanted.filter("low < high")).withColumn("__at", F.col("before") + F.row_number().over(sorted_) - 1).filter(F.col("__at") == F.col("place"))
+    found = wanted.filter("low = high").select(*keys, F.col("low").alias("value")).unionByName(last.select(*keys, "value"))
+    found = found.groupBy(*keys).agg(F.min("value").alias("__low"), F.max("value").alias("__high"))
+    named = found.select(*(F.col(k).alias(f"__{k}") for k in keys), "__low", "__high")
+    both = sizes.join(named, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    between = F.when(F.col("__low") == F.col("__high"), F.col("__low")).otherwise(F.col("__low") + (F.col("__high") - F.col("__low")) * (at - F.floor(at)))
+    return both.select(*keys, between.alias("percentile"), "n")
+
+
 def with_share_of_percentile(df: DataFrame, column: str, name: str, q: float = 0.99) -> DataFrame:
     """Divide by the exact percentile of the whole column (plus 1e-9) and clip to 0..1."""
     df = stored(df, "percentile-of")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.numbers import or_else
 from sieveline.operators import extract as ex
+from sieveline.operators.aliases import longest_inside
+from sieveline.storage import stored
 
-MOST_TITLES = 100_000
 # How a range of dates is written.
 _MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 _DATE = rf"(?:{_MONTH}\s+)?\d{{4}}|\d{{1,2}}[/\-]\d{{4}}"
@@ -103,23 +104,22 @@ def career_blocks(df: DataFrame, id_col: str, text: str | Column, now: Column, u
 def normalise_titles(titles: DataFrame, column: str, fixed: DataFrame, aliases: DataFrame, least: int = 6, about: DataFrame | None = None) -> DataFrame:
     """Adds normalised and method: by a fixed map, by alias, by the longest alias inside the title, else the title itself.
 
-    fixed, aliases: alias, canonical; both are dictionaries that people write, so they are broadcast; their size is checked.
+    fixed, aliases: alias, canonical; equal joins and one scan of each distinct title for the aliases inside it, so neither has a largest size.
     about: canonical, family, seniority, which are then added too.
     """
-    if max(fixed.count(), aliases.count()) > MOST_TITLES:
-        raise ValueError(f"dictionaries of more than {MOST_TITLES} titles aren't supported")
     if about is not None:
         named = normalise_titles(titles, column, fixed, aliases, least)
         facts = about.select(F.col("canonical").alias("__c"), "family", "seniority")
-        joined = named.join(F.broadcast(facts), (F.col("normalised") == F.col("__c")) & (F.col("method") != "none"), "left").drop("__c")
+        joined = named.join(facts, (F.col("normalised") == F.col("__c")) & (F.col("method") != "none"), "left").drop("__c")
         return joined.withColumns({c: F.coalesce(c, F.lit("")) for c in ("family", "seniority")})
     key = F.lower(F.trim(F.coalesce(column, F.lit(""))))
     distinct = titles.select(key.alias("__t")).distinct()
     hard = fixed.select(F.lower("alias").alias("__t"), F.col("canonical").alias("__hard"))
     soft = aliases.select(F.lower("alias").alias("__t"), F.col("canonical").alias("__soft"))
-    named = distinct.join(F.broadcast(hard), "__t", "left").join(F.broadcast(soft), "__t", "left")
-    inside = soft.filter(F.length("__t") >= least).select(F.col("__t").alias("__a"), F.col("__soft").alias("__c"))
-    part = named.filter("__hard IS NULL AND __soft IS NULL").select("__t").join(F.broadcast(inside), F.contains("__t", F.col("__a"))).groupBy("__t").agg(F.max_by("__c", F.struct(F.length("__a"), "__a")).alias("__part"))
+    named = stored(distinct.join(hard, "__t", "left").join(soft, "__t", "left"), "titles")
+    long = soft.filter(F.length("__t") >= least).groupBy(F.col("__t").alias("alias")).agg(F.max("__soft").alias("__part"))
+    inside = longest_inside(named.filter("__hard IS NULL AND __soft IS NULL").select(F.col("__t").alias("text")), long.select("alias"))
+    part = inside.join(long, "alias").select(F.col("text").alias("__t"), "__part")
     named = named.join(part, "__t", "left")
     method = F.when(F.col("__hard").isNotNull(), "hardcoded").when(F.col("__soft").isNotNull(), "alias").when(F.col("__part").isNotNull(), "partial").otherwise("none")
     named = named.select("__t", F.coalesce("__hard", "__soft", "__part").alias("__n"), method.alias("method"))

@@ -37,12 +37,14 @@ def running(
 ) -> DataFrame:
     """Adds running values over the rows of a key in ``order`` (ascending, nulls first), which should be total.
 
+    Rows that ``spread`` has dealt by the same key and order stay where they are.
+
     total: sums up to and including the row (nulls count nothing; none so far: null). reached: the largest value of the rows
     before, null for none. previous: the value of the row before, null for the first.
     """
     total, reached, previous = total or {}, reached or {}, previous or {}
     sources = {f"__v_{n}": c for part in (total, reached, previous) for n, c in part.items()}
-    rows = spread(df.withColumns(sources), key, order)
+    rows = df.withColumns(sources) if CHUNK in df.columns else spread(df.withColumns(sources), key, order)
     here = Window.partitionBy(CHUNK, *key).orderBy(*order)
     upto, before = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
     own = {f"__own_{n}": F.sum(f"__v_{n}").over(upto) for n in total}

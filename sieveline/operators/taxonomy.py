@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from difflib import get_close_matches
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.operators.names import CUTOFF, closest_names, subset_names
+from sieveline.storage import stored
+
 # Weights of the sections a mention stands in.
 SECTION_WEIGHTS = {"certification": 1.0, "experience": 0.8, "projects": 0.6, "education": 0.5, "skills": 0.2}
 _SECTIONS = {
     "certification": "certification", "certifications": "certification", "project": "projects", "projects": "projects",
     "experience": "experience", "work_experience": "experience", "employment": "experience", "education": "education", "academic": "education",
 }
-CUTOFF = 0.75
 
 
 def aliases(taxonomy: DataFrame) -> DataFrame:
@@ -27,50 +25,23 @@ def aliases(taxonomy: DataFrame) -> DataFrame:
 def normalise_names(names: DataFrame, known: DataFrame, column: str = "name", cutoff: float = CUTOFF) -> DataFrame:
     """Adds canonical and method: exact, then closest by ratio, then token subset, else none.
 
-    Only distinct names that the exact join left over reach Python. ``known`` (a taxonomy, a file that
-    people write) is collected for it; its size is checked.
+    known: alias, canonical, pos, an alias once. Only distinct names that a step left over reach the next; each step is a join, so
+    neither side has a largest size.
     """
-    rows = known.select("alias", "canonical", "pos").orderBy("pos", "alias").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("a taxonomy of over 100,000 aliases isn't supported")
-    of = {r.alias: r.canonical for r in rows}
-    keys = np.array(list(of), dtype=object)
-
-    def counted(names) -> np.ndarray:
-        """How many letters of each name fall into each of 64 bins."""
-        out = np.zeros((len(names), 64), dtype=np.int32)
-        for i, n in enumerate(names):
-            for c in n:
-                out[i, ord(c) % 64] += 1
-        return out
-
-    bags, lengths = counted(keys), np.array([len(k) for k in keys])
-
-    @F.pandas_udf("string")
-    def closest(values: pd.Series) -> pd.Series:
-        def one(v: str | None) -> str | None:
-            if not v:
-                return None
-            # No ratio is above that of the letters in common, counted in bins: what falls short can't be close.
-            most = 2 * np.minimum(bags, counted([v])).sum(axis=1, dtype=np.int64)
-            likely = keys[most >= cutoff * (lengths + len(v))]
-            return next(iter(get_close_matches(v, likely.tolist(), n=1, cutoff=cutoff)), None)
-
-        return values.map(one)
-
     key = F.lower(F.trim(F.coalesce(column, F.lit(""))))
+    known = stored(known.select("alias", "canonical", "pos"), "known-names")
+    entries = known.select(F.col("alias").alias("text"), "pos")
     distinct = names.select(key.alias("__key")).distinct()
-    exact = distinct.join(F.broadcast(known.select(F.col("alias").alias("__key"), F.col("canonical").alias("__exact"))), "__key", "left")
-    near = exact.withColumn("__near", F.when(F.col("__exact").isNull() & (F.col("__key") != ""), closest("__key")))
-    # token subset: few names are left, the taxonomy is small
-    words = lambda c: F.filter(F.split(c, r"[\s/\-]+"), lambda w: w != "")
-    other = known.select(F.col("alias").alias("__alias"), F.col("canonical").alias("__canonical"), F.col("pos").alias("__pos"), words(F.col("alias")).alias("__words"))
-    left = near.filter("__exact IS NULL AND __near IS NULL AND __key <> ''").select("__key", words(F.col("__key")).alias("__own"))
-    inside = (F.size(F.array_except("__own", "__words")) == 0) | (F.size(F.array_except("__words", "__own")) == 0)
-    subset = left.join(F.broadcast(other), inside).groupBy("__key").agg(F.min_by("__canonical", F.struct("__pos", "__alias")).alias("__subset"))
-    found = near.join(F.broadcast(known.select(F.col("alias").alias("__near"), F.col("canonical").alias("__near_canonical"))), "__near", "left").join(subset, "__key", "left")
-    method = F.when(F.col("__exact").isNotNull(), "exact").when(F.col("__near").isNotNull(), "fuzzy").when(F.col("__subset").isNotNull(), "subset").otherwise("none")
-    found = found.select("__key", F.coalesce("__exact", "__near_canonical", "__subset").alias("canonical"), method.alias("method"))
+    exact = stored(distinct.join(known.select(F.col("alias").alias("__key"), F.col("canonical").alias("__exact")), "__key", "left"), "exact-names")
+    left = exact.filter("__exact IS NULL AND __key <> ''").select(F.col("__key").alias("text"))
+    near = stored(closest_names(left, entries.select("text"), cutoff), "near-names")
+    rest = left.join(near.select(F.col("name").alias("text")), "text", "left_anti")
+    subset = subset_names(rest, entries)
+    of = known.select(F.col("alias").alias("entry"), "canonical")
+    found = near.select("name", "entry", F.lit("fuzzy").alias("method")).unionByName(subset.select("name", "entry", F.lit("subset").alias("method"))).join(of, "entry")
+    found = exact.join(found.select(F.col("name").alias("__key"), F.col("canonical").alias("__near"), "method"), "__key", "left")
+    method = F.when(F.col("__exact").isNotNull(), "exact").otherwise(F.coalesce("method", F.lit("none")))
+    found = found.select("__key", F.coalesce("__exact", "__near").alias("canonical"), method.alias("method"))
     return names.withColumn("__key", key).join(found, "__key", "left").drop("__key")
 
 

@@ -5,31 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.operators.scan import running
 from sieveline.storage import stored
 
 
-MOST_ROWS = 100_000
-
-
 def ranking_problems(df: DataFrame, rows: int = 100, id_pattern: str = r"^CAND_[0-9]{7}$") -> DataFrame:
     """problem, n: a row for each rule that is broken.
 
-    df: candidate_id, rank, score, reasoning as text. A ranking is as long as its k, so the window over
-    all of it is small; of input longer than ``MOST_ROWS`` only the row rule is reported.
+    df: candidate_id, rank, score, reasoning as text, any number of rows: they are range-partitioned by rank, and the last
+    row of each partition is carried into the next.
     """
-    if df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
-        return df.sparkSession.sql("SELECT 'row_count' AS problem, 1L AS n")
     typed = df.select("candidate_id", F.expr("try_cast(rank AS INT)").alias("rank"), F.expr("try_cast(score AS DOUBLE)").alias("score"))
-    by_rank = Window.orderBy(F.col("rank").asc_nulls_last(), "candidate_id")
-    nxt = typed.withColumn("next_score", F.lead("score").over(by_rank)).withColumn("next_id", F.lead("candidate_id").over(by_rank))
-    found = nxt.agg(
+    typed = typed.withColumns({"__all": F.lit(0), "__none": F.col("rank").isNull()})
+    ordered = running(typed, ["__all"], ["__none", "rank", "candidate_id"], previous={"last_score": F.col("score"), "last_id": F.col("candidate_id")})
+    found = ordered.agg(
         (F.count("*") != rows).cast("long").alias("row_count"),
         F.count_if(~F.coalesce(F.col("candidate_id").rlike(id_pattern), F.lit(False))).alias("bad_id"),
         (F.count("candidate_id") - F.countDistinct("candidate_id")).alias("repeated_id"),
         F.count_if(F.col("rank").isNull()).alias("bad_rank"), F.count_if(F.col("score").isNull()).alias("bad_score"),
         (F.count("rank") - F.countDistinct("rank")).alias("repeated_rank"), F.count_if((F.col("rank") < 1) | (F.col("rank") > rows)).alias("rank_range"),
-        F.count_if(F.col("next_score") > F.col("score")).alias("score_rises"),
-        F.count_if((F.col("next_score") == F.col("score")) & (F.col("next_id") < F.col("candidate_id"))).alias("tie_order"),
+        F.count_if(F.col("score") > F.col("last_score")).alias("score_rises"),
+        F.count_if((F.col("score") == F.col("last_score")) & (F.col("candidate_id") < F.col("last_id"))).alias("tie_order"),
     )
     return found.select(F.inline(F.array(*(F.struct(F.lit(c).alias("problem"), F.col(c).alias("n")) for c in found.columns)))).filter("n > 0")
 

@@ -12,7 +12,7 @@ from sieveline.functions.numbers import clip, weighted
 from sieveline.functions.text import english_stop_words
 from sieveline.operators import explain, families, features, pool, retrieval
 from sieveline.operators.compare import showcase_relevance
-from sieveline.operators.ranking import display_score, rank_top, top, with_min_max, with_share_of_percentile
+from sieveline.operators.ranking import display_score, exact_percentile, rank_top, top, with_min_max
 from sieveline.schema import JobSpec
 from sieveline.storage import stored
 
@@ -24,19 +24,17 @@ def relative_ranking(profiles: DataFrame, vectors: DataFrame, query_vector: Sequ
     """Fused retrieval over the pool, features over what it retrieves, top k with reasons.
 
     vectors: id (as in ``profiles``), embedding. The costly features are computed for ``retrieve``
-    profiles only; those come back by a semi-join whose right side has at most that many ids.
+    profiles only; those come back by a join whose right side has at most that many rows, broadcast up to ``MOST_RETRIEVED``.
     stop_words: English ones if not given.
     """
-    if retrieve > MOST_RETRIEVED:
-        raise ValueError(f"at most {MOST_RETRIEVED} rows can be retrieved: they are broadcast")
     stop = english_stop_words() if stop_words is None else tuple(stop_words)
     texts = features.with_texts(profiles)
     lexical = retrieval.lexical_scores(texts.select(id_col, features.lexical_document().alias("__doc")), id_col, "__doc", query, stop_words=stop)
-    lexical = with_share_of_percentile(lexical, "lexical", "share")
     dense = retrieval.dense_scores(vectors, "id", "embedding", query_vector)
-    fused = retrieval.fuse(dense, lexical, retrieve)
+    fused = retrieval.fuse(dense, lexical, retrieve, share_of=0.99)
     fused = stored(with_min_max(fused, "rrf", "retrieval_fusion", few=True), "fused")
-    kept = texts.join(F.broadcast(fused.select(F.col("id").alias("__id"), "cosine", "share", "retrieval_fusion")), F.col(id_col) == F.col("__id"))
+    best = fused.select(F.col("id").alias("__id"), "cosine", "share", "retrieval_fusion")
+    kept = texts.join(F.broadcast(best) if retrieve <= MOST_RETRIEVED else best, F.col(id_col) == F.col("__id"))
     wide = features.integrity(features.relative_features(kept, spec), spec.reference_date)
     real = wide.withColumn("semantic_sim", clip(F.col("cosine"))).withColumn("bm25_score", F.col("share"))
     scored = real.withColumn("raw_score", F.round(weighted(weights) - 100.0 * F.col("honeypot"), DIGITS + 2))
@@ -65,11 +63,23 @@ def scaled_ranking(profiles: DataFrame, spec: JobSpec, roles=None, skills=None,
     return rank_top(top(scored, k, [("final_score", True), (id_col, False)]), [("final_score", True), (id_col, False)])
 
 
-def pool_ranking(profiles: DataFrame, spec: JobSpec, scores: DataFrame | None = None, predict=None, k: int = 100) -> DataFrame:
-    """The pool ranking over profiles that retrieval chose."""
-    wide = pool.pool_features(profiles, spec)
-    if scores is not None:
-        wide = pool.with_real_scores(wide, scores)
+def pool_ranking(profiles: DataFrame, vectors: DataFrame, query_vector: Sequence[float], query: str, spec: JobSpec, predict=None, k: int = 100, retrieve: int = 5000, anti: Mapping[str, float] = specs.ANTI_SKILLS, id_col: str = "candidate_id", stop_words: Iterable[str] | None = None) -> DataFrame:
+    """The pool ranking: the best by vector and the best by words, features with both scores, a model or the linear score, top k.
+
+    Features are computed for what either retrieval kept, twice ``retrieve`` at most. vectors: id (as in ``profiles``), embedding; predict: see
+    ``pool.model_score``.
+    """
+    stop = english_stop_words() if stop_words is None else tuple(stop_words)
+    texts = features.with_texts(profiles)
+    lexical = stored(retrieval.lexical_scores(texts.select(id_col, features.lexical_document().alias("__doc")), id_col, "__doc", query, stop_words=stop), "lexical")
+    dense = stored(retrieval.dense_scores(vectors, "id", "embedding", query_vector), "dense")
+    both = retrieval.union_of_tops(dense, lexical, retrieve)
+    at = exact_percentile(lexical, "lexical", 0.99).scalar()
+    scores = both.join(dense, "id", "left").join(lexical, "id", "left").select("id", "cosine", (F.col("lexical") / (at + 1e-9)).alias("share"))
+    scores = stored(scores, "pool-scores")
+    chosen = scores.select(F.col("id").alias("__chosen"))
+    kept = texts.join(F.broadcast(chosen) if 2 * retrieve <= MOST_RETRIEVED else chosen, F.col(id_col) == F.col("__chosen"), "left_semi")
+    wide = pool.with_real_scores(pool.pool_features(kept, spec, anti=anti), scores, id_col)
     scored = pool.model_score(wide, predict).withColumn("pool_score", F.round("pool_score", DIGITS))
     return pool.packed(scored, k)
 

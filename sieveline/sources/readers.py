@@ -9,13 +9,12 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.schema import profile_ddl
+from sieveline.storage import stored
 
-#: Uploads that are chosen by one driver.
-MOST_UPLOADS = 100_000
 WORD_TEXT = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}t"
 
 
@@ -70,13 +69,12 @@ def uploads(spark: SparkSession, paths: Sequence[str], suffixes: Sequence[str] =
         every = one if every is None else every.unionByName(one)
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     allowed = every.withColumn("name", name).filter(F.col("name").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$") & (F.col("length") <= limit))
-    first = Window.partitionBy("name").orderBy("folder", "path")
-    # Chosen by name and size alone; contents are read of what was chosen only, and move in no shuffle.
-    chosen = [r.path for r in allowed.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select("path").limit(MOST_UPLOADS + 1).collect()]
-    if len(chosen) > MOST_UPLOADS:
-        raise ValueError(f"more than {MOST_UPLOADS} files")
+    # Chosen by name and size alone; contents are read of what was chosen only. A read takes a list of paths, as Spark's own
+    # listing of files does, so names pass through the driver and nothing else.
+    first = stored(allowed.groupBy("name").agg(F.min(F.struct("folder", "path")).alias("f")).select("f.folder", "f.path"), "uploads")
+    chosen = [r.path for r in first.select("path").toLocalIterator()]
     whole = spark.read.format("binaryFile").load(chosen) if chosen else spark.read.format("binaryFile").load(list(paths)).filter("1 = 0")
-    return whole.withColumn("name", name).join(F.broadcast(allowed.select("path", "folder").distinct()), "path")
+    return whole.withColumn("name", name).join(first, "path")
 
 
 def docx_text(content: Column | str) -> Column:

@@ -391,12 +391,11 @@ def test_a_model_that_fails(spark):
     assert pool.model_score(df, lambda c: c["semantic_sim"] + 5).first().pool_score == row["semantic_sim"] + 5
 
 
-def test_refusals(spark, monkeypatch):
+def test_refusals(spark):
     from sieveline.operators import compare, validate
 
     two = spark.range(2).selectExpr("id AS x")
     with pytest.raises(ValueError, match="one row"):
         compare.head_to_head(two, two.limit(1), ["x"])
-    monkeypatch.setattr(validate, "MOST_ROWS", 3)
-    long = spark.range(4).selectExpr("'a' AS candidate_id", "'1' AS rank", "'1' AS score", "'r' AS reasoning")
-    assert [tuple(r) for r in validate.ranking_problems(long).collect()] == [("row_count", 1)]
+    same = spark.range(4).selectExpr("'a' AS candidate_id", "'1' AS rank", "'1' AS score", "'r' AS reasoning")
+    assert {tuple(r) for r in validate.ranking_problems(same).collect()} == {("row_count", 1), ("bad_id", 4), ("repeated_id", 3), ("repeated_rank", 3)}
