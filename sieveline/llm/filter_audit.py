@@ -42,6 +42,8 @@ _SPACE = b" \t\n\x0b\x0c\r"
 _INNER = bytes(range(0x80, 0xC0))
 #: Bytes of a text that are split into words at a time.
 SLICE = 4 << 20
+#: Bytes of a text whose different words one pass holds.
+PASS = 32 << 20
 FACTS = "doc_id long, part string, digest binary, failed int"
 
 
@@ -56,10 +58,10 @@ def _slices(data: bytes, size: int):
         at = end
 
 
-def count_words(data: bytes, size: int = SLICE) -> tuple[int, int]:
-    """Words and distinct words of a text in UTF-8; at most a slice's worth of words is held at a time, or what one pass of many finds."""
-    passes = len(data) // size + 1
-    if passes == 1:
+def count_words(data: bytes, size: int = SLICE, held_at_once: int = PASS) -> tuple[int, int]:
+    """Words and distinct words of a text in UTF-8: a slice is split at a time, and a pass holds the different words of its share, one pass for every ``held_at_once`` bytes."""
+    passes = len(data) // held_at_once + 1
+    if passes == 1 and len(data) <= size:
         words = data.split()
         return len(words), len(set(words))
     total = distinct = 0
@@ -68,7 +70,7 @@ def count_words(data: bytes, size: int = SLICE) -> tuple[int, int]:
         for piece in _slices(data, size):
             words = piece.split()
             total += len(words) if k == 0 else 0
-            held.update(w for w in words if zlib.crc32(w) % passes == k)
+            held.update(w for w in set(words) if passes == 1 or zlib.crc32(w) % passes == k)
         distinct += len(held)
     return total, distinct
 

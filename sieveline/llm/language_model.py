@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import ship, stored, text_or_empty
+from sieveline.llm.windows import slices
 
 #: Training leaves out documents whose crc32(id as text) mod FOLDS is HELD_OUT; of the others, EM learns from ASIDE.
 FOLDS, HELD_OUT, ASIDE = 7, 2, 3
@@ -128,11 +129,14 @@ class _Block:
         self.size = 0
 
     def add(self, doc: int | None, text: str, fold: int) -> None:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        words.append(END)
-        self.parts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
-        self.docs.append((doc or 0, doc is None, fold == HELD_OUT, len(words)))
-        self.size += len(words)
+        n = 1
+        for part in slices(text):  # what a block holds of a text is a number for each token, and its distinct words
+            words = part.lower().split()
+            self.parts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
+            n += len(words)
+        self.parts.append(np.array([self.number[END]], np.int32))
+        self.docs.append((doc or 0, doc is None, fold == HELD_OUT, n))
+        self.size += n
 
     def row(self, block: int, aside: bool) -> tuple:
         import xxhash

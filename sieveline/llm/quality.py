@@ -10,12 +10,14 @@ statistics and verdicts cover every document.
 
 Cases: a null or empty text has no words, fails the base rule and is not kept; without a label of
 either kind the verdict is that of the base rule; several labels for an id count each; repeated rows
-give repeated results; other columns of the input are not looked at.
+give repeated results; an empty table gives an empty result; a very long text is worked on in slices (see ``_in_slices``);
+other columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from itertools import chain
 
@@ -25,12 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import ship
+from sieveline.llm.windows import SLICE, distinct, distinct_words, slices, window_hashes
 
 MAX_LABELLED = 20_000
+#: Characters from which on a text is worked on in slices.
+LONG = 4 << 20
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\f\r"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 FEATURES = ("log_words", "mean_word", "symbols", "dup_lines", "repeats", "upper", "distinct", "marks", "digits", "line_words", "longest_word")
+_WORD = re.compile(r"[^\x20\x09-\x0D]")
 #: -1: a larger value never raises the score.
 MONOTONE = {"symbols": -1, "dup_lines": -1, "repeats": -1, "upper": -1, "marks": -1}
 #: A document goes if its score (log odds of being good) is below this.
@@ -51,23 +57,74 @@ def repeated_words(words: list, size: int = 5) -> int:
     return total
 
 
-def statistics(text: str | None) -> tuple[int, ...]:
-    """The values of ``STATS`` and then those of ``FEATURES``."""
+def repeated_places(hashes: np.ndarray, size: int = 5) -> int:
+    """As ``repeated_words``, from the hashes of all windows in order: places in a window whose hash comes twice or more."""
+    ordered = np.sort(hashes)
+    twice = distinct(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered
+    if not len(twice):
+        return 0
+    covered = np.zeros(len(hashes) + size - 1, dtype=bool)
+    for i in range(0, len(hashes), SLICE):
+        part = hashes[i : i + SLICE]
+        at = np.minimum(np.searchsorted(twice, part), len(twice) - 1)
+        again = twice[at] == part
+        for k in range(size):
+            covered[i + k : i + k + len(part)] |= again
+    return int(covered.sum())
+
+
+def _in_slices(text: str, step: int | None = None) -> tuple[int, int, int, int, int, int, int]:
+    """Words, upper-case words, the longest, distinct ones, repeated ones, lines with a word, and those equal to an earlier one, of a long text.
+
+    Lists hold a slice; of the whole text there are eight bytes for each window and sixteen for each line: windows and
+    lines are compared by hashes of 64 and 128 bits.
+    """
+    import xxhash
+
+    n = upper = longest = 0
+    for part in slices(text, step):
+        words = part.split()
+        n += len(words)
+        upper += sum(1 for w in words if w.isupper())
+        longest = max(longest, max(map(len, words), default=0))
+    n_repeat = 0
+    if n > 5:
+        n_repeat = repeated_places(np.concatenate(list(window_hashes(text, 5, 0, step, lower=False))))
+    seen, held, at = [], [], 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        if _WORD.search(text, at, end):
+            held.append(xxhash.xxh3_128_digest(text[at:end].encode("utf-8", "surrogatepass")))
+            if len(held) >= SLICE:
+                seen.append(np.frombuffer(b"".join(held), dtype="V16"))
+                held = []
+        at = end + 1
+    lines = np.frombuffer(b"".join([s.tobytes() for s in seen] + held), dtype=np.uint64).reshape(-1, 2)
+    lines = lines[np.lexsort((lines[:, 1], lines[:, 0]))] if len(lines) else lines
+    n_dup = int((lines[1:] == lines[:-1]).all(axis=1).sum()) if len(lines) else 0
+    return n, upper, longest, distinct_words(text, step), n_repeat, len(lines), n_dup
+
+
+def statistics(text: str | None, long: int = LONG) -> tuple[int, ...]:
+    """The values of ``STATS`` and then those of ``FEATURES``. A text of more than ``long`` characters is worked on in slices, with the same result."""
     text = text or ""
-    words = text.encode("utf-8", "surrogatepass").split()  # bytes split at ASCII white space alone
-    n = len(words)
+    if len(text) > long:
+        n, upper, longest, distinct, n_repeat, n_lines, n_dup = _in_slices(text)
+    else:
+        words = text.encode("utf-8", "surrogatepass").split()  # bytes split at ASCII white space alone
+        lines = [x for x in text.split("\n") if x.strip(WHITE)]
+        n, n_lines, n_dup, n_repeat = len(words), len(lines), len(lines) - len(set(lines)), repeated_words(words)
+        upper, distinct, longest = sum(1 for w in words if w.isupper()), len(set(words)), max(map(len, words), default=0)
     word_chars = len(text) - sum(map(text.count, WHITE))
     n_symbols = sum(map(text.count, SYMBOLS))
-    lines = [x for x in text.split("\n") if x.strip(WHITE)]
-    n_dup = len(lines) - len(set(lines))
-    n_repeat = repeated_words(words)
     chars = max(word_chars, 1)
-    upper = sum(1 for w in words if w.isupper())
     marks = text.count("!") + text.count("?")
     digits = sum(map(text.count, "0123456789"))
     features = (
-        math.log1p(n), word_chars / max(n, 1), n_symbols / chars, n_dup / max(len(lines), 1), n_repeat / max(n, 1),
-        upper / max(n, 1), len(set(words)) / max(n, 1), marks / chars, digits / chars, n / max(len(lines), 1), math.log1p(max(map(len, words), default=0)),
+        math.log1p(n), word_chars / max(n, 1), n_symbols / chars, n_dup / max(n_lines, 1), n_repeat / max(n, 1),
+        upper / max(n, 1), distinct / max(n, 1), marks / chars, digits / chars, n / max(n_lines, 1), math.log1p(longest),
     )
     return n, word_chars, n_symbols, n_dup, n_repeat, *features
 

@@ -23,7 +23,7 @@ null ids is named null); an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import FEW, keep_rows, ship, stored, text_or_empty
+from sieveline.llm.windows import window_hashes
 
 WORDS, RADIUS, BLOCKS, SEED = 4, 4, 7, 42
 #: Fingerprints of a shard that one task compares with each other.
@@ -38,20 +39,14 @@ SHARD = 4096
 
 
 def fingerprint(text: str | None, size: int = WORDS) -> int:
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    whole = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends]
-    hashes = [xxhash.xxh64_intdigest(whole[a : b - 1], SEED) for a, b in zip(starts, ends[size - 1 :] or ends[-1:], strict=False)]
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 65_536):
-        part = np.array(hashes[i : i + 65_536], dtype=">u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+    """Bit by bit what more than half of the windows' hashes have; a text is hashed slice by slice."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in window_hashes(text or "", size, SEED):
+        n += len(hashes)
+        for i in range(0, len(hashes), 65_536):
+            part = hashes[i : i + 65_536].astype(">u8")
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big") if n else 0
 
 
 def fingerprints(text: Column, size: int = WORDS) -> Column:
