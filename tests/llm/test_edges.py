@@ -494,6 +494,59 @@ def test_hilbert_shards(docs, none):
     assert hilbert_shards.shard_documents(none).count() == 0
 
 
+def plain_curve(x, bits):
+    """Place of a cell on the curve: Skilling's transform, on whole numbers."""
+    x, n = list(x), len(x)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for b in range(bits - 1, 0, -1):
+        if x[-1] >> b & 1:
+            t ^= (1 << b) - 1
+    x = [v ^ t for v in x]
+    return sum((x[i] >> b & 1) << (b * n + n - 1 - i) for b in range(bits) for i in range(n))
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_hilbert_by_brute_force(spark, folder):
+    """Curve, shard and slot of every document against plain Python: exact quantiles, cells, order, runs."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").coalesce(1).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select("row", "doc_id", "lang", "source", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes")).orderBy("row").collect()
+    n = len(rows)
+
+    def string_cuts(values):
+        ranked = sorted((v.encode() for v in values if v is not None))
+        total, cuts = len(ranked), []
+        for v in sorted(set(ranked)):
+            first, last = ranked.index(v), total - 1 - ranked[::-1].index(v)
+            if (first - 1) * 32 // total < last * 32 // total:
+                cuts.append(v)
+        return cuts[:31]
+
+    sizes = sorted(np.log2(float(r.bytes + 1)) for r in rows)
+    size_cuts = sorted({sizes[max(0, -(-i * n // 32) - 1)] for i in range(1, 32)})
+    lang, source = string_cuts([r.lang for r in rows]), string_cuts([r.source for r in rows])
+    step = lambda cuts, v: 0 if v is None else sum(c < v for c in cuts)
+    code = lambda v: None if v is None else v.encode()
+    curve = {r.row: plain_curve((step(lang, code(r.lang)), step(source, code(r.source)), step(size_cuts, np.log2(float(r.bytes + 1)))), 5) for r in rows}
+    want = {}
+    for at, row in enumerate(sorted(curve, key=lambda i: (curve[i], i))):
+        shard = at * 8 // n
+        want[rows[row].doc_id] = (curve[row], shard, at - -(-shard * n // 8))
+    got = {r.doc_id: (r.curve, r.shard, r.slot) for r in hilbert_shards.shard_documents(docs.drop("row")).collect()}
+    assert got == want and len({c for c, *_ in got.values()}) > 20
+
+
 def test_string_cuts_are_quantiles(spark):
     rng = np.random.default_rng(11)
     values = ["crawl-2018"] * 400 + ["crawl-2021"] * 5 + [f"crawl-20{i}{'x' * 300}" for i in rng.integers(10, 99, 300)]
