@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import cache
+from functools import cache, reduce
 from importlib.resources import files
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,12 +27,12 @@ def terms(values: Iterable[str]) -> Column:
 
 def any_in(text: Column, values: Iterable[str]) -> Column:
     """Does the text contain one of the terms anywhere?"""
-    return F.exists(terms(values), lambda t: F.contains(text, t))
+    return reduce(or_, (F.contains(text, F.lit(v.lower())) for v in values), F.lit(False))
 
 
 def hits_in(text: Column, values: Iterable[str]) -> Column:
-    """How many of the terms the text contains anywhere."""
-    return F.size(F.filter(terms(values), lambda t: F.contains(text, t)))
+    """How many of the terms the text contains anywhere: a sum that compiles, where a lambda over the terms would be interpreted."""
+    return reduce(add, (F.when(F.contains(text, F.lit(v.lower())), 1).otherwise(0) for v in values), F.lit(0))
 
 
 def bounded(term: str) -> str:

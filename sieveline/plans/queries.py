@@ -678,6 +678,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ret3_hybrid_rrf(spark, sf_dir)
 
 
-from sieveline.plans import parsed, scaled  # noqa: E402, F401  register their queries
+from sieveline.plans import parsed, patterns, scaled  # noqa: E402, F401  register their queries
 
 __all__ = ["ORACLES", "QUERIES", "clip", "entry"]

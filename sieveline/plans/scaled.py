@@ -13,6 +13,7 @@ from sieveline.plans import queries as base
 from sieveline.plans import rankings
 from sieveline.plans.candidates import SPEC, candidates
 from sieveline.plans.registry import query, r, t
+from sieveline.streaming import statuses
 
 _STOP = ", ".join(f"'{w}'" for w in tx.english_stop_words())
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')"
@@ -160,6 +161,22 @@ def val1_long_ranking(spark, sf_dir):
     return validate.ranking_problems(rows)
 
 
+def job_log(events):
+    """Events as a log of ranking jobs: users are jobs, what they do is what happens to those."""
+    kind = F.when(F.col("event_type") == "click", "enqueue").when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "finish").otherwise(F.col("event_type"))
+    return events.select(F.col("user_id").cast("string").alias("job"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at"), "event_id")
+
+
+@query("""WITH n AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS e, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS seen FROM events GROUP BY 1),
+ s AS (SELECT *, CASE e WHEN 'click' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'unknown' END AS st FROM n)
+ SELECT user_id::VARCHAR AS job, CASE WHEN st IN ('pending', 'processing') AND seen + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) THEN 'stalled' ELSE st END AS status, event_id FROM s""")
+def flt21_job_statuses(spark, sf_dir):
+    """The status of every job of the event log; ``streaming.statuses.follow`` gives the same as events come."""
+    log = job_log(t(spark, sf_dir, "events"))
+    until = log.agg(F.max("at") - F.expr("INTERVAL 10 MINUTES")).scalar()
+    return statuses.status_of(log, "1 day", until).select("job", "status", "event_id")
+
+
 # --- the pool ranking with retrieval and a model -------------------------------------------------------------
 
 _WHOLE = base._POOL.replace("ps AS (", "p0 AS (", 1).replace("pp AS (", "pp0 AS (", 1).replace("FROM ps)", "FROM p0)", 1)
