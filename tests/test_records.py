@@ -83,3 +83,22 @@ def test_texts_for_display(spark):
     assert one(spark, records.score_sentence(F.lit(12.345), F.lit(None).cast("string")))[0].endswith("Missing skills: None")
     row = spark.createDataFrame([("ml lead", 3.0, 0.9, 0.5, 0.9, 1.5, 0.0)], "current_title string, years_of_experience double, title_similarity double, skill_coverage double, seniority_alignment double, quality_score double, anti_skill_penalty double")
     assert row.select(records.pool_sentences().alias("s")).first().s.startswith("Ml Lead with 3.0 years of experience. Perfectly aligned")
+
+
+def test_export_joins_lists(spark, tmp_path):
+    from sieveline.sources import writers
+
+    rows = spark.createDataFrame([(1, "a", ["x", "y"]), (2, "b", [])], "rank int, name string, skills array<string>")
+    writers.export_csv(rows, str(tmp_path / "out"), ("skills",))
+    got = spark.read.option("header", True).csv(str(tmp_path / "out")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [("1", "a", "x; y"), ("2", "b", None)]
+
+
+def test_match_explanation_and_authenticity(spark):
+    from sieveline.operators import explain, records
+
+    a = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    got = spark.range(1).select(
+        explain.match_explanation(a("p", "q", "r", "s"), a("t")).alias("both"), explain.match_explanation(a(), a()).alias("none"), records.domain_authenticity(F.lit(25)).alias("some"), records.domain_authenticity(F.lit(250)).alias("least")
+    ).first()
+    assert tuple(got) == ("Strengths: p, q, r; Gaps: t", "No required skills", 0.75, 0.0)
