@@ -18,8 +18,9 @@ def merged(df: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
     """
     dealt = spread(df.select(*key, start, end), key, [start, end])
     seen = running(dealt, key, [start, end], reached={"__reached": F.col(end)})
-    new = F.when(F.col("__reached").isNull() | (F.col(start) > F.col("__reached")), 1).otherwise(0)
-    isles = running(stored(seen.withColumn("__new", new).drop("__reached"), "spells"), key, [start, end], total={"__isle": F.col("__new")})
+    # Of equal spells that which begins an isle goes first, whatever order the second scan meets them in.
+    old = F.when(F.col("__reached").isNull() | (F.col(start) > F.col("__reached")), 0).otherwise(1)
+    isles = running(stored(seen.withColumn("__old", old).drop("__reached"), "spells"), key, [start, end, "__old"], total={"__isle": 1 - F.col("__old")})
     return isles.groupBy(*key, "__isle").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("spells")).drop("__isle")
 
 

@@ -153,7 +153,8 @@ def career_graph(blocks: DataFrame, now: Column) -> DataFrame:
     ids = blocks.select("id").distinct()
     out = ids.join(years(spells, "total_years"), "id", "left").join(years(spells.filter("role"), "relevant_years"), "id", "left").join(led, "id", "left").join(ups, "id", "left")
     out = out.na.fill(0.0, ["total_years", "relevant_years"])
-    velocity = F.round(F.col("promotions") / F.greatest(F.lit(1.0), F.col("total_years")) * 10, 1)
+    # A hair is added lest a quotient that is half a tenth, such as 9 promotions in 160 months, come out below it.
+    velocity = F.round(F.col("promotions") / F.greatest(F.lit(1.0), F.col("total_years")) * 10 + 1e-9, 1)
     return out.select(
         "id", "total_years", "relevant_years", "leadership_years", F.col("promotions").alias("promotion_count"), F.col("companies").alias("company_count"), velocity.alias("career_velocity"), "inversion_count"
     )

@@ -102,3 +102,23 @@ def test_match_explanation_and_authenticity(spark):
         explain.match_explanation(a("p", "q", "r", "s"), a("t")).alias("both"), explain.match_explanation(a(), a()).alias("none"), records.domain_authenticity(F.lit(25)).alias("some"), records.domain_authenticity(F.lit(250)).alias("least")
     ).first()
     assert tuple(got) == ("Strengths: p, q, r; Gaps: t", "No required skills", 0.75, 0.0)
+
+
+def test_velocity_of_half_a_tenth(spark):
+    """9 promotions in 160 months are 0.675 a year, 6.75 in ten."""
+    from sieveline.operators import parsing
+
+    rows = [(1, i, "Analyst" if i % 2 else "Clerk", "Acme", "01/2000", "05/2013" if i == 9 else f"0{i + 1}/2001", 1, False) for i in range(10)]
+    blocks = spark.createDataFrame(rows, "id int, pos int, title string, company string, start_date string, end_date string, months int, inverted boolean")
+    got = parsing.career_graph(blocks, F.lit("2021-01-15").cast("date")).first()
+    assert (got.promotion_count, round(got.total_years * 12), got.career_velocity) == (9, 160, 6.8)
+
+
+def test_equal_spells_in_any_order(spark, monkeypatch):
+    """The rows between the two scans may come back in any order."""
+    from sieveline.operators import intervals
+
+    whole = intervals.stored
+    monkeypatch.setattr(intervals, "stored", lambda df, name: whole(df.coalesce(1).withColumn("__at", F.monotonically_increasing_id()).orderBy(F.desc("__at")).drop("__at"), name))
+    df = spark.createDataFrame([(1, 1, 2), (1, 10, 12), (1, 10, 12), (1, 12, 15), (1, 20, 21)], "k int, a int, b int")
+    assert sorted(map(tuple, intervals.merged(df, ["k"], "a", "b").collect())) == [(1, 1, 2, 1), (1, 10, 15, 3), (1, 20, 21, 1)]
