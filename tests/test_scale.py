@@ -66,6 +66,34 @@ def test_closest_names_are_those_of_a_full_comparison(spark, cutoff):
     assert got == want and want
 
 
+def test_rows_of_a_common_gram_are_dealt(spark, monkeypatch):
+    """One pair of letters that all texts have makes as many tasks as its pairs need, and nothing is lost."""
+    monkeypatch.setattr(names, "MET", 500)
+    monkeypatch.setattr(names, "COMPARED", 100)
+    rng = random.Random(8)
+    own, entries = ([f"aa{''.join(rng.choice('bcdé') for _ in range(n))}" for _ in range(k)] for n, k in ((6, 60), (7, 90)))
+    frame = lambda xs: spark.createDataFrame([(x,) for x in sorted(set(xs))], "text string")
+    grams = frame(own).withColumn("gram", F.lit("aa"))
+    left, right, tasks = names._meeting(grams.withColumnRenamed("text", "name"), frame(entries).withColumn("gram", F.lit("aa")).withColumnRenamed("text", "entry"))
+    sizes = [len(x) for x in right.rdd.glom().collect()]
+    assert tasks == left.rdd.getNumPartitions() and tasks > 5 and max(sizes) < sum(sizes) / 2
+    got = {r.name: r.entry for r in names.closest_names(frame(own), frame(entries)).collect()}
+    assert got == {o: m[0] for o in own if (m := get_close_matches(o, sorted(set(entries)), n=1, cutoff=0.75))} and got
+
+
+def test_common_letters_are_those_of_a_table():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcé𐐀") for _ in range(rng.choice([0, 1, 6, 20, 64, 70])))
+    left, right = [word() for _ in range(150)], [word() for _ in range(150)]
+    for a, b, n in zip(left, right, names.common_letters(left, right).tolist(), strict=True):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        assert n == row[-1] if len(a) <= 64 else n == min(len(a), len(b))
+
+
 def test_few_pairs_are_compared(spark, sf):
     a, b = scaled.words_of_table(spark, sf, "benchmark", 5), scaled.words_of_table(spark, sf, "conversations", 5)
     pairs, every = names.likely_pairs(a, b).count(), a.count() * b.count()
