@@ -5,14 +5,15 @@ counts. Short or marked aliases stand between white space, some marks, or ends o
 hyphens may be written loosely, so where one stands as it is, its pattern finds the first place of any form.
 
 An automaton holds ``AT_ONCE`` aliases. Of a larger table, consecutive parts are scanned for one after another, so no
-table is too large, and what the driver and a task hold has a bound.
+table is too large, and what the driver and a task hold has a bound. Parts end where a name ends, so what a part finds is final and
+nothing found is shuffled; only a name of more than ``AT_ONCE`` aliases lies in several parts, and its finds are brought together.
 """
 
 from __future__ import annotations
 
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -135,14 +136,15 @@ class Scanner:
 _scanners: dict[str, Scanner] = {}
 
 
-def _scanning(key: str, shared) -> object:
+def _scanning(key: str, shared, more: tuple) -> object:
+    """more: name and Arrow type of what the rows of aliases hold after the alias."""
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         if key not in _scanners:
             _scanners.clear()
-            _scanners[key] = Scanner([Alias(*a) for a in shared.value])
-        scanner = _scanners[key]
+            _scanners[key] = Scanner([Alias(*a[:3]) for a in shared.value]), {a[:2]: a[2:] for a in shared.value} if more else {}
+        scanner, told = _scanners[key]
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
@@ -151,43 +153,62 @@ def _scanning(key: str, shared) -> object:
                     said = text.as_py() or ""
                     for name, (n, at, length) in scanner.first_places(said).items():
                         took.append(i)
-                        rows.append((name, n, at + 1, length, snippet(said, at, length)))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(took, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "name", "n", "at", "length", "evidence"]
-                )
+                        rows.append((name, n, at + 1, length, snippet(said, at, length), *told.get((name, n), ())))
+                names, kinds = ["name", "n", "at", "length", "evidence"], [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                if more:
+                    names, kinds = [*names, "alias", *(x for x, _ in more)], [*kinds, pa.string(), *(k for _, k in more)]
+                cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(took, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", *names])
 
     return run
 
 
-def _parts(aliases: DataFrame, order: tuple[str, str], at_once: int) -> Iterator[list[tuple]]:
-    """Consecutive parts of a table of aliases in the order of two columns, which tell its rows apart; one empty part of an empty table."""
+def _parts(aliases: DataFrame, order: tuple[str, str], at_once: int, more: Iterable[str] = ()) -> Iterator[tuple[list[tuple], bool]]:
+    """Consecutive parts of a table of aliases in the order of two columns, which tell its rows apart, and whether the part's only name may go on.
+
+    A part ends with the last of a name's rows, unless one name alone fills it. One empty part of an empty table.
+    """
     rest, none = aliases, True
     while True:
-        rows = [tuple(r) for r in rest.select(*order, "alias").orderBy(*order).limit(at_once).collect()]
+        rows = [tuple(r) for r in rest.select(*order, "alias", *more).orderBy(*order).limit(at_once + 1).collect()]
+        last = len(rows) <= at_once
+        open_name = False
+        if not last:
+            following = rows.pop()[0]
+            whole = [r for r in rows if r[0] != following]
+            open_name = not whole
+            rows = whole or rows
         if rows or none:
-            yield rows
-        if len(rows) < at_once:
+            yield rows, open_name
+        if last:
             return
-        none, (a, b, _) = False, rows[-1]
+        none, (a, b) = False, rows[-1][:2]
         rest = aliases.filter((F.col(order[0]) > a) | ((F.col(order[0]) == a) & (F.col(order[1]) > b)))
 
 
-def first_aliases(texts: DataFrame, aliases: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+def first_aliases(texts: DataFrame, aliases: DataFrame, at_once: int = AT_ONCE, more: Iterable[str] = ()) -> DataFrame:
     """id, name, n, at (from 1), length, evidence: of each name that a text holds, the first of its aliases that does, at its first place.
 
-    texts: id, text, an id once; aliases: name, n (the alias's place among the name's), alias.
+    texts: id, text, an id once; aliases: name, n (the alias's place among the name's), alias. With ``more``, columns of aliases, the found alias and those follow.
     """
-    spark = texts.sparkSession
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark, more = texts.sparkSession, tuple(more)
     ship(spark)
-    schema = f"id {texts.schema['id'].dataType.simpleString()}, {FOUND}"
-    found = [texts.select("id", "text").mapInArrow(_scanning(uuid.uuid4().hex, spark.sparkContext.broadcast(rows)), schema) for rows in _parts(aliases, ("name", "n"), at_once)]
-    if len(found) == 1:
-        return found[0]
-    # A name whose aliases lie in two parts is found by both.
+    kinds = tuple((c, to_arrow_type(aliases.schema[c].dataType)) for c in more)
+    schema = ", ".join([f"id {texts.schema['id'].dataType.simpleString()}", FOUND, *(["alias string"] if more else []), *(f"`{c}` {aliases.schema[c].dataType.simpleString()}" for c in more)])
+    found, split, before = [], set(), False
+    for rows, goes_on in _parts(aliases, ("name", "n"), at_once, more):
+        if goes_on or before:
+            split.add(rows[0][0])
+        before = goes_on
+        found.append(texts.select("id", "text").mapInArrow(_scanning(uuid.uuid4().hex, spark.sparkContext.broadcast(rows), kinds), schema))
     every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("id", "name").agg(F.min(F.struct("n", "at", "length", "evidence")).alias("b")).select("id", "name", "b.*")
+    if not split:
+        return every
+    # A name that alone fills a part is found by several.
+    several = every.filter(F.col("name").isin(*split)).groupBy("id", "name").agg(F.min_by(F.struct(*every.columns[2:]), "n").alias("b")).select("id", "name", "b.*")
+    return every.filter(~F.col("name").isin(*split)).unionByName(several)
 
 
 def _inside(key: str, shared) -> object:
@@ -222,7 +243,7 @@ def longest_inside(texts: DataFrame, aliases: DataFrame, at_once: int = AT_ONCE)
     spark = texts.sparkSession
     ship(spark)
     rows = aliases.select("alias", F.lit(0).alias("n"))
-    found = [texts.select("text").mapInArrow(_inside(uuid.uuid4().hex, spark.sparkContext.broadcast(part)), "text string, alias string") for part in _parts(rows.withColumn("key", F.col("alias")), ("key", "n"), at_once)]
+    found = [texts.select("text").mapInArrow(_inside(uuid.uuid4().hex, spark.sparkContext.broadcast(part)), "text string, alias string") for part, _ in _parts(rows.withColumn("key", F.col("alias")), ("key", "n"), at_once)]
     every = reduce(DataFrame.unionByName, found).filter("alias IS NOT NULL")
     if len(found) == 1:
         return every

@@ -44,8 +44,8 @@ def alias_skills(df: DataFrame, id_col: str, text: str, aliases: DataFrame, at_o
     spread = aliases.select("canonical", "category", "pos", F.posexplode("aliases").alias("n", "alias")).filter("alias IS NOT NULL")
     spread = spread.groupBy(F.col("canonical").alias("name"), "n").agg(F.min(F.struct("pos", "category", "alias")).alias("a")).select("name", "n", "a.*")
     spread = stored(spread, "aliases")
-    found = first_aliases(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), spread, at_once)
-    hits = found.join(spread, ["name", "n"])
+    # Category and place travel with the aliases, so that what is found meets no table.
+    hits = first_aliases(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), spread, at_once, ("category", "pos"))
     return hits.select("id", F.col("name").alias("skill"), "category", "alias", "pos", "evidence", F.lit(0.90).alias("confidence"))
 
 

@@ -133,6 +133,20 @@ def test_names_take_the_first_step_that_fits(spark):
 # -- aliases
 
 
+def test_found_aliases_are_not_shuffled(spark):
+    """However many parts the aliases lie in; a name of more aliases than a part holds is still one."""
+    rows = [(f"name{i:02}", [f"word{i:02}{c}" for c in "abc"], f"kind{i % 3}", i) for i in range(20)]
+    table = spark.createDataFrame(rows, "canonical string, aliases array<string>, category string, pos int")
+    texts = spark.createDataFrame([(i, f"word{i:02}c word{i:02}b and word{(i + 1) % 20:02}a") for i in range(20)], "id long, text string")
+    want = sorted([(i, f"name{i:02}", f"kind{i % 3}", f"word{i:02}b", i) for i in range(20)] + [(i, f"name{j:02}", f"kind{j % 3}", f"word{j:02}a", j) for i in range(20) for j in [(i + 1) % 20]])
+    for at_once in (7, 3, 2):
+        found = parsing.alias_skills(texts, "id", "text", table, at_once)
+        assert sorted((r.id, r.skill, r.category, r.alias, r.pos) for r in found.collect()) == want
+        if at_once > 2:
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Join" not in plan
+
+
 TEXTS = [
     (1, "We use C++, c and C in Node.js; nodejs, node js.\nGo (golang) go/R r"), (2, "Sta sta STA ads ADS Ads x_go go_x"), (3, None), (4, ""), (5, "Ünï-code uni code unicode E-Mail e mail email mail-box"),
     (6, "a.b.c .net asp.net ASPNET asp.net."), (7, "İstanbul sql İ SQL;sql"), (8, "sql" * 50 + " sql"), (9, "go go\x85 go\x1cgo"), (10, "x" * 100 + " kubernetes " + "y" * 200),
