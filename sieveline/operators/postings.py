@@ -3,8 +3,8 @@
 The index holds three tables: ``terms`` (how often and in how many texts), ``blocks`` and ``lengths`` of the collection. Texts are
 dealt to blocks of neighbours: texts are ordered by the term that weighs most in them (of those that could fill a block), then by that weight, so
 that a block's texts resemble each other and blocks differ in what they can reach. A row of ``blocks`` is a term's postings in one block, with the
-largest weight per length that any of them has: the most that the term can add to a score there. Rows are sorted by term, so
-a query's read touches its own terms' row groups.
+largest weight per length that any of them has: the most that the term can add to a score there. Rows of a file are sorted by term, so
+a query's read touches its own terms' pages.
 
 A search has two rounds. From the maxima alone, each (query, block) gets a bound; each query's blocks of the highest bounds are
 scored first, and their k-th score is a threshold that the final one can't fall below. Then only blocks whose bound reaches the
@@ -56,8 +56,19 @@ def _idf(n: Column | float, df: Column | str) -> Column:
     return F.log((F.lit(1.0) + n) / (F.lit(1.0) + (F.col(df) if isinstance(df, str) else df))) + 1.0
 
 
+def _by_block(counted: DataFrame, placed: DataFrame) -> DataFrame:
+    """Whole rows of texts with their block; a block's texts in one partition."""
+    return counted.join(placed, "row").repartition("block")
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """term, block, most, postings, of rows that ``_by_block`` has dealt: no row moves."""
+    most = F.max(F.when(F.col("square") > 0, F.col("tf") / F.sqrt("square")).otherwise(F.lit(float("inf"))))
+    return rows.groupBy("term", "block").agg(most.alias("most"), F.collect_list(F.struct("id", "row", "tf", "square")).alias("postings"))
+
+
 def build(docs: DataFrame, id_col: str, text: str, max_features: int = MAX_FEATURES, stop_words: Iterable[str] = (), block: int = BLOCK) -> Postings:
-    """Index texts. Term rows are shuffled once, when postings are made; statistics move as partial counts."""
+    """Index texts. Texts are shuffled as whole rows, to their numbers and then to their blocks; statistics move as partial counts."""
     stop = tuple(sorted(set(stop_words)))
     counted = stored(term_counts(docs.select(F.col(id_col).alias("id"), F.col(text).alias("__text")), "__text").withColumn("row", F.monotonically_increasing_id()), "term-counts")
     each = each_term(counted, "id", "row")
@@ -72,13 +83,13 @@ def build(docs: DataFrame, id_col: str, text: str, max_features: int = MAX_FEATU
     shape = each.join(known, "term").groupBy("row").agg(F.sum(weight * weight).alias("square"), F.max(F.when(F.col("df") >= block, F.struct(weight.alias("w"), "term"))).alias("lead"))
     lead = counted.select("row").join(shape, "row", "left").select("row", F.coalesce("square", F.lit(0.0)).alias("square"), F.col("lead.term").alias("lead"), (F.col("lead.w") / F.sqrt("square")).alias("share"))
     placed = global_rank(lead, [("lead", False), ("share", True), ("row", False)], "at").select("row", "square", F.floor(F.col("at") / block).alias("block"))
-    # Texts meet their blocks as whole rows; postings of one (term, block) are no more than a block has texts.
-    rows = each_term(counted.join(stored(placed, "placed"), "row"), "id", "row", "square", "block")
+    # Texts go to their blocks as whole rows, so a block's terms are gathered where they lie: postings never move.
+    # Postings of one (term, block) are no more than a block has texts.
+    rows = each_term(_by_block(counted, stored(placed, "placed")), "id", "row", "square", "block")
     if stop:
         rows = rows.filter(~F.col("term").isin(*stop))
-    most = F.max(F.when(F.col("square") > 0, F.col("tf") / F.sqrt("square")).otherwise(F.lit(float("inf"))))
-    blocks = rows.groupBy("term", "block").agg(most.alias("most"), F.collect_list(F.struct("id", "row", "tf", "square")).alias("postings"))
-    blocks = stored(blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "postings-blocks")
+    blocks = _gathered(rows)
+    blocks = stored(blocks.sortWithinPartitions("term", "block"), "postings-blocks")
     return Postings(terms, blocks, n, max_features, stop)
 
 

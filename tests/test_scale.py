@@ -42,6 +42,17 @@ def test_postings_skip_blocks(spark):
     assert read[1][1] == 63 and read[1][0] < 10 and read[2][1] < 10  # the second has few blocks at all
 
 
+def test_postings_are_gathered_where_their_block_lies(spark):
+    """Texts move as whole rows; no exchange has a term for each row."""
+    counted = spark.createDataFrame([(i, i, ["a", f"b{i % 3}"], [1, 2]) for i in range(40)], "id long, row long, terms array<string>, counts array<long>")
+    placed = spark.range(40).select(F.col("id").alias("row"), F.lit(2.0).alias("square"), F.floor(F.col("id") / 8).alias("block"))
+    rows = postings.each_term(postings._by_block(counted, placed), "id", "row", "square", "block")
+    got = postings._gathered(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(term", plan) and "hashpartitioning(block" in plan
+    assert {(r.term, r.block): sorted(p.id for p in r.postings) for r in got.filter("term = 'a'").collect()} == {("a", b): list(range(b * 8, b * 8 + 8)) for b in range(5)}
+
+
 def test_postings_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, text string")
     found, report = postings.search(postings.build(empty, "id", "text"), spark.createDataFrame([(1, "a query")], "query long, text string"))
