@@ -14,7 +14,9 @@ power of two from four times the set's size on. Each bucket whose parities diffe
 set has, so sets whose sketches differ in more than a ninth of their sizes together can't be similar
 enough. That is a bound, not an estimate: no pair is lost, and few others come through.
 
-For each shingle its documents are first compared with one of them, which joins most copies. Shingles
+Links are first looked for by SimHash: fingerprints of the same shingles, whose BK-trees (``simhash.find_links``) give those within
+its radius. Those links, and for each shingle the pairs of its documents with one of them, are verified over the whole sets; that joins
+most copies. No radius holds all similar pairs, so what these leave is found as follows. Shingles
 with documents of several components are then brought together by the largest of those components, and
 all pairs of different components there are compared in tasks: first by sketches, which leaves the
 documents of likely pairs, then those by their whole sets. A task sends on the links of a spanning
@@ -33,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import FEW, clear_scratch, keep_rows, scratch_scope, ship, stored, text_or_empty
+from sieveline.llm import simhash
 from sieveline.llm.simhash import components
 from sieveline.llm.windows import distinct, window_hashes
 
@@ -135,6 +138,17 @@ def _likely_stars(stars: DataFrame, each: DataFrame) -> DataFrame:
     return both.filter(_apart("s_a", "s_b") * (top + of) <= (of - top) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def _fingerprint_pairs(each: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by SimHash: all of a fingerprint with its least, and the least of fingerprints that the trees link."""
+    own = each.select("node", "fp")
+    least = stored(own.groupBy("fp").agg(F.min("node").alias("low"), F.count("*").alias("nodes")), "shingle-prints")
+    same = own.join(least.filter("nodes > 1"), "fp").filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    linked = stored(simhash.find_links(least.select("fp")), "shingle-print-links").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    side = lambda fp, end: least.select(F.col("fp").alias(fp), F.col("low").alias(end))
+    met = linked.join(side("x", "p"), "x").join(side("y", "q"), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    return same.unionByName(met)
+
+
 def _sets_of(ids: DataFrame, docs: DataFrame, each: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     """node, set for these nodes, from the text of one document of each."""
     wanted = stored(each.join(ids, "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")), "shingle-nodes")
@@ -166,6 +180,7 @@ def find_links(each: DataFrame, docs: DataFrame, id_col: str, text: str, size: i
     kept = stored(rows.join(shared, "s").select("s", F.struct("node", "n", "pos").alias("own")), "shingle-rows")
     least = stored(kept.groupBy("s").agg(F.min("own").alias("least")), "shingle-least")
     stars = kept.join(least, "s").filter("least.node < own.node").filter(_possible("least", "own")).select(F.col("least.node").alias("a"), F.col("own.node").alias("b"))
+    stars = stars.unionByName(_fingerprint_pairs(each))
     first = stored(_verified(_likely_stars(stars, each), docs, each, id_col, text, size), "shingle-links")
 
     rooted = stored(_with_root(kept.select("s", "own", F.col("own.node").alias("node")), first).select("s", "own", "root"), "shingle-roots")
@@ -299,10 +314,10 @@ def find_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     ship(spark)
     with scratch_scope() as own:
-        marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("text_hash"), _leading(docs, text, size).alias("lead"))
+        marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("text_hash"), simhash.fingerprints(F.col(text), size).alias("fp"), _leading(docs, text, size).alias("lead"))
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-        marked = stored(marked.select("doc_id", "text_hash", "lead.*"), "shingle-leads")
-        each = stored(marked.groupBy("node").agg(first, F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n", "sketch", "prefix"))), "shingle-each")
+        marked = stored(marked.select("doc_id", "text_hash", "fp", "lead.*"), "shingle-leads")
+        each = stored(marked.groupBy("node").agg(first, F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("fp", "n", "sketch", "prefix"))), "shingle-each")
         links = stored(find_links(each, docs, id_col, text, size), "shingle-links")
         clear_scratch(spark, [p for p in own if not any(f"/{name}-" in p for name in ("shingle-leads", "shingle-each", "shingle-links"))])
         named = stored(_with_root(each.select("node", "first", "rows"), links), "shingle-named")

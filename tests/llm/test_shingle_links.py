@@ -89,3 +89,18 @@ def test_sketches_bound_the_difference():
         while len(y) > len(x):
             y = y[: len(y) // 2] ^ y[len(y) // 2 :]
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_links_are_looked_for_by_simhash_first(spark):
+    """Fingerprints within the radius of the trees, and equal ones, give pairs of nodes; the stage verifies them."""
+    each = spark.createDataFrame([(1, 0), (2, 0), (3, 0b1111), (4, 0b11111 << 40), (5, -1)], "node long, fp long")
+    got = {(r.a, r.b) for r in shingle_links._fingerprint_pairs(each).collect()}
+    assert got == {(1, 2), (1, 3)}
+
+
+def test_stage_calls_the_trees(spark, monkeypatch):
+    called, whole = [], shingle_links.simhash.find_links
+    monkeypatch.setattr(shingle_links.simhash, "find_links", lambda *a, **k: called.append(a) or whole(*a, **k))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "quite another text of its own words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingle_links.drop_near_duplicates(docs).collect()) == [1, 3] and called
